@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomry.llm import decontaminate, mix_sources, pii, secret_scan, url_filter
+from fathomry.llm import decontaminate, language_id, mix_sources, nearest, passage_quality, pii, secret_scan, toxic_spans, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_secrets": secret_scan.op1_secrets,
+        "op2_quality": passage_quality.op2_quality,
+        "op3_toxicity": toxic_spans.op3_toxicity,
+        "op4_language": language_id.op4_language,
         "op5_urls": url_filter.op5_urls,
         "op6_pii": pii.op6_pii,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_mix": mix_sources.op9_mix,
+        "op10_nearest": nearest.op10_nearest,
     }
 
 
