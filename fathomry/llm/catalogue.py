@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomry.llm import decontaminate, language_id, mix_sources, nearest, passage_quality, pii, secret_scan, toxic_spans, url_filter
+from fathomry.llm import decontaminate, jaccard_join, language_id, mix_sources, nearest, passage_quality, pii, secret_scan, toxic_spans, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_language": language_id.op4_language,
         "op5_urls": url_filter.op5_urls,
         "op6_pii": pii.op6_pii,
+        "op7_jaccard": jaccard_join.op7_jaccard,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_mix": mix_sources.op9_mix,
         "op10_nearest": nearest.op10_nearest,
@@ -26,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_urls": url_filter.OP5_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op9_mix": mix_sources.OP9_SQL}
+    return {"op5_urls": url_filter.OP5_SQL, "op7_jaccard": jaccard_join.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op9_mix": mix_sources.OP9_SQL}
