@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fathomry.llm.common import binary_values, held_out, labelled_sample, read, row_slices
 
-ROWS = 6_000
+ROWS = 4_000
 CHAIN = 48
 ODDS, CHANCE = 12.0, 0.1
 MARKS = b".,;:!?\"'()[]{}<>*#%&$|-_"
@@ -124,17 +124,35 @@ def expected_pairs(evidence: np.ndarray, fwd: np.ndarray, bwd: np.ndarray, step:
     return u / u.sum(0)
 
 
+def copies(docs: list[np.ndarray]) -> np.ndarray:
+    """For each document the first one whose words are much the same: at least a quarter of 16 word minima agree."""
+    odd = np.random.default_rng(9).integers(1, 1 << 31, 16) * 2 + 1
+    minima = np.array([((d[:, None].astype(np.int64) + 1) * odd % 4_294_967_291).min(0) if len(d) else np.full(16, -1 - i) for i, d in enumerate(docs)])
+    same = np.arange(len(docs))
+    for i in range(1, len(docs)):
+        like = np.flatnonzero((minima[:i] == minima[i]).sum(1) >= 4)
+        if len(like):
+            same[i] = same[like[0]]
+    return same
+
+
 def toxic_words(docs: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Which words (by number) toxic documents hold so often that chance doesn't explain it."""
+    """Which words (by number) toxic documents hold so often that chance doesn't explain it; near copies count once."""
     bad, every = np.zeros(size, int), np.zeros(size, int)
-    for words, y in zip(docs, labels, strict=True):
-        own = np.unique(words)
-        every[own] += 1
-        bad[own] += int(y)
-    n_bad, rate = labels.sum(), labels.mean()
+    own = [np.unique(d) for d, y in zip(docs, labels, strict=True) if y]
+    group = copies(own)
+    for g in np.unique(group):
+        words = np.unique(np.concatenate([own[i] for i in np.flatnonzero(group == g)]))
+        bad[words] += 1
+    every += bad
+    for d, y in zip(docs, labels, strict=True):
+        if not y:
+            every[np.unique(d)] += 1
+    n_bad, n_good = len(np.unique(group)), (1 - labels).sum()
+    rate = n_bad / (n_bad + n_good)
     as_frequent = np.append(np.cumsum(np.bincount(bad, minlength=2)[::-1])[::-1], 1)
     out = np.zeros(size, bool)
-    for w in np.flatnonzero((bad > 1) & (bad / n_bad >= ODDS * (every - bad + 1) / (len(labels) - n_bad + 1))):
+    for w in np.flatnonzero((bad > 1) & (bad / n_bad >= ODDS * (every - bad + 1) / (n_good + 1))):
         n, k = int(every[w]), int(bad[w])
         chance = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate)
         out[w] = chance + math.log(as_frequent[k]) < math.log(CHANCE)
@@ -164,6 +182,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> Model | Non
     keep = (near[ids][index] & real).any(1)
     keep |= np.random.default_rng(5).random(len(keep)) < min(1.0, max(keep.sum(), 6000) / len(keep))
     index, real = index[keep], real[keep]
+    del keep, near
     # Features get numbers within the kept chains (their words and those beside them); a last one stands for the text's end.
     seen = np.unique(ids[np.concatenate([index[real], np.maximum(index[real] - 1, 0), np.minimum(index[real] + 1, len(ids) - 1)])])
     numbers: list[dict[bytes, int]] = [{} for _ in FEATURES]
@@ -171,9 +190,9 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> Model | Non
     for i in seen:
         of[i] = [numbers[role].setdefault(part, len(numbers[role])) for role, part in enumerate(parts(words[i]))]
     size = max(len(n) for n in numbers)
-    p = of[ids]
-    prev, nxt = np.where(first, size, np.roll(p[:, 4], 1)), np.where(last, size, np.roll(p[:, 5], -1))
-    features = [f[index] for f in (*p[:, :4].T, prev, nxt)]
+    before, after = ids[np.maximum(index - 1, 0)], ids[np.minimum(index + 1, len(ids) - 1)]
+    features = [*np.moveaxis(of[ids[index], :4], 2, 0), np.where(first[index], size, of[before, 4]), np.where(last[index], size, of[after, 5])]
+    del of, before, after
     want = y[index] * real
     pairs = np.zeros((2, 2))
     a, b, both = want[:, :-1].astype(int), want[:, 1:].astype(int), real[:, 1:]
@@ -200,10 +219,12 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> Model | Non
         bias_mv = [0.9 * bias_mv[0] + 0.1 * g, 0.99 * bias_mv[1] + 0.01 * g * g]
         bias -= 0.1 * (bias_mv[0] / (1 - 0.9**t)) / ((bias_mv[1] / (1 - 0.99**t)) ** 0.5 + 1e-3)
     model = Model([{part: float(w[role, n]) for part, n in own.items() if abs(w[role, n]) > 0.01} for role, own in enumerate(numbers)], float(bias), step, np.zeros(3))
-    table = model.vocabulary()
+    values = array("f")
     for word in words:
-        table[word]
-    top, count, _ = summaries(model, ids, table.table(), lengths)
+        values.extend(model.weights[role].get(part, 0.0) for role, part in enumerate(parts(word)))
+    table = np.frombuffer(values, np.float32).reshape(-1, len(FEATURES))
+    some = [summaries(model, np.concatenate(docs[i : i + 256]), table, lengths[i : i + 256])[:2] for i in range(0, len(docs), 256)]
+    top, count = (np.concatenate(x) for x in zip(*some, strict=True))
     x, prior = inputs(top, count), np.array([0.0, 1.0, 0.0])
     c = prior.copy()
     for _ in range(50):  # Newton steps of the penalised logistic fit
@@ -289,8 +310,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
     """A model of at most ``rows`` labelled documents that are not held out."""
     chosen = labelled_sample(labels, "toxic", rows)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "y").collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["text"] or b"")))
-    return fit([bytes(r["text"] or b"") for r in found], np.array([r["y"] for r in found], dtype=float))
+    found = sorted((r["doc_id"], bytes(r["text"] or b""), r["y"]) for r in found)
+    return fit([text for _, text, _ in found], np.array([y for _, _, y in found], dtype=float))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
