@@ -1,0 +1,210 @@
+"""Build artifacts: which directories can be made again, whose they are, and whether their projects are stale.
+
+Stated without recursion. Candidates are directories that a rule claims through its parent's names (or its own content). Those
+that hold a repository are no artifacts; of the rest the outermost count, for nothing is looked for inside an artifact. An
+artifact, and every source file that lies in none, belongs to the nearest directory above that defines a project, else to the
+outermost directory above that holds artifacts, an implied project. Version control directories are never looked into.
+
+Rules are rows of ``schemas.RULE`` as tuples: a short list, compiled into expressions on names, so that matching needs no join.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from fathomry.functions import paths as P
+from fathomry.functions.globs import to_regex
+from fathomry.operators.graph import ensure_checkpoints
+from fathomry.operators.tree import directory_totals
+from fathomry.sources.rules import EXPLAINED, NO_LOCKFILE, RISKS, TRACKED, VCS
+
+ID, ECOSYSTEM, MARKERS, ARTIFACTS, RISK, RANK, REGENERATE, LOCKS, KIND, DEFINES, CLEAN, NOTE = range(12)
+DAY = 86_400
+
+
+def hits(name: Column, rules: list[tuple], field: int, kinds: tuple[str, ...] = ("marker", "dir-contains")) -> Column:
+    """Ids of the rules one of whose globs in ``field`` matches the name."""
+    found = []
+    for r in rules:
+        globs = [g for g in r[field] if "/" not in g] if r[KIND] in kinds else []
+        plain = [g for g in globs if not set(g) & set("*?[{\\")]
+        tests = ([name.isin(plain)] if plain else []) + [name.rlike(to_regex(g)) for g in globs if g not in plain]
+        if tests:
+            found.append(F.when(reduce(lambda a, b: a | b, tests), F.lit(r[ID])))
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
+
+
+def rule_match(entries: DataFrame, rules: list[tuple]) -> DataFrame:
+    """dir, rule_id: directories that hold a marker of a marker rule."""
+    by_name = entries.select(P.parent("path").alias("dir"), F.explode(hits(P.name("path"), rules, MARKERS, ("marker",))).alias("rule_id"))
+    out = by_name
+    for r in rules:
+        for marker in (m for m in r[MARKERS] if "/" in m and r[KIND] == "marker"):
+            deep = entries.where(F.col("path").endswith("/" + marker))
+            out = out.unionByName(deep.select(F.expr(f"left(path, length(path) - {len(marker) + 1})").alias("dir"), F.lit(r[ID]).alias("rule_id")))
+    return out.where("dir is not null").distinct()
+
+
+def below_vcs(path: Column | str) -> Column:
+    """One of the components, the last one too, is a version control directory."""
+    return F.exists(P.parts(path), lambda x: x.isin(*VCS))
+
+
+def claims(entries: DataFrame, rules: list[tuple], matched: DataFrame | None = None) -> DataFrame:
+    """path, dir (its parent), rule_id: directories that a rule claims."""
+    matched = rule_match(entries, rules) if matched is None else matched
+    dirs = entries.where((F.col("kind") == "Dir") & ~below_vcs("path")).select("path", P.parent("path").alias("dir"), P.name("path").alias("n")).where("dir is not null")
+    named = dirs.select("path", "dir", F.explode(hits(F.col("n"), rules, ARTIFACTS, ("marker",))).alias("rule_id"))
+    out = named.join(matched, ["dir", "rule_id"])
+    holds = [r for r in rules if r[KIND] == "dir-contains"]
+    if holds:
+        inside = entries.select(P.parent("path").alias("path"), F.explode(hits(P.name("path"), holds, MARKERS)).alias("rule_id")).distinct()
+        fits = F.array_contains(hits(F.col("n"), holds, ARTIFACTS), F.col("rule_id"))
+        out = out.unionByName(dirs.join(inside, "path").where(fits).select("dir", "rule_id", "path"))
+    return out.select("path", "dir", "rule_id").distinct()
+
+
+def rule_values(rules: list[tuple], rule_id: str = "rule_id") -> DataFrame | Column:
+    """The rule's row as a struct, looked up by its id in a literal map."""
+    entry = lambda r: F.struct(F.lit(r[ECOSYSTEM]).alias("ecosystem"), F.lit(r[RANK]).alias("rank"), F.lit(r[REGENERATE]).alias("regenerate"), F.lit(bool(r[LOCKS])).alias("wants_lock"), F.lit(r[NOTE] or EXPLAINED[r[RISK]]).alias("note"), F.lit(r[DEFINES]).alias("defines"))
+    return F.element_at(F.create_map(*(x for r in rules for x in (F.lit(r[ID]), entry(r)))), F.col(rule_id))
+
+
+def risk_assess(claimed: DataFrame, entries: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Claims with ecosystem, risk_rank, risk_reason, regenerate: a safe one without a lockfile beside it is raised to Caution."""
+    locks = entries.select(P.parent("path").alias("dir"), F.explode(hits(P.name("path"), rules, LOCKS)).alias("rule_id")).distinct().withColumn("lock", F.lit(True))
+    rows = claimed.withColumn("r", rule_values(rules)).join(locks, ["dir", "rule_id"], "left")
+    raised = F.col("r.wants_lock") & F.col("lock").isNull() & (F.col("r.rank") < 1)
+    return rows.select(
+        "path", "dir", "rule_id", F.col("r.ecosystem").alias("ecosystem"), F.when(raised, 1).otherwise(F.col("r.rank")).alias("risk_rank"),
+        F.when(raised, NO_LOCKFILE).otherwise(F.col("r.note")).alias("risk_reason"), F.col("r.regenerate").alias("regenerate"),
+    )
+
+
+def resolve(assessed: DataFrame) -> DataFrame:
+    """One claim a path: the highest risk, then the earlier rule."""
+    best = F.max_by(F.struct("dir", "rule_id", "ecosystem", "risk_rank", "risk_reason", "regenerate"), F.struct("risk_rank", -F.col("rule_id")))
+    return assessed.groupBy("path").agg(best.alias("x")).select("path", "x.*")
+
+
+def kept_artifacts(resolved: DataFrame, entries: DataFrame) -> DataFrame:
+    """Artifacts with allocated, apparent, entries: no repository inside, and in no other artifact."""
+    sized = directory_totals(entries, resolved, own=False)
+    rows = resolved.join(sized, "path").where(~F.col("has_repo")).drop("has_repo")
+    inner = rows.select("path", F.explode(P.prefixes("path")).alias("top")).join(rows.select(F.col("path").alias("top")), "top", "left_semi").select("path").distinct()
+    return rows.join(inner, "path", "left_anti")
+
+
+def nearest(rows: DataFrame, start: str, projects: DataFrame, loose: DataFrame) -> DataFrame:
+    """``rows`` with ``project_path``: the nearest of ``projects`` at or above ``start``, else the outermost of ``loose``;
+    rows without either go. Ancestors are exploded from distinct starts, not from rows."""
+    starts = rows.select(F.col(start).alias("s")).distinct()
+    above = starts.select("s", F.explode(P.prefixes("s", 1)).alias("dir"))
+    tops = projects.select("dir", F.lit(True).alias("p")).unionByName(loose.select("dir", F.lit(False).alias("p"))).groupBy("dir").agg(F.bool_or("p").alias("p"))
+    found = above.join(tops, "dir").groupBy("s").agg(
+        F.max_by("dir", F.when(F.col("p"), P.depth("dir"))).alias("near"), F.min_by("dir", F.when(~F.col("p"), P.depth("dir"))).alias("far"), F.bool_or("p").alias("owned")
+    )
+    return rows.join(found.select(F.col("s").alias(start), F.when(F.col("owned"), F.col("near")).otherwise(F.col("far")).alias("project_path")), start)
+
+
+def analyze(entries: DataFrame, rules: list[tuple], exclude: list[str] | None = None, max_depth: int | None = None, tracked: DataFrame | None = None, commits: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``artifacts`` and ``projects``. ``tracked`` (path) and ``commits`` (path, last_commit) are lookups of what Git knows.
+
+    Excluded paths and what lies below are not looked at; directories deeper than max_depth below the root are not entered,
+    though an artifact found at that depth is reported whole.
+    """
+    # Each table below feeds several others: checkpoints keep plans small and cost a write of what is left, not of the scan.
+    ensure_checkpoints(entries)
+    rows = entries.where(~P.under_any("path", exclude)) if exclude else entries
+    rows = rows.checkpoint()
+    live = rows if max_depth is None else rows.where(P.depth("path") <= max_depth + 1)
+    matched = rule_match(live, rules).checkpoint()
+    resolved = resolve(risk_assess(claims(live, rules, matched), live, rules)).checkpoint()
+    kept = kept_artifacts(resolved, rows)
+    if tracked is not None:
+        kept = kept.join(tracked.select("path").distinct().withColumn("tracked_by_git", F.lit(True)), "path", "left").withColumn("tracked_by_git", F.coalesce("tracked_by_git", F.lit(False)))
+        kept = kept.withColumns({"risk_rank": F.when(F.col("tracked_by_git"), 2).otherwise(F.col("risk_rank")), "risk_reason": F.when(F.col("tracked_by_git"), TRACKED).otherwise(F.col("risk_reason"))})
+    else:
+        kept = kept.withColumn("tracked_by_git", F.lit(False))
+    kept = kept.withColumn("risk", F.element_at(F.array(*map(F.lit, RISKS)), F.col("risk_rank") + 1))
+    kept = kept.checkpoint()
+    tops = kept.select(F.col("path").alias("top"))
+    inside = lambda df, column: df.select(F.col(column).alias("x"), F.explode(P.prefixes(column, 1)).alias("top")).join(tops, "top", "left_semi").select(F.col("x").alias(column)).distinct()
+    defining = [r[ID] for r in rules if r[DEFINES]]
+    projects = matched.where(F.col("rule_id").isin(defining) & ~below_vcs("dir"))
+    projects = projects.join(inside(projects, "dir"), "dir", "left_anti").checkpoint()
+    dirs = projects.select("dir").distinct()
+    loose = kept.select("dir").distinct().join(dirs, "dir", "left_anti")
+    artifacts = nearest(kept, "dir", dirs, loose).checkpoint()
+    sources = live.where((F.col("kind") != "Dir") & ~below_vcs("path")).groupBy(P.parent("path").alias("dir")).agg(F.sum("allocated").alias("size"), F.max("mtime").alias("mtime"))
+    sources = sources.join(inside(sources, "dir"), "dir", "left_anti")
+    sums = nearest(sources, "dir", dirs, loose).groupBy("project_path").agg(F.sum("size").alias("source_size"), F.max("mtime").alias("last_source_mtime"))
+    # Types: those of defining rules in their order, then those of artifacts, largest first.
+    own = projects.withColumn("r", rule_values(rules)).groupBy(F.col("dir").alias("project_path")).agg(F.array_sort(F.collect_set(F.struct("rule_id", F.col("r.ecosystem").alias("e")))).alias("own"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("allocated")).alias("a"), "path", F.col("ecosystem").alias("e"))))
+    theirs = artifacts.groupBy("project_path").agg(order.alias("theirs"), F.sum("allocated").alias("artifact_size"))
+    paths = dirs.select(F.col("dir").alias("project_path")).unionByName(artifacts.select("project_path")).distinct()
+    none = F.array().cast("array<string>")
+    names = F.array_distinct(F.concat(F.coalesce(F.transform("own", lambda x: x["e"]), none), F.coalesce(F.transform("theirs", lambda x: x["e"]), none)))
+    out = paths.join(sums, "project_path", "left").join(own, "project_path", "left").join(theirs, "project_path", "left")
+    clean = clean_command(F.transform("own", lambda x: x["rule_id"]), F.col("project_path"), rules)
+    out = out.select(
+        F.col("project_path").alias("path"), P.name("project_path").alias("name"), names.alias("types"), F.coalesce("artifact_size", F.lit(0)).alias("artifact_size"),
+        F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("last_source_mtime", F.lit(0)).alias("last_source_mtime"), clean.alias("clean_command"),
+    )
+    if commits is not None:
+        out = out.join(commits.select("path", "last_commit"), "path", "left")
+    else:
+        out = out.withColumn("last_commit", F.lit(None).cast("long"))
+    return {"artifacts": artifacts, "projects": out}
+
+
+def clean_command(rule_ids: Column, path: Column, rules: list[tuple]) -> Column:
+    """The first defining rule's clean command, ``{dir}`` replaced by the path; null without one."""
+    known = F.create_map(*(x for r in rules for x in (F.lit(r[ID]), F.array(*map(F.lit, r[CLEAN])) if r[CLEAN] else F.array().cast("array<string>"))))
+    first = F.get(F.filter(F.transform(rule_ids, lambda i: F.element_at(known, i)), lambda a: F.size(a) > 0), F.lit(0))
+    return F.transform(first, lambda a: F.replace(a, F.lit("{dir}"), path))
+
+
+def last_activity(mtime: str = "last_source_mtime", commit: str = "last_commit") -> Column:
+    return F.greatest(F.col(mtime), F.coalesce(F.col(commit), F.lit(0)))
+
+
+def inactive_days(now: int) -> Column:
+    return F.floor(F.greatest(F.lit(now) - last_activity(), F.lit(0)) / DAY).cast("long")
+
+
+def filter_projects(projects: DataFrame, now: int, types: list[str] | None = None, min_size: int = 0, inactive: int = 0) -> DataFrame:
+    """Any of the types (in any case; none given: all), artifacts of at least min_size, at least so many days inactive."""
+    rows = projects.where((F.col("artifact_size") >= min_size) & (inactive_days(now) >= inactive))
+    wanted = [t.lower() for t in types or []]
+    return rows.where(F.exists("types", lambda t: F.lower(t).isin(wanted))) if wanted else rows
+
+
+def select_stale(projects: DataFrame, artifacts: DataFrame, now: int, days: int, pinned: list[str]) -> DataFrame:
+    """Artifacts of projects at least ``days`` inactive: none to review, nothing pinned."""
+    stale = projects.where(inactive_days(now) >= days).select(F.col("path").alias("project_path"))
+    return artifacts.join(stale, "project_path", "left_semi").where((F.col("risk") != "Review") & ~P.under_any("path", pinned))
+
+
+def global_caches(entries: DataFrame, locations: DataFrame) -> DataFrame:
+    """name, path, risk, allocated of the cache locations that exist, largest first."""
+    found = locations.join(entries.where(F.col("kind") == "Dir").select("path"), "path", "left_semi")
+    return found.join(directory_totals(entries, found, own=False).select("path", "allocated", "entries"), "path")
+
+
+def totals(projects: DataFrame) -> DataFrame:
+    return projects.agg(F.count("*").alias("projects"), F.coalesce(F.sum("artifact_size"), F.lit(0)).alias("artifact_size"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("source_size"))
+
+
+def in_order(projects: DataFrame) -> DataFrame:
+    return projects.orderBy(F.desc("artifact_size"), P.parts("path"))
+
+
+def first_artifacts(artifacts: DataFrame, n: int) -> DataFrame:
+    """The n largest artifacts of each project."""
+    place = F.row_number().over(Window.partitionBy("project_path").orderBy(F.desc("allocated"), P.parts("path")))
+    return artifacts.withColumn("place", place).where(F.col("place") <= n)
