@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fathomry.functions.globs import compiled
+from fathomry.functions.paths import prefixes
 from fathomry.schemas import ENTRY
 
 #: Virtual filesystems that are never walked.
@@ -29,8 +30,8 @@ def mode_kind(mode: int) -> str:
 
 
 class Listed(InputPartition):
-    def __init__(self, root: str, root_dev: int, path: str | None, rows: list[tuple] | None = None):
-        self.root, self.root_dev, self.path, self.rows = root, root_dev, path, rows
+    def __init__(self, root: str, root_dev: int, path: str | None, rows: list[tuple] | None = None, seen: frozenset = frozenset()):
+        self.root, self.root_dev, self.path, self.rows, self.seen = root, root_dev, path, rows, seen
 
 
 class EntryReader(DataSourceReader):
@@ -72,8 +73,8 @@ class EntryReader(DataSourceReader):
             if not self.excluded(child, name):
                 yield self.entry(root, root_dev, child, name)
 
-    def walk(self, root: str, root_dev: int, path: str) -> Iterator[tuple]:
-        seen: set[tuple[int, int]] = set()
+    def walk(self, root: str, root_dev: int, path: str, above: frozenset) -> Iterator[tuple]:
+        seen: set[tuple[int, int]] = set(above)
         todo = [path]
         while todo:
             for row, down in self.listing(root, root_dev, todo.pop()):
@@ -92,24 +93,25 @@ class EntryReader(DataSourceReader):
             dev = os.stat(root).st_dev  # a root that can't be read is an error
             os.listdir(root)
             own, down = self.entry(root, dev, root, os.path.basename(root) or root)
-            rows, level = [own], [root] if down else []
+            rows, level, seen = [own], [root] if down else [], {(own[7], own[8])}
             for _ in range(2):
                 below = []
                 for path in level:
                     for row, deeper in self.listing(root, dev, path):
                         rows.append(row)
-                        if deeper:
+                        if deeper and not (self.follow and (row[7], row[8]) in seen):
+                            seen.add((row[7], row[8]))
                             below.append(row[1])
                 level = below
             out.append(Listed(root, dev, None, rows))
-            out += [Listed(root, dev, path) for path in level]
+            out += [Listed(root, dev, path, None, frozenset(seen) if self.follow else frozenset()) for path in level]
         return out
 
     def read(self, partition: Listed) -> Iterator[tuple]:
         if partition.rows is not None:
             yield from partition.rows
         else:
-            yield from self.walk(partition.root, partition.root_dev, partition.path)
+            yield from self.walk(partition.root, partition.root_dev, partition.path, partition.seen)
 
 
 class EntrySource(DataSource):
@@ -124,6 +126,10 @@ class EntrySource(DataSource):
         return EntryReader(self.options)
 
 
+def reader_columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.replace("\n", " ").split(", ")]
+
+
 def scan(spark: SparkSession, roots: list[str], exclude_paths: list[str] | None = None, exclude_globs: list[str] | None = None, follow_symlinks: bool = False, cross_filesystems: bool = False) -> DataFrame:
     """Entries of the roots. An unreadable directory stays one row, flagged with its error; when links are followed, a
     directory reached twice counts once, whichever task came first by path."""
@@ -136,7 +142,10 @@ def scan(spark: SparkSession, roots: list[str], exclude_paths: list[str] | None
     rows = rows.withColumns({"failed": failed, "place": place}).where("place = 1").withColumn("error", F.coalesce("error", "failed")).drop("failed", "place")
     if follow_symlinks:
         first = F.row_number().over(Window.partitionBy("dev", "ino").orderBy(F.split("path", "/")))
-        rows = rows.withColumn("first", F.when(F.col("kind") == "Dir", first).otherwise(1)).where("first = 1").drop("first")
+        rows = rows.withColumn("first", F.when(F.col("kind") == "Dir", first).otherwise(1))
+        again = rows.where("first > 1").select(F.col("path").alias("top"))
+        below = rows.select("path", F.explode(prefixes("path", 1)).alias("top")).join(again, "top", "left_semi").select("path").distinct()
+        rows = rows.drop("first").join(below, "path", "left_anti").select(*reader_columns(ENTRY))
     return rows
 
 
