@@ -3,10 +3,10 @@
 A document's set is its distinct five-word shingles, as 64-bit hashes. Documents with equal sets are one node from the start.
 Two nodes of sizes a and b can only reach a similarity of 0.8 if they share one of the first a - ceil(0.8 a) + 1 of a's and
 of b's shingles in any one order; ours puts shingles last that a sample of documents shows to be frequent, so that blocks of
-nodes with such a shingle in common stay small. In each block the nodes' count vectors (shingles hashed into ``GROUPS``
-groups) are packed into an R-tree, and a node can only link to another if the sum of the minima of their counts reaches the
+nodes with such a shingle in common stay small. In each block the nodes' count vectors (shingles hashed into groups, more of
+them for larger sets) are packed into an R-tree, and a node can only link to another if the sum of the minima of their counts reaches the
 overlap that 0.8 needs; a subtree's bound uses its largest counts and its sizes. What the bound leaves is not listed as pairs:
-each block reports which of its nodes hang together, at most one edge a node. Components of these edges, over all blocks, are
+a larger block reports which of its nodes hang together, at most one edge a node; pairs of small blocks are asked once. Components of these edges, over all blocks, are
 clusters, outside of which no link can be. A cluster's full sets then meet, an R-tree proposes candidates again and exact
 intersection verifies them; a node once linked is not compared with nodes it already hangs together with.
 
@@ -34,8 +34,9 @@ from fathomry.llm.common import binary_values, read, row_slices, staged
 WORDS = 5
 #: Similarity as a fraction: 80 of 100.
 PER, OF = 80, 100
-GROUPS = 32
-BLOCK, CLUSTER = 20_000, 6_000_000
+#: Groups of a count vector: a power of two, about a sixth of the set's size, so that the bound stays sharp for long texts.
+LEAST_GROUPS, MOST_GROUPS, PER_GROUP = 16, 1024, 6
+SMALL, BLOCK, CLUSTER = 8, 20_000, 6_000_000
 #: Sampled documents for the order of shingles, and frequent shingles kept of it: only the order depends on them.
 SAMPLE, FREQUENT = 16_384, 100_000
 LEAF = 16
@@ -86,8 +87,20 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def counts_of(s: np.ndarray) -> np.ndarray:
-    """Group counts; they saturate at 65535, which only ever loosens the bound (see ``Tree.reach``)."""
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 65_535).astype(np.uint16)
+    """Group counts. They saturate at 255, which stands for any number: that only ever loosens the bound."""
+    groups = LEAST_GROUPS
+    while groups < MOST_GROUPS and groups * PER_GROUP < len(s):
+        groups *= 2
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups), 255).astype(np.uint8)
+
+
+def folded(counts: list[np.ndarray]) -> np.ndarray:
+    """Count vectors as one matrix, in as many groups as the coarsest has: sums of the groups that fall together."""
+    groups = min(len(c) for c in counts)
+    out = np.empty((len(counts), groups), np.int32)
+    for i, c in enumerate(counts):
+        out[i] = np.where(c == 255, 1 << 20, c.astype(np.int32)).reshape(-1, groups).sum(0)
+    return out
 
 
 class Tree:
@@ -104,19 +117,14 @@ class Tree:
 
     @staticmethod
     def reach(size: int, counts: np.ndarray, top: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Which boxes may hold a partner: large enough minima sums for their smallest size, and sizes in reach.
-
-        A saturated count stands for any larger one, so it is lifted before minima are taken.
-        """
-        lift = lambda c: np.where(c == 65_535, 1 << 30, c)
-        bound = np.minimum(lift(counts), lift(top)).sum(1)
+        """Which boxes may hold a partner: large enough minima sums for their smallest size, and sizes in reach."""
+        bound = np.minimum(counts, top).sum(1)
         near = (low * PER <= size * OF) & (high * OF >= size * PER)
         return near & (bound >= needed(size, np.maximum(low, -(-size * PER // OF))))
 
     def search(self, size: int, counts: np.ndarray, open_: np.ndarray | None = None) -> np.ndarray:
         """Points (numbered as given) that the bound leaves, of those still ``open_``."""
         at = np.arange(len(self.levels[-1][0]))
-        counts = counts.astype(np.int32)
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
             at = at[self.reach(size, counts, top[at], low[at], high[at])]
@@ -206,18 +214,37 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def block_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: for each shingle's block, the nodes that the bound ties together, as edges to one of them."""
-    tokens = rows.select("node", F.explode("prefix").alias("token"))
+    """a, b: edges between nodes of one block, at most one a node, that tie together what the bound can't separate.
+
+    Pairs of blocks of up to ``SMALL`` nodes are gathered from all blocks and the bound is asked once for each pair. Larger
+    blocks are searched by an R-tree each; those of over ``BLOCK`` nodes keep all of their nodes together.
+    """
+    tokens = rows.select("node", "n", F.explode("prefix").alias("token"))
     size = F.count("*").over(Window.partitionBy("token"))
     least = F.min("node").over(Window.partitionBy("token"))
     shared = tokens.withColumns({"size": size, "least": least}).where(F.col("size") > 1)
     shared = staged(shared, "blocks")
-    large = shared.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    small = shared.where(F.col("size") <= BLOCK).join(nodes.select("node", "n", "counts"), "node").select("token", "node", "n", "counts")
+    vast = shared.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    few = shared.where(F.col("size") <= SMALL).groupBy("token").agg(F.collect_list(F.struct("node", "n")).alias("m"))
+    two = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["node"] > x["node"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
+    pairs = few.select(F.explode(two).alias("x")).select("x.*").where(F.least("na", "nb") * OF >= F.greatest("na", "nb") * PER).select("a", "b").distinct()
+    vector = nodes.select("node", "n", "counts")
+    left = pairs.join(vector.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
+    both = left.join(vector.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b").select("a", "b", "na", "nb", "ca", "cb")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, ca, cb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                c = folded([np.frombuffer(ca, np.uint8), np.frombuffer(cb, np.uint8)])
+                keep.append(int(np.minimum(c[0], c[1]).sum()) >= needed(na, nb))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    large = shared.where(F.col("size").between(SMALL + 1, BLOCK)).select("token", "node").join(vector, "node").select("token", "node", "n", "counts")
 
     def tied(at: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
         nodes_, sizes = np.array([r[0] for r in at], dtype=np.int64), np.array([r[1] for r in at], dtype=np.int64)
-        counts = np.frombuffer(b"".join(r[2] for r in at), np.uint16).reshape(-1, GROUPS)
+        counts = folded([np.frombuffer(r[2], np.uint8) for r in at])
         tree = Tree(sizes, counts)
         label = walk(len(at), lambda i, open_: tree.search(int(sizes[i]), counts[i], open_))
         for i in np.flatnonzero(label != np.arange(len(at))):
@@ -228,18 +255,30 @@ def block_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if t != token:
-                    out += tied(at) if len(at) > 1 else ()
+                    out += sized(at)
                     token, at = t, []
                 at.append(row)
-            yield pairs(out)
+            yield edges(out)
             out = []
-        yield pairs(list(tied(at)) if len(at) > 1 else [])
-
-    def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        yield edges(sized(at))
+
+    def sized(at: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+        """A block in bands of sizes: vectors of one band differ little in groups, and no link spans more than two bands."""
+        out: list[tuple[int, int]] = []
+        at = sorted(at, key=lambda r: r[1])
+        band = [int(np.log(r[1]) / (1.01 * np.log(OF / PER))) for r in at]
+        cuts = [i for i in range(len(at)) if i == 0 or band[i] != band[i - 1]] + [len(at)]
+        for k in range(len(cuts) - 1):
+            upto = cuts[k + 2] if k + 2 < len(cuts) and band[cuts[k + 1]] == band[cuts[k]] + 1 else cuts[k + 1]
+            if upto - cuts[k] > 1:
+                out += tied(at[cuts[k] : upto])
+        return list(set(out))
+
+    def edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    found = small.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
-    return found.unionByName(large).distinct()
+    found = large.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
+    return found.unionByName(both.mapInArrow(bounded, "a long, b long")).unionByName(vast).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,7 +329,7 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFram
     def linked(at: list[tuple[bytes, np.ndarray]]) -> Iterator[tuple[bytes, bytes]]:
         at = list({sig: (sig, s) for sig, s in at}.values())
         sizes = np.array([len(s) for _, s in at])
-        counts = np.array([counts_of(s) for _, s in at])
+        counts = folded([counts_of(s) for _, s in at])
         tree = Tree(sizes, counts)
         tokens, flat = np.unique(np.concatenate([s for _, s in at]), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
@@ -336,7 +375,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     some = rows.where("sig is not null")
     nodes = some.groupBy("sig").agg(F.min("node").alias("node"), F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("counts").alias("counts"))
     nodes = staged(nodes, "nodes")
-    first = rows.select("node", "prefix").join(nodes.select("node"), "node", "left_semi")
+    first = rows.select("node", "n", "prefix").join(nodes.select("node"), "node", "left_semi")
     clusters = components(block_edges(first, nodes))
     links = components(verified(docs, nodes, clusters))
     rooted = nodes.select("sig", "least", "key").join(links.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
