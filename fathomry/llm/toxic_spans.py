@@ -227,10 +227,11 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> Model | Non
     top, count = (np.concatenate(x) for x in zip(*some, strict=True))
     x, prior = inputs(top, count), np.array([0.0, 1.0, 0.0])
     c = prior.copy()
-    for _ in range(50):  # Newton steps of the penalised logistic fit
-        q = 1 / (1 + np.exp(-x @ c))
+    for _ in range(200):  # Newton steps, of length 1 at most, of the penalised logistic fit
+        q = 1 / (1 + np.exp(np.clip(-x @ c, -50, 50)))
         h = (x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(3)
-        c -= np.linalg.solve(h, x.T @ (q - labels) + 0.5 * (c - prior))
+        step_ = np.linalg.solve(h, x.T @ (q - labels) + 0.5 * (c - prior))
+        c -= step_ / max(1.0, float(np.linalg.norm(step_)))
     model.document = c
     return model
 
@@ -293,7 +294,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 ids = np.array([vocab[w] for ws in words for w in ws], dtype=np.int64)
                 lengths = np.array([len(ws) for ws in words])
                 top, count, odds = summaries(model, ids, vocab.table(), lengths)
-                scores = (1 / (1 + np.exp(-inputs(top, count) @ model.document))).tolist()
+                scores = (1 / (1 + np.exp(np.clip(-inputs(top, count) @ model.document, -50, 50)))).tolist()
                 numbers, spans, at = [], [], 0
                 for t, k in zip(texts, lengths.tolist(), strict=True):
                     own, at = odds[at : at + k], at + k
