@@ -14,7 +14,7 @@ from fathomry import settings as S
 from fathomry.functions import paths as P
 from fathomry.functions.formats import exact_size
 from fathomry.functions.hashing import hash_files
-from fathomry.operators import dedup, devsweep, export, filters, ops, tree
+from fathomry.operators import dedup, buildtrees, export, filters, ops, tree
 from fathomry.sources import files
 from fathomry.sources.filesystem import scan, volumes
 from fathomry.sources.rules import builtin
@@ -119,11 +119,11 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
                 print(e, file=sys.stderr)
         now = int(time.time())
         found = scan(spark, args.paths)
-        result = devsweep.analyze(found, rules, max_depth=None if args.depth is None else args.depth + min(len(os.path.abspath(p).strip("/").split("/")) for p in args.paths))
-        projects = devsweep.filter_projects(result["projects"], now, args.type, 0, args.stale)
-        for r in devsweep.in_order(projects).collect():
+        result = buildtrees.analyze(found, rules, max_depth=None if args.depth is None else args.depth + min(len(os.path.abspath(p).strip("/").split("/")) for p in args.paths))
+        projects = buildtrees.filter_projects(result["projects"], now, args.type, 0, args.stale)
+        for r in buildtrees.in_order(projects).collect():
             say(f"{exact_size(r['artifact_size']):>12}  {', '.join(r['types']):<24} {r['path']}")
-        for r in devsweep.totals(projects).collect():
+        for r in buildtrees.totals(projects).collect():
             say(f"{r['projects']} projects, {exact_size(r['artifact_size'])} in artifacts")
     elif args.command == "dup":
         groups = duplicates(spark, args.paths, settings.min_duplicate_size if args.min_size is None else args.min_size, args.include, args.exclude).persist()

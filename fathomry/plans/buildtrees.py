@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
 from fathomry.functions.globs import to_regex
-from fathomry.operators import devsweep as D
+from fathomry.operators import buildtrees as D
 from fathomry.sources import files
 from fathomry.sources import tables as S
 from fathomry.sources.rules import EXPLAINED, NO_LOCKFILE, TRACKED, builtin

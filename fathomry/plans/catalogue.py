@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomry.plans import devsweep, duplicates, reclaim, space
+from fathomry.plans import buildtrees, duplicates, reclaim, space
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = space.QUERIES | duplicates.QUERIES | devsweep.QUERIES | reclaim.QUERIES
+ALL = space.QUERIES | duplicates.QUERIES | buildtrees.QUERIES | reclaim.QUERIES
 
 
 def queries() -> dict[str, Query]:

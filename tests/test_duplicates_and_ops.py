@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fathomry import cli, settings
 from fathomry.functions.hashing import full_key, partial_key
-from fathomry.operators import dedup, devsweep, ops, similar
+from fathomry.operators import dedup, buildtrees, ops, similar
 from fathomry.sources import files
 from fathomry.sources.rules import builtin, from_toml, to_toml
 
@@ -68,7 +68,7 @@ def test_projects(spark):
     dirs = sorted({"/" + "/".join(p.split("/")[1:i]) for p in paths for i in range(2, len(p.split("/")))})
     rows = [(p, "File", 512, 1) for p in paths] + [(d, "Dir", 0, 1) for d in dirs]
     df = spark.createDataFrame([(p, k, a, a, 1, None, None, m) for p, k, a, m in rows], "path string, kind string, apparent long, allocated long, nlink long, dev long, ino long, mtime long")
-    found = devsweep.analyze(df, builtin())
+    found = buildtrees.analyze(df, builtin())
     artifacts = {r["path"]: (r["project_path"], r["risk"]) for r in found["artifacts"].collect()}
     assert artifacts == {"/p/target": ("/p", "Safe"), "/n/node_modules": ("/n", "Caution"), "/s/__pycache__": ("/s", "Safe")}
     projects = {r["path"]: r["types"] for r in found["projects"].collect()}
