@@ -27,6 +27,8 @@ from fathomry.llm.common import held_out, labelled_sample, read, row_slices
 ROWS = 4_000
 PASSAGE = 32
 HIDDEN, GATE = 24, 12
+#: Bytes of text at once: a slice needs some 60 times as much for its arrays.
+PIECE = 1_000_000
 THRESHOLD = 0.3
 
 # Classes of bytes: lower case, upper case, digit, blank, control, lead and trail bytes of other characters, and each ASCII mark.
@@ -176,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches, 2):
+        for batch in row_slices(batches, 2, PIECE):
             x, bags = passages(*arrow_bytes(batch.column(2)))
             starts = np.cumsum(bags) - bags
             packed = [x[a : a + n].tobytes() for a, n in zip(starts, bags, strict=True)]
@@ -193,7 +195,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score, n_passages, top_passage (the most attended, from 0) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches, 1, 4_000_000):
+        for batch in row_slices(batches, 1, PIECE):
             x, bags = passages(*arrow_bytes(batch.column(1)))
             p, a = model.score(x, bags) if model else (np.zeros(len(bags)), np.zeros(len(x)))
             starts = np.cumsum(bags) - bags
@@ -211,7 +213,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches, place, 4_000_000):
+        for batch in row_slices(batches, place, PIECE):
             p, _ = model.score(*passages(*arrow_bytes(batch.column(place))))
             yield batch.filter(pa.array(p >= threshold))
 
