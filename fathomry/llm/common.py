@@ -53,6 +53,30 @@ def crc_mod(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Bits of a screen: 16 a key, so that about one other key in 16 passes, but never more than 2^27 (16 MB).
+SCREEN_PER_KEY, SCREEN_LEAST, SCREEN_MOST, SCREEN_ROW = 16, 1 << 18, 1 << 27, 1 << 15
+
+
+def screened(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``__maybe``: false only where ``key`` is surely not among ``keys`` (one string column).
+
+    A bitmap of the keys' hashes of at most ``SCREEN_MOST`` bits is broadcast, so that rows without a match need no shuffle.
+    With more keys than it is made for it passes more rows, never fewer: an exact join has to follow.
+    """
+    bits = SCREEN_LEAST
+    n = keys.count()
+    while bits < SCREEN_MOST and bits < n * SCREEN_PER_KEY:
+        bits *= 2
+    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits))
+    row, bit = F.floor(at / SCREEN_ROW).cast("int"), at % SCREEN_ROW
+    maps = keys.select(row.alias("__row"), bit.alias("__bit")).groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    placed = df.withColumns({"__row": F.floor(at / SCREEN_ROW).cast("int"), "__bit": (at % SCREEN_ROW).cast("int")})
+    byte = F.conv(F.hex(F.expr("substring(__map, __bit div 8 + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("1 << (__bit % 8)").bitwiseAND(byte) != 0, F.lit(False))
+    return placed.join(F.broadcast(maps), "__row", "left").withColumn("__maybe", hit).drop("__row", "__bit", "__map")
+
+
 def binary_values(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding it."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

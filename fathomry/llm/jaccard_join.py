@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fathomry.llm.common import binary_values, read, row_slices, staged
+from fathomry.llm.common import binary_values, read, row_slices, screened, staged
 
 WORDS = 5
 #: Similarity as a fraction: 80 of 100.
@@ -306,7 +306,8 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFram
     parts = inside.groupBy("root").agg(F.ceil(F.sum("n") / CLUSTER).cast("int").alias("parts"))
     members = staged(inside.join(parts, "root").select("key", "sig", "root", "parts"), "members")
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumn("key", row_key(F.col("doc_id"), F.col("text"))).select("key", "text")
-    own = table.join(members, "key").select("text", "sig", "root", "parts")
+    # Most texts are in no cluster: they stay where they are.
+    own = screened(table, "key", members.select("key")).where("__maybe").join(members, "key").select("text", "sig", "root", "parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -398,15 +399,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     one id and one text become one row.
     """
     found = staged(linked_rows(docs).select("key", "keeper"), "kept")
-    keyed = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"]))
     gone = found.where("key <> keeper").select("key").distinct()
-    kept = keyed.join(gone, keyed["__key"] == gone["key"], "left_anti")
     again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    if again.isEmpty():
-        return kept.drop("__key")
-    again = staged(again, "again")
-    same = keyed["__key"] == again["key"]
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["__key", "text"])).drop("__key")
+    odd = staged(gone.withColumn("gone", F.lit(True)).unionByName(again.withColumn("gone", F.lit(False))), "odd")
+    keyed = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"]))
+    # Rows that surely are neither gone nor repeated need no shuffle.
+    seen = screened(keyed, "__key", odd.select("key"))
+    gone, again = odd.where("gone").select("key"), odd.where("not gone").select("key")
+    sure = seen.where("not __maybe").drop("__maybe", "__key")
+    kept = seen.where("__maybe").drop("__maybe").join(gone, F.col("__key") == gone["key"], "left_anti")
+    if not again.isEmpty():
+        same = kept["__key"] == again["key"]
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["__key", "text"]))
+    return sure.unionByName(kept.drop("__key"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

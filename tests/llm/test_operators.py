@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomry.llm import decontaminate, jaccard_join, language_id, mix_sources, nearest, passage_quality, pii, secret_scan, toxic_spans, url_filter
+from fathomry.llm import common, decontaminate, jaccard_join, language_id, mix_sources, nearest, passage_quality, pii, secret_scan, toxic_spans, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = [" ".join(f"w{(i * 7 + j * (i % 5 + 1)) % 97}" for j in range(60 + i)) for i in range(8)]
@@ -136,6 +136,22 @@ def test_links(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted({root[i] + 1 for i in range(len(texts))})
 
 
+def test_keep_one_with_repeats_nulls_and_clashing_names(spark):
+    rows = [(1, PROSE[0]), (1, PROSE[0]), (2, PROSE[0]), (None, PROSE[1]), (None, PROSE[1]), (3, PROSE[2]), (4, None), (4, None), (5, ""), (6, PROSE[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(7) for k in ("maybe", "key", "gone", "n", "sig", "root")})
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in {*rows} - {(2, PROSE[0])})
+
+
+def test_screen_never_misses(spark):
+    keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("key"))
+    seen = common.screened(spark.range(3000).withColumn("own", F.col("id").cast("string")), "own", keys).collect()
+    assert len(seen) == 3000 and all(r["__maybe"] for r in seen if r["id"] % 3 == 0)
+    assert sum(r["__maybe"] for r in seen if r["id"] % 3) < 100
+    assert not any(r["__maybe"] for r in common.screened(spark.range(9).withColumn("own", F.lit(None).cast("string")), "own", keys.limit(0)).collect())
+
+
 def test_tree_bound_never_misses():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in rng.integers(1, 400, 60)]
