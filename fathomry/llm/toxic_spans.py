@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fathomry.llm.common import binary_values, held_out, labelled_sample, read, row_slices
 
-ROWS = 4_000
+ROWS = 6_000
 CHAIN = 48
 ODDS, CHANCE = 12.0, 0.1
 MARKS = b".,;:!?\"'()[]{}<>*#%&$|-_"
