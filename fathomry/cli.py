@@ -95,7 +95,9 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         rolled = tree.rolled_up(found).persist()
         for path in map(os.path.abspath, args.paths):
             if args.json:
-                say(export.to_json(rolled, tree.issues(rolled), path, args.depth, args.top, size))
+                for part in export.json_parts(rolled, tree.issues(rolled), path, args.depth, args.top, size):
+                    out.write(part)
+                say()
             elif args.csv:
                 say("\n".join(r["line"] for r in export.csv_lines(rolled, path, args.depth).orderBy("position").collect()))
             elif args.largest:

@@ -1,9 +1,11 @@
-"""Exports: nested JSON, CSV, SVG. What is nested or concatenated on the driver is a summary of bounded depth and breadth."""
+"""Exports: nested JSON, CSV, SVG. What is nested on the driver is a summary of bounded depth and breadth; lists are
+streamed, whole."""
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from fathomry.operators.dedup import export_rows, group_totals, in_order
 from fathomry.operators.tree import preorder, summarize
 
 
-def to_json(rolled: DataFrame, issues: DataFrame, root: str, max_depth: int, max_children: int, size: str = "agg_allocated") -> str:
-    """``{root, issues}``: at most max_children to the power of max_depth nodes."""
+def json_parts(rolled: DataFrame, issues: DataFrame, root: str, max_depth: int, max_children: int, size: str = "agg_allocated") -> Iterator[str]:
+    """``{root, issues}`` in pieces: at most max_children to the power of max_depth nodes, then all issues in order of path,
+    of which the driver holds a partition at a time."""
     rows = summarize(rolled, root, max_depth, max_children, size).orderBy("level", "rank").collect()
     nodes: dict[str, dict] = {}
     for r in rows:
@@ -23,8 +26,23 @@ def to_json(rolled: DataFrame, issues: DataFrame, root: str, max_depth: int, max
         above = nodes.get(r["path"].rsplit("/", 1)[0] or "/")
         if above is not None and r["level"]:
             above.setdefault("children", []).append(node)
-    found = [r.asDict() for r in issues.limit(5000).collect()]
-    return json.dumps({"root": nodes.get(root), "issues": found}, indent=2, ensure_ascii=False)
+    yield json.dumps({"root": nodes.get(root)}, indent=2, ensure_ascii=False)[:-2] + ',\n  "issues": ['
+    yield from elements(r.asDict() for r in issues.orderBy(*issues.columns).toLocalIterator())
+    yield "]\n}"
+
+
+def elements(values: Iterable[dict]) -> Iterator[str]:
+    """The elements of an array at the second level of a document, as ``json.dumps`` with an indent of 2 writes them."""
+    some = False
+    for value in values:
+        yield (",\n    " if some else "\n    ") + json.dumps(value, indent=2, ensure_ascii=False).replace("\n", "\n    ")
+        some = True
+    if some:
+        yield "\n  "
+
+
+def to_json(rolled: DataFrame, issues: DataFrame, root: str, max_depth: int, max_children: int, size: str = "agg_allocated") -> str:
+    return "".join(json_parts(rolled, issues, root, max_depth, max_children, size))
 
 
 def csv_lines(rolled: DataFrame, root: str, max_depth: int) -> DataFrame:
