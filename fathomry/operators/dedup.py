@@ -154,3 +154,20 @@ def export_rows(groups: DataFrame) -> DataFrame:
     totals = in_order(group_totals(groups))
     rows = groups.join(totals.select("size", "hash", "group_id", "wasted"), ["size", "hash"])
     return rows.select("group_id", F.lit("identical").alias("kind"), "hash", F.col("wasted").alias("group_wasted"), "path", "size", "mtime")
+
+
+def export_all(groups: DataFrame, similar: DataFrame) -> DataFrame:
+    """Rows of the whole export: identical groups, then similar ones (root, max_distance, path, size, mtime, width, height).
+
+    Similar groups come by wasted (all but the largest) and size (the largest) descending, then by the first path; they have a
+    distance and measures, and no hash. Identical groups have neither distance nor measures.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    same = groups.select(F.lit("identical").alias("kind"), "hash", none("int").alias("distance"), "path", "size", "mtime", none("int").alias("width"), none("int").alias("height"), F.struct(F.col("size").cast("string").alias("a"), F.col("hash").cast("string").alias("b")).alias("key"))
+    like = similar.select(F.lit("similar").alias("kind"), none("string").alias("hash"), F.col("max_distance").cast("int").alias("distance"), "path", "size", "mtime", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.struct(F.col("root").cast("string").alias("a"), none("string").alias("b")).alias("key"))
+    rows = same.unionByName(like)
+    sums = rows.groupBy("kind", "key").agg((F.sum("size") - F.max("size")).alias("group_wasted"), F.max("size").alias("group_size"), F.min(P.parts("path")).alias("first"))
+    order = Window.orderBy("kind", F.desc("group_wasted"), F.desc("group_size"), "first")
+    named = sums.withColumn("group_id", F.row_number().over(order)).drop("first")
+    on = (F.col("r.kind") == F.col("n.kind")) & F.col("r.key").eqNullSafe(F.col("n.key"))
+    return rows.alias("r").join(named.alias("n"), on).select("group_id", "r.kind", "hash", "distance", "group_wasted", "group_size", "path", "size", "mtime", "width", "height")

@@ -10,8 +10,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomry.functions import paths as P
 from fathomry.functions.formats import csv_field
-from fathomry.operators.dedup import export_rows, group_totals, in_order
+from fathomry.operators.dedup import export_all
 from fathomry.operators.tree import preorder, summarize
 
 
@@ -53,15 +54,41 @@ def csv_lines(rolled: DataFrame, root: str, max_depth: int) -> DataFrame:
     return head.unionByName(rows.select("position", text.alias("line")))
 
 
-def duplicates_json(groups: DataFrame) -> DataFrame:
-    """One JSON object a group, with its files in order of path."""
-    files = groups.groupBy("size", "hash").agg(F.array_sort(F.collect_list(F.struct("path", "mtime"))).alias("files"))
-    rows = in_order(group_totals(groups)).join(files, ["size", "hash"])
-    return rows.select("group_id", F.to_json(F.struct(F.lit("identical").alias("kind"), "hash", "size", "wasted", F.col("files.path").alias("files"))).alias("json"))
+def duplicates_json(groups: DataFrame, similar: DataFrame) -> DataFrame:
+    """group_id, kind, wasted and json: one JSON object a group, identical ones first, with its files in order of path."""
+    file = F.struct(P.parts("path").alias("p"), "path", "size", "mtime", "width", "height")
+    rows = export_all(groups, similar).groupBy("group_id", "kind", "hash", "distance", "group_wasted", "group_size").agg(F.array_sort(F.collect_list(file)).alias("files"))
+    files = F.transform("files", lambda f: F.struct(*(f[c].alias(c) for c in ("path", "size", "mtime", "width", "height"))))
+    one = F.struct("kind", "hash", "distance", F.col("group_size").alias("size"), F.col("group_wasted").alias("wasted"), files.alias("files"))
+    return rows.select("group_id", "kind", F.col("group_wasted").alias("wasted"), F.to_json(one).alias("json"))
 
 
-def write_duplicates_csv(groups: DataFrame, path: str) -> None:
-    export_rows(groups).orderBy("group_id", "path").write.mode("overwrite").option("header", True).csv(path)
+def duplicates_document(groups: DataFrame, similar: DataFrame, errors: DataFrame, stats: dict) -> Iterator[str]:
+    """``{total_wasted, groups, similar, errors, stats}`` in pieces; total_wasted is of the identical groups, errors are (path, error).
+
+    ``stats`` are the caller's, see ``stage_stats``; the groups' lists are streamed, a partition at a time.
+    """
+    rows = duplicates_json(groups, similar).persist()
+    total = rows.where("kind = 'identical'").agg(F.coalesce(F.sum("wasted"), F.lit(0)).alias("n")).first()["n"]
+    yield "{\n" + f'  "total_wasted": {total}'
+    for name, kind in (("groups", "identical"), ("similar", "similar")):
+        yield f',\n  "{name}": ['
+        yield from elements(json.loads(r["json"]) for r in rows.where(F.col("kind") == kind).orderBy("group_id").toLocalIterator())
+        yield "]"
+    yield ',\n  "errors": ['
+    yield from elements(r.asDict() for r in errors.select("path", "error").orderBy("path", "error").toLocalIterator())
+    yield '],\n  "stats": ' + json.dumps(stats, indent=2, ensure_ascii=False).replace("\n", "\n  ") + "\n}"
+    rows.unpersist()
+
+
+def stage_stats(counts: DataFrame) -> dict:
+    """The stats of the export that ``stage_counts`` knows."""
+    return {"files_scanned" if r["stage"] == "scanned" else f"candidates_after_{r['stage']}": r["files"] for r in counts.orderBy("step").collect()}
+
+
+def write_duplicates_csv(groups: DataFrame, similar: DataFrame, path: str) -> None:
+    rows = export_all(groups, similar).select(F.col("group_id").alias("group"), "kind", "hash", "distance", "group_wasted", "path", "size", "mtime", "width", "height")
+    rows.orderBy("group", P.parts("path")).write.mode("overwrite").option("header", True).csv(path)
 
 
 def svg(arcs: DataFrame, side: int = 800, rings: int = 6) -> str:

@@ -125,6 +125,14 @@ def image_representatives(spark: SparkSession, sf: str) -> DataFrame:
     return similar.representatives(images, redundant).agg(F.count("*").alias("images"), F.sum("size").alias("bytes"))
 
 
+def dup_export_all(spark: SparkSession, sf: str) -> DataFrame:
+    images, members = found(spark, sf)
+    n = F.col("path")
+    like = members.join(images.select("path", "size"), "path")
+    like = like.select("root", "max_distance", F.concat(F.lit("/images/"), n, F.lit(".png")).alias("path"), "size", (1_700_000_000 + n).alias("mtime"), (n % 5 * 100 + 100).alias("width"), F.lit(100).alias("height"))
+    return dedup.export_all(groups(spark, sf), like).drop("group_size")
+
+
 W = f"WITH {S.DOCS_SQL} "
 KEEP = W + ", k AS (SELECT *, row_number() OVER (PARTITION BY size, hash ORDER BY {order}, p) AS n FROM full_) SELECT path, n > 1 AS marked FROM k"
 COMPONENTS = f"""WITH RECURSIVE {S.IMAGES_SQL}, l AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), c AS (SELECT a AS x, a AS y FROM l UNION SELECT c.x, l.b FROM c JOIN l ON l.a = c.y), g AS (SELECT x AS path, min(y) AS root FROM c GROUP BY x) """
@@ -147,6 +155,11 @@ QUERIES = {
     "marked_bytes": (marked_bytes, f"{W} SELECT (sum(files) - count(*))::BIGINT AS files, sum(wasted)::BIGINT AS bytes FROM totals"),
     "dup_stats": (dup_stats, f"{W} SELECT 0 AS step, 'scanned' AS stage, count(*) AS files, sum(size)::BIGINT AS bytes FROM f UNION ALL SELECT 1, 'size', count(*), sum(size)::BIGINT FROM sized UNION ALL SELECT 2, 'partial', count(*), sum(size)::BIGINT FROM halves UNION ALL SELECT 3, 'full', count(*), sum(size)::BIGINT FROM full_"),
     "dup_export_rows": (dup_export_rows, f"{W} SELECT group_id::INT AS group_id, 'identical' AS kind, hash, wasted AS group_wasted, path, size, mtime FROM full_ JOIN ordered USING (size, hash)"),
+    "dup_export_all": (dup_export_all, f"""WITH RECURSIVE {S.DOCS_SQL}, {COMPONENTS.removeprefix("WITH RECURSIVE ")}, far AS (SELECT root, max(distance) AS distance FROM edges JOIN g ON g.path = edges.a GROUP BY root),
+        m AS (SELECT root, '/images/' || path || '.png' AS path, size, 1700000000 + path AS mtime, (path % 5 * 100 + 100)::INT AS width FROM g JOIN img USING (path)),
+        o AS (SELECT root, sum(size) - max(size) AS wasted, row_number() OVER (ORDER BY sum(size) - max(size) DESC, max(size) DESC, min(path)) AS n FROM m GROUP BY root)
+        SELECT group_id::INT AS group_id, 'identical' AS kind, hash, NULL::INT AS distance, wasted::BIGINT AS group_wasted, path, size, mtime, NULL::INT AS width, NULL::INT AS height FROM full_ JOIN ordered USING (size, hash)
+        UNION ALL SELECT ((SELECT count(*) FROM ordered) + n)::INT, 'similar', NULL, distance, wasted::BIGINT, path, size, mtime, width, 100 FROM m JOIN o USING (root) JOIN far USING (root)"""),
     "cache_lookup": (cache_lookup, None),
     "cache_prune": (cache_prune, "WITH f AS (SELECT '/docs/' || lang || '/' || source || '/' || doc_id || '.txt' AS path, strlen(text) AS size FROM documents) SELECT path FROM f WHERE NOT (starts_with(path, '/docs/en/') OR starts_with(path, '/docs/de/')) OR size % 2 = 0"),
     "cache_upsert": (cache_upsert, None),
