@@ -4,8 +4,8 @@ Each language has a raw-content zstandard dictionary, slices of its training tex
 ``PIECE`` bytes, and every piece is compressed with every language's dictionary; the language whose sizes add up to the least
 wins. ``accepted`` is false where the runner-up comes within ``MARGIN`` of it: the margin is too narrow to trust.
 
-Fitted on a bounded sample: about ``DOCS`` documents of each language, a slice of ``SLICE`` characters from each, at most
-``DICTIONARY`` bytes a language. The dictionaries are all that goes to the tasks, at most 32 kB for a learned language.
+Fitted on a bounded sample: about ``DOCS`` documents of each language, a slice of ``SLICE`` characters from each, whole
+in any script. The dictionaries are all that goes to the tasks: about 60 kB for a learned language in ASCII, 240 kB at most.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and not accepted; so is every text if nothing could be
 learned; repeated rows each give a row; a null doc_id is predicted but never learned from; whole texts are compressed.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fathomry.llm.common import crc_mod, held_out, read
 
-DOCS, SLICE, DICTIONARY = 200, 300, 32_000
+DOCS, SLICE = 200, 300
 PIECE = 1024
 LEVEL = 7
 MARGIN = 0.01
@@ -48,7 +48,7 @@ def train(docs: DataFrame, docs_each: int = DOCS, slice_chars: int = SLICE) -> d
     out = {}
     for lang in sorted(counts):
         joined = "\n".join(r["t"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["d"], r["doc_id"])))
-        if len(raw := joined.encode()[:DICTIONARY]) >= 8:
+        if len(raw := joined.encode()) >= 8:
             out[lang] = raw
     return out
 
