@@ -8,7 +8,8 @@ before and after it, so unseen words are judged by their parts and neighbours; t
 a document's score is a logistic function of the highest marginal and of the expected number of toxic words, fitted on the
 same documents; stretches of words with a marginal of a half or more are reported as offsets.
 
-Fitted on a bounded sample of ``ROWS`` labelled documents, whole texts. The model is the weights of
+Fitted on a bounded sample of ``ROWS`` labelled documents, whole texts; of these on all chains with toxic words or words that
+begin alike, and on a random share of the rest, as many again, ``BACKGROUND`` chains if that is more. The model is the weights of
 the parts of words seen in the chains that were learned from, those worth keeping.
 
 Cases: null and empty texts get the score that no evidence gives and no spans; without usable labels every score is 0;
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from fathomry.llm.common import binary_values, held_out, labelled_sample, read, row_slices
 
 ROWS = 6_000
+#: Chains without toxic words, or words like them, that are learned from at least (about; all if there are fewer).
+BACKGROUND = 6_000
 CHAIN = 48
 ODDS, CHANCE = 12.0, 0.1
 MARKS = b".,;:!?\"'()[]{}<>*#%&$|-_"
@@ -180,7 +183,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> Model | Non
     alike = {words[i][:4] for i in np.flatnonzero(toxic)}
     near = np.array([w[:4] in alike for w in words])
     keep = (near[ids][index] & real).any(1)
-    keep |= np.random.default_rng(5).random(len(keep)) < min(1.0, max(keep.sum(), 6000) / len(keep))
+    keep |= np.random.default_rng(5).random(len(keep)) < min(1.0, max(keep.sum(), BACKGROUND) / len(keep))
     index, real = index[keep], real[keep]
     del keep, near
     # Features get numbers within the kept chains (their words and those beside them); a last one stands for the text's end.

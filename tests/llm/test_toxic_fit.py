@@ -1,5 +1,6 @@
 """What the toxicity score is fitted on."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fathomry.llm import toxic_spans
@@ -11,3 +12,13 @@ def test_fitted_on_six_thousand_documents(spark, monkeypatch):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     toxic_spans.train(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
     assert seen == [(6000, 6000)]
+
+
+def test_background_is_a_named_bound(monkeypatch):
+    texts = [(f"tox{i % 3} " if i % 4 == 0 else "") + " ".join(f"w{(i * 31 + j * j) % 5000}" for j in range(30)) for i in range(400)]
+    labels = np.array([float(i % 4 == 0) for i in range(400)])
+    known = []
+    for n in (0, 6_000):
+        monkeypatch.setattr(toxic_spans, "BACKGROUND", n)
+        known.append(len(toxic_spans.fit([t.encode() for t in texts], labels, 2).weights[0]))
+    assert known[0] < known[1]
