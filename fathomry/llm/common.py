@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,14 +23,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local temporary folder only where that is unset (tests, local mode)."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a temporary folder, but only if this machine runs all tasks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = f"file://{tempfile.mkdtemp(prefix='fathomry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Staged tables that still exist, oldest first.
+_staged: list[str] = []
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -38,14 +47,45 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _remove_all(spark: SparkSession) -> None:
+    while _staged:
+        _remove(spark, _staged.pop())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and a lost executor
-    costs a reread instead of a recomputation. The files go when the driver process ends."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and a lost executor costs a
+    reread instead of a recomputation.
+
+    The files go when the driver process ends, or earlier by ``discard`` or ``finished``. They lie in a folder named after
+    the application, so what a killed driver leaves can be told and removed.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fathomry-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/fathomry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_remove_all, spark)
+    _staged.append(path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fathomry_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    path = df._fathomry_path
+    if path in _staged:
+        _staged.remove(path)
+        _remove(df.sparkSession, path)
+
+
+def finished(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The staged result of ``build``; all tables that were staged on the way to it are removed."""
+    before = len(_staged)
+    out = staged(build(), name)
+    for path in _staged[before:-1]:
+        _staged.remove(path)
+        _remove(out.sparkSession, path)
+    return out
 
 
 def crc_mod(id_col: Column, modulus: int) -> Column:
@@ -96,8 +136,22 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 8
             yield batch.slice(start)
 
 
-def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function``, after whose last batch the worker gives its free memory back: workers stay, and idle ones would hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
+#: Bytes of labelled texts that a classifier is fitted on, and the most of a single text.
+FIT_BYTES, FIT_TEXT = 64_000_000, 4_000_000
 
 
 def labelled_sample(labels: DataFrame, label: str, rows: int, modulus: int = 5) -> DataFrame:
@@ -114,6 +168,29 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, modulus: int = 5)
     )
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int = FIT_BYTES, most_text: int = FIT_TEXT) -> DataFrame:
+    """doc_id, y, text: at most ``rows`` distinct labelled documents of at most ``most_bytes`` together, whole texts, for a fit.
+
+    Rows with one id and one text count once; of the texts of all rows with the chosen ids the smallest by hash are taken
+    until a bound is met, passing over texts of more than ``most_text`` bytes. Their sizes are gathered first, so neither an
+    id that repeats without end nor a huge text reaches the driver.
+    """
+    spark = docs.sparkSession
+    chosen = labelled_sample(labels, label, rows)
+    all_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    all_ = all_.withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = all_.groupBy("h", "doc_id", "y").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).where(F.col("n") <= most_text)
+    kept, total = [], 0
+    for r in sizes.orderBy("h", "doc_id").limit(rows).collect():
+        total += r["n"]
+        if total > most_bytes:
+            break
+        kept.append((r["h"], r["doc_id"], r["y"]))
+    wanted = spark.createDataFrame(kept, "h long, doc_id long, y int")
+    found = all_.drop("y").join(F.broadcast(wanted), ["h", "doc_id"])
+    return found.groupBy("h", "doc_id", "y").agg(F.first("text").alias("text")).select("doc_id", "y", "text")
+
+
 def held_out(id_col: Column, modulus: int = 5, remainder: int = 0) -> Column:
     """False for a null id, which is never learned from either."""
     return F.coalesce(crc_mod(id_col, modulus) == remainder, F.lit(False))

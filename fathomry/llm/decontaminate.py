@@ -4,8 +4,9 @@ Patterns are the benchmark's windows: 13 consecutive item words, or the whole it
 form a searcher: a shift table on the last two words of the search window tells how far it may skip, a zero shift leads to
 the bucket of that word pair, and direct comparison confirms an occurrence. Words are compared as UTF-8 bytes.
 
-The windows travel to the tasks only in blocks of at most ``BLOCK`` windows; a benchmark beyond that is searched block by
-block, each block one narrow pass whose few hits are merged by row.
+The windows travel to the tasks only in blocks of at most ``BLOCK`` windows. A benchmark of one block is one narrow pass; a
+longer one is searched block by block, the hits so far riding along in staged rows, so that neither the driver nor a task ever
+holds two blocks.
 
 Cases: null, empty and wordless texts have n_words 0 and are never contaminated; items without words give no window;
 repeated items are both reported; repeated rows each give a row; null item_ids are left out of the digest.
@@ -13,21 +14,22 @@ repeated items are both reported; repeated rows each give a row; null item_ids a
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm.common import binary_values, read, row_slices
+from fathomry.llm.common import binary_values, discard, read, row_slices, staged, tidy
 
 WINDOW = 13
 #: Windows sent to the tasks at once: about 100 MB in a Python worker.
 BLOCK = 200_000
 # What separates words becomes a blank, A-Z becomes a-z; every byte from 0x80 up belongs to a word.
 TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-HIT = "n_words long, hits array<int>, items array<long>"
+#: Bytes of text whose words are split at once.
+PIECE = 4_000_000
+HITS, ITEMS = pa.list_(pa.int32()), pa.list_(pa.int64())
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -118,34 +120,55 @@ def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None, b
     yield block
 
 
-def search(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK) -> DataFrame:
-    """``docs`` (doc_id, text) with n_words, hits ([start, end, ...] in words) and items (ids), a row for each row."""
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found: DataFrame | None = None
-    for block in blocks(benchmark, most):
+Finish = Callable[[pa.RecordBatch, list[list[int]], list[list[int]], list[int]], pa.RecordBatch]
 
-        def run(batches: Iterator[pa.RecordBatch], block: list[tuple[int | None, bytes | None]] = block) -> Iterator[pa.RecordBatch]:
+
+def passes(docs: DataFrame, benchmark: DataFrame, most: int, finish: Finish, schema: str) -> DataFrame:
+    """``finish`` (batch, hits, items, numbers of words) over all rows of ``docs``, once all blocks were searched for."""
+    place, names = docs.columns.index("text"), docs.columns
+    rows, waiting = docs, blocks(benchmark, most)
+    block, more = next(waiting), None
+    while True:
+        more = next(waiting, None)
+
+        def run(batches: Iterator[pa.RecordBatch], block: list[tuple[int | None, bytes | None]] = block, last: bool = more is None) -> Iterator[pa.RecordBatch]:
             tables = searchers(block)
-            for batch in row_slices(batches, 1):
-                texts = binary_values(batch.column(1))
-                rows = [find_hits(t, tables) for t in texts]
-                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())))]
-                keys = [hashlib.md5(t).digest() if t is not None else None for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *columns], ["doc_id", "key", "n_words", "hits", "items"])
+            for batch in row_slices(batches, place, PIECE):
+                n_words, hits, items = [], [], []
+                for text in binary_values(batch.column(place)):
+                    n, h, i = find_hits(text, tables)
+                    n_words.append(n), hits.append(h), items.append(i)
+                if batch.num_columns > len(names):  # found in earlier blocks
+                    before = zip(hits, items, batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)
+                    united = [(merged([*pairs_of(h), *pairs_of(g)]), sorted({*i, *j})) for h, i, g, j in before]
+                    hits, items = [h for h, _ in united], [i for _, i in united]
+                own = pa.RecordBatch.from_arrays(batch.columns[: len(names)], schema=pa.schema([batch.schema.field(i) for i in range(len(names))]))
+                if last:
+                    yield finish(own, hits, items, n_words)
+                else:
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hits, HITS), pa.array(items, ITEMS)], [*names, "__hits", "__items"])
+
+        if more is None:
+            return rows.mapInArrow(tidy(run), schema)
+        carried = docs.withColumns({"__hits": F.array().cast("array<int>"), "__items": F.array().cast("array<long>")}).schema
+        new = staged(rows.mapInArrow(tidy(run), carried), "hits")
+        if rows is not docs:
+            discard(rows)
+        rows, block = new, more
+
+
+def pairs_of(flat: list[int]) -> list[tuple[int, int]]:
+    return list(zip(flat[::2], flat[1::2], strict=True))
 
-        one = table.mapInArrow(run, f"doc_id long, key binary, {HIT}")
-        found = one if found is None else _both(found, one)
-    return found.drop("key")
 
+def search(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK) -> DataFrame:
+    """``docs`` (doc_id, text) with n_words, hits ([start, end, ...] in words) and items (ids), a row for each row."""
+
+    def finish(batch: pa.RecordBatch, hits: list[list[int]], items: list[list[int]], n_words: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, HITS), pa.array(items, ITEMS)], ["doc_id", "n_words", "hits", "items"])
 
-def _both(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of ``left`` with the hits that ``right`` found in the same text added; only rows with hits are joined."""
-    more = right.where(F.size("items") + F.size("hits") > 0).groupBy("key").agg(F.first("hits").alias("hits2"), F.first("items").alias("items2"))
-    unite = F.udf(lambda a, b: merged([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]), "array<int>")
-    none = F.array().cast("array<int>")
-    return left.join(more, "key", "left").select(
-        "doc_id", "key", "n_words", unite("hits", F.coalesce("hits2", none)).alias("hits"), F.array_sort(F.array_union("items", F.coalesce("items2", F.array().cast("array<long>")))).alias("items")
-    )
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return passes(table, benchmark, most, finish, "doc_id long, n_words long, hits array<int>, items array<long>")
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -159,35 +182,16 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that the rule leaves, all columns, in one narrow pass for a benchmark of one block.
+    """The rows of ``docs`` that the rule leaves, all columns: for a benchmark of one block a single narrow pass.
 
-    A longer benchmark is taken block by block: hits of earlier blocks ride along in a column until the last is known.
+    Null, empty and wordless texts stay, repeated rows go or stay alike, other columns ride along whatever their names.
     """
-    place, carried = docs.columns.index("text"), "__hits"
-    out = docs.withColumn(carried, F.array().cast("array<int>"))
-    for block in blocks(benchmark, most):
 
-        def run(batches: Iterator[pa.RecordBatch], block: list[tuple[int | None, bytes | None]] = block) -> Iterator[pa.RecordBatch]:
-            tables = searchers(block)
-            for batch in batches:
-                before = batch.column(batch.num_columns - 1).to_pylist()
-                hits = []
-                for text, old in zip(binary_values(batch.column(place)), before, strict=True):
-                    _, new, _ = find_hits(text, tables)
-                    hits.append(merged([*zip(old[::2], old[1::2], strict=True), *zip(new[::2], new[1::2], strict=True)]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, batch.schema.field(batch.num_columns - 1).type)], schema=batch.schema)
-
-        out = out.mapInArrow(run, out.schema)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for text, hits in zip(binary_values(batch.column(place)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                n_hit = sum(hits[1::2]) - sum(hits[::2])
-                keep.append(not n_hit or 20 * n_hit < len(words_of(text)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return out.mapInArrow(clean, out.schema).drop(carried)
+    def finish(batch: pa.RecordBatch, hits: list[list[int]], items: list[list[int]], n_words: list[int]) -> pa.RecordBatch:
+        n_hit = [sum(h[1::2]) - sum(h[::2]) for h in hits]
+        return batch.filter(pa.array([not k or 20 * k < n for k, n in zip(n_hit, n_words, strict=True)], pa.bool_()))
+
+    return passes(docs, benchmark, most, finish, docs.schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm.common import held_out, labelled_sample, read, row_slices
+from fathomry.llm.common import held_out, labelled_texts, read, row_slices, tidy
 
 ROWS = 4_000
 PASSAGE = 32
@@ -174,8 +174,8 @@ def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, rounds: int = 40, batch:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
-    chosen = labelled_sample(labels, "quality", rows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    """A model of at most ``rows`` labelled documents that are not held out, of at most ``FIT_BYTES`` of text together."""
+    found = labelled_texts(docs, labels, "quality", rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 2, PIECE):
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             columns = [batch.column(0), pa.array(p, pa.float64()), pa.array(bags, pa.int64()), pa.array(top, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "n_passages", "top_passage"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_passages long, top_passage int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double, n_passages long, top_passage int")
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -217,7 +217,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
             p, _ = model.score(*passages(*arrow_bytes(batch.column(place))))
             yield batch.filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm.common import read
+from fathomry.llm.common import read, row_slices, tidy
 
 KINDS = ("email", "ip", "card", "phone", "iban")
+#: Bytes of text that are decoded at once.
+PIECE = 4_000_000
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"
 THRESHOLD = 0.6
 WINDOW = 48
@@ -114,14 +116,14 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool, float]]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("kind", "start", "end", "base", "score")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("score", pa.float64())]))
-    for batch in batches:
+    for batch in row_slices(batches, 1, PIECE):
         spans = [[dict(zip(names, s, strict=True)) for s in find_spans(t)] for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
 
 def scan_pii(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end, base, score) of every row of ``docs``: one narrow pass, no shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, f"doc_id long, spans {SPAN}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_scan), f"doc_id long, spans {SPAN}")
 
 
 def joined(spans: Column) -> Column:

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm.common import read
+from fathomry.llm.common import read, row_slices, tidy
 
 KINDS = ("assign", "access", "hex", "jwt", "key")
 BASE = KINDS[:3]
+#: Bytes of text that are decoded at once.
+PIECE = 4_000_000
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 # The first letter comes as a set so that the scan can skip to it; the rest is the contract's pattern.
@@ -149,14 +151,14 @@ def mask(text: str | None, spans: list[tuple[str, int, int]], label: str = "[SEC
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in row_slices(batches, 1, PIECE):
         spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_spans(t)] for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end) of every row of ``docs`` (doc_id, text): one narrow pass, no shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, f"doc_id long, spans {SPAN}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_scan), f"doc_id long, spans {SPAN}")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     place, width = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches, place, PIECE):
             columns, texts = list(batch.columns), batch.column(place).to_pylist()
             done = [mask(t, find_spans(t)) for t in texts]
             columns[place] = pa.array(done, batch.schema.field(place).type)
@@ -174,7 +176,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 columns[width] = pa.array(counts, batch.schema.field(width).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)
 
 
 def joined(spans: Column) -> Column:

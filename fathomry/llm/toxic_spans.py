@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm.common import binary_values, held_out, labelled_sample, read, row_slices
+from fathomry.llm.common import binary_values, held_out, labelled_texts, read, row_slices, tidy
 
 ROWS = 6_000
 #: Chains without toxic words, or words like them, that are learned from at least (about; all if there are fewer).
@@ -307,13 +307,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array(numbers, pa.int64()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "n_toxic", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
-    """A model of at most ``rows`` labelled documents that are not held out."""
-    chosen = labelled_sample(labels, "toxic", rows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "y").collect()
+    """A model of at most ``rows`` labelled documents that are not held out, of at most ``FIT_BYTES`` of text together."""
+    found = labelled_texts(docs, labels, "toxic", rows).select("doc_id", F.col("text").cast("binary").alias("text"), "y").collect()
     found = sorted((r["doc_id"], bytes(r["text"] or b""), r["y"]) for r in found)
     return fit([text for _, text, _ in found], np.array([y for _, _, y in found], dtype=float))
 
