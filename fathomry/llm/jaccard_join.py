@@ -3,15 +3,17 @@
 A document's set is its distinct five-word shingles, as 64-bit hashes. Documents with equal sets are one node from the start.
 Two nodes of sizes a and b can only reach a similarity of 0.8 if they share one of the first a - ceil(0.8 a) + 1 of a's and
 of b's shingles in any one order; ours puts shingles last that a sample of documents shows to be frequent, so that blocks of
-nodes with such a shingle in common stay small. In each block the nodes' count vectors (shingles hashed into groups, more of
-them for larger sets) are packed into an R-tree, and a node can only link to another if the sum of the minima of their counts reaches the
-overlap that 0.8 needs; a subtree's bound uses its largest counts and its sizes. What the bound leaves is not listed as pairs:
-a larger block reports which of its nodes hang together, at most one edge a node; pairs of small blocks are asked once. Components of these edges, over all blocks, are
-clusters, outside of which no link can be. A cluster's full sets then meet, an R-tree proposes candidates again and exact
-intersection verifies them; a node once linked is not compared with nodes it already hangs together with.
-
-Nothing unbounded meets in one task: a block of over ``BLOCK`` nodes skips the tree and keeps all of its nodes together, and
-a cluster of over ``CLUSTER`` shingles is dealt into parts, every two of which meet in a task of their own. Both are exact.
+nodes with such a shingle in common stay small. Shingles that share exactly the same nodes make one block. In each block the
+nodes' count vectors (shingles hashed into groups, more of them for larger sets) are packed into an R-tree, and a node can only
+link to another if the sum of the minima of their counts reaches the overlap that 0.8 needs; a subtree's bound uses its largest
+counts and its sizes. What the bound leaves is not listed as pairs: a block reports which of its nodes hang together, at most
+one edge a node. Components of these edges, over all blocks, are clusters, outside of which no link can be. A cluster's full
+sets then meet, an R-tree proposes candidates again and exact intersection verifies them; a node once linked is not compared
+with nodes it already hangs together with.
+
+Nothing unbounded meets in one task: nodes with one shingle are dealt into parts of ``PART``, a cluster's sets into parts of
+``CLUSTER`` shingles, and every two parts of one block or cluster meet in a task of their own (one part meets itself). All
+sizes go the same way, and no link is lost.
 
 Cases: words are cut at ASCII blanks and A-Z lower-cased; fewer than five words are one shingle; null, empty and blank texts
 have no set and link with nothing; repeated rows have equal sets and link; null ids take part, but a component's id is null
@@ -27,20 +29,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from fathomry.llm.common import binary_values, read, row_slices, screened, staged
+from fathomry.llm.common import binary_values, discard, read, row_slices, screened, staged, tidy
 
 WORDS = 5
 #: Similarity as a fraction: 80 of 100.
 PER, OF = 80, 100
 #: Groups of a count vector: a power of two, about a sixth of the set's size, so that the bound stays sharp for long texts.
 LEAST_GROUPS, MOST_GROUPS, PER_GROUP = 16, 1024, 6
-SMALL, BLOCK, CLUSTER = 8, 20_000, 6_000_000
-#: Sampled documents for the order of shingles, and frequent shingles kept of it: only the order depends on them.
-SAMPLE, FREQUENT = 16_384, 100_000
+#: Nodes of a block, and shingles of a cluster's sets, that are one part: two parts meet in a task.
+PART, CLUSTER = 8_192, 2_000_000
+#: The order of shingles is learned from one document in ``ONE_IN``, ``SAMPLE`` at least; of what they show the ``FREQUENT``
+#: most frequent shingles are kept. Only the order depends on this, never a result.
+ONE_IN, SAMPLE, FREQUENT = 64, 16_384, 100_000
 LEAF = 16
-CACHE = 500_000
+CACHE = 60_000
+#: A text of which there are more rows than this share of all (at most 1,000 texts then) is joined apart.
+HOT_SHARE = 1000
+#: Bytes of text whose sets are made at once.
+PIECE = 4_000_000
 
 
 class Hashes(dict):
@@ -155,22 +162,23 @@ def walk(n: int, partners: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarra
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """Finds a row again: its id, or for a null id its text."""
-    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    """16 bytes that tell a row by its id and its text; null ids and null texts have keys too."""
+    of = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(of(doc_id), F.lit("\n"), of(text)).cast("binary")))
 
 
 def frequent(docs: DataFrame, rows: int) -> np.ndarray:
     """Shingles that the sampled documents share, rarest first; at most ``FREQUENT``, the most frequent of all."""
-    part = min(1.0, SAMPLE / max(1, rows))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(part * (1 << 40))) if part < 1 else docs
+    part = min(1.0, max(SAMPLE, rows // ONE_IN) / max(1, rows))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 40)) < int(part * (1 << 40))) if part < 1 else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in row_slices(batches, 0):
+        for batch in row_slices(batches, 0, PIECE):
             sets = [shingles(t, hashes) for t in binary_values(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], ["token"])
 
-    found = drawn.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= 4)
+    found = drawn.select("text").mapInArrow(tidy(run), "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= 4)
     rows_ = found.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     return np.array([r["token"] for r in reversed(rows_)], dtype=np.int64).view(np.uint64)
 
@@ -178,13 +186,14 @@ def frequent(docs: DataFrame, rows: int) -> np.ndarray:
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, key, node (a number of the row), n, sig (null without a set), counts, prefix (shingles) of every row."""
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    table = table.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
     late = frequent(table, table.count())
     ranked = np.argsort(late, kind="stable")
     known = late[ranked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in row_slices(batches, 1):
+        for batch in row_slices(batches, 1, PIECE):
             n, sig, counts, prefix = [], [], [], []
             for text in binary_values(batch.column(1)):
                 s = shingles(text, hashes)
@@ -209,38 +218,26 @@ def prepared(docs: DataFrame) -> DataFrame:
                 ["doc_id", "key", "node", "n", "sig", "counts", "prefix"],
             )
 
-    keyed = table.withColumns({"key": row_key(F.col("doc_id"), F.col("text")), "node": F.monotonically_increasing_id()})
-    return staged(keyed.mapInArrow(run, "doc_id long, key string, node long, n long, sig binary, counts binary, prefix array<long>"), "prefixes")
+    numbered = table.withColumn("node", F.monotonically_increasing_id())
+    return staged(numbered.mapInArrow(tidy(run), "doc_id long, key binary, node long, n long, sig binary, counts binary, prefix array<long>"), "prefixes")
 
 
-def block_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def block_edges(prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b: edges between nodes of one block, at most one a node, that tie together what the bound can't separate.
 
-    Pairs of blocks of up to ``SMALL`` nodes are gathered from all blocks and the bound is asked once for each pair. Larger
-    blocks are searched by an R-tree each; those of over ``BLOCK`` nodes keep all of their nodes together.
+    ``prefixes`` are (token, node), ``nodes`` (node, n, counts). Counts of a token are aggregated before they meet its nodes.
     """
-    tokens = rows.select("node", "n", F.explode("prefix").alias("token"))
-    size = F.count("*").over(Window.partitionBy("token"))
-    least = F.min("node").over(Window.partitionBy("token"))
-    shared = tokens.withColumns({"size": size, "least": least}).where(F.col("size") > 1)
-    shared = staged(shared, "blocks")
-    vast = shared.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    few = shared.where(F.col("size") <= SMALL).groupBy("token").agg(F.collect_list(F.struct("node", "n")).alias("m"))
-    two = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["node"] > x["node"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
-    pairs = few.select(F.explode(two).alias("x")).select("x.*").where(F.least("na", "nb") * OF >= F.greatest("na", "nb") * PER).select("a", "b").distinct()
-    vector = nodes.select("node", "n", "counts")
-    left = pairs.join(vector.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
-    both = left.join(vector.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b").select("a", "b", "na", "nb", "ca", "cb")
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for na, nb, ca, cb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                c = folded([np.frombuffer(ca, np.uint8), np.frombuffer(cb, np.uint8)])
-                keep.append(int(np.minimum(c[0], c[1]).sum()) >= needed(na, nb))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    large = shared.where(F.col("size").between(SMALL + 1, BLOCK)).select("token", "node").join(vector, "node").select("token", "node", "n", "counts")
+    counted = prefixes.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    shared = prefixes.join(counted.select("token", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "token")
+    # Part i meets part j, i <= j: each node goes to all pairs that its part is in, which is one pair if there is one part.
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts").cast("long")).cast("int")
+    dealt = shared.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", own)
+    dealt = dealt.select("token", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "node")
+    lists = dealt.groupBy("token", "i", "j").agg(F.sort_array(F.collect_list("node")).alias("m")).where(F.size("m") > 1)
+    # Near duplicates share most of their shingles: the same nodes would meet again and again.
+    placed = lists.select("m").distinct().withColumn("block", F.monotonically_increasing_id()).select("block", F.explode("m").alias("node"))
+    placed = staged(placed, "blocks")
+    full = placed.join(nodes.select("node", "n", "counts"), "node").select("block", "node", "n", "counts")
 
     def tied(at: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
         nodes_, sizes = np.array([r[0] for r in at], dtype=np.int64), np.array([r[1] for r in at], dtype=np.int64)
@@ -251,12 +248,12 @@ def block_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             yield int(nodes_[label[i]]), int(nodes_[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, at, out = None, [], []
+        block, at, out = None, [], []
         for batch in batches:
             for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != token:
+                if t != block:
                     out += sized(at)
-                    token, at = t, []
+                    block, at = t, []
                 at.append(row)
             yield edges(out)
             out = []
@@ -277,8 +274,7 @@ def block_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    found = large.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
-    return found.unionByName(both.mapInArrow(bounded, "a long, b long")).unionByName(vast).distinct()
+    return full.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,6 +289,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = staged(small, "edges")
+        discard(both)
         # Done when every edge ends in a root, that is, in a node that has no smaller neighbour, and every node has one edge.
         stars = new.groupBy("u").agg(F.count("*").alias("n"))
         if stars.where("n > 1").isEmpty() and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
@@ -310,19 +307,22 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFram
     own = screened(table, "key", members.select("key")).where("__maybe").join(members, "key").select("text", "sig", "root", "parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in row_slices(batches, 0):
+        hashes, sent = Hashes(), set()
+        for batch in row_slices(batches, 0, PIECE):
             keep, out, part = [], [], []
             for i, (text, sig, parts_) in enumerate(zip(binary_values(batch.column(0)), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                s = shingles(text, hashes)
-                if signature(s) == sig:  # another row with the same id has another set
-                    keep.append(i)
-                    out.append(s.tobytes())
-                    part.append(int.from_bytes(sig[8:12], "little") % parts_)
+                if sig in sent:  # a repeated row
+                    continue
+                if len(sent) > CACHE:
+                    sent.clear()
+                sent.add(sig)
+                keep.append(i)
+                out.append(shingles(text, hashes).tobytes())
+                part.append(int.from_bytes(sig[8:12], "little") % parts_)
             kept = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1).take(kept), batch.column(2).take(kept), batch.column(3).take(kept), pa.array(part, pa.int32()), pa.array(out, pa.binary())], ["sig", "root", "parts", "part", "shingles"])
 
-    full = own.mapInArrow(sets, "sig binary, root long, parts int, part int, shingles binary")
+    full = own.mapInArrow(tidy(sets), "sig binary, root long, parts int, part int, shingles binary")
     # Part i meets part j, i <= j, in task (i, j).
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = full.withColumn("o", other).select("root", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "sig", "shingles")
@@ -333,6 +333,7 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFram
         counts = folded([counts_of(s) for _, s in at])
         tree = Tree(sizes, counts)
         tokens, flat = np.unique(np.concatenate([s for _, s in at]), return_inverse=True)
+        flat = flat.astype(np.int32)
         starts = np.cumsum(sizes) - sizes
         mark = np.zeros(len(tokens), bool)
 
@@ -342,11 +343,14 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFram
                 return found
             mine = flat[starts[i] : starts[i] + sizes[i]]
             mark[mine] = True
-            theirs = np.concatenate([np.arange(starts[j], starts[j] + sizes[j]) for j in found])
-            begin = np.cumsum(sizes[found]) - sizes[found]
-            shared = np.add.reduceat(mark[flat[theirs]].astype(np.int64), begin)
+            keep = []
+            for some in np.array_split(found, -(-int(sizes[found].sum()) // CLUSTER)):
+                theirs = np.concatenate([np.arange(starts[j], starts[j] + sizes[j]) for j in some])
+                begin = np.cumsum(sizes[some]) - sizes[some]
+                shared = np.add.reduceat(mark[flat[theirs]].astype(np.int64), begin)
+                keep.append(some[OF * shared >= PER * (sizes[i] + sizes[some] - shared)])
             mark[mine] = False
-            return found[OF * shared >= PER * (sizes[i] + sizes[found] - shared)]
+            return np.concatenate(keep)
 
         label = walk(len(at), partners)
         for i in np.flatnonzero(label != np.arange(len(at))):
@@ -367,24 +371,34 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFram
     def pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a binary, b binary")
+    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def linked_rows(docs: DataFrame) -> DataFrame:
     """doc_id, key, n, component_id, keeper (the key of the component's row that stays) of every row of ``docs``."""
     rows = prepared(docs)
     some = rows.where("sig is not null")
-    nodes = some.groupBy("sig").agg(F.min("node").alias("node"), F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    nodes = staged(nodes, "nodes")
-    first = rows.select("node", "n", "prefix").join(nodes.select("node"), "node", "left_semi")
-    clusters = components(block_edges(first, nodes))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    nodes = some.groupBy("sig").agg(F.min("node").alias("node"), first.alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    nodes = staged(nodes.withColumn("key", F.col("first.key")), "nodes")
+    one = rows.select("node", "prefix").join(nodes.select("node"), "node", "left_semi")
+    clusters = components(block_edges(one.select(F.explode("prefix").alias("token"), "node"), nodes))
     links = components(verified(docs, nodes, clusters))
-    rooted = nodes.select("sig", "least", "key").join(links.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("key").alias("any"))
-    names = names.withColumn("keeper", F.coalesce(F.col("component_id").cast("string"), "any"))
-    named = rooted.select("sig", "root").join(names, "root").select("sig", "component_id", "keeper")
-    out = rows.select("doc_id", "key", "n", "sig").join(named, "sig", "left")
-    return out.select("doc_id", "key", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("keeper", "key").alias("keeper"))
+    rooted = nodes.select("sig", "first", "copies").join(links.withColumnRenamed("node", "sig"), "sig", "left")
+    names = rooted.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("best"))
+    # A text that has one row and no link is its own component: its row needs no name from elsewhere.
+    linked = rooted.where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "sig"))
+    named = linked.select("sig", "root", "copies").join(names, "root").select("sig", "copies", F.col("best.doc_id").alias("component_id"), F.col("best.key").alias("keeper"))
+    named = staged(named, "names")
+    own = rows.select("doc_id", "key", "n", "sig")
+    # Texts with very many rows, HOT_SHARE of them at most, are joined by broadcast; no other key is frequent.
+    least = max(1, rows.count() // HOT_SHARE)
+    hot = F.broadcast(named.where(F.col("copies") > least).select(F.col("sig").alias("hot"), F.col("component_id").alias("hot_id"), F.col("keeper").alias("hot_keeper")))
+    seen = screened(own.join(hot, F.col("sig") == F.col("hot"), "left"), "sig", named.where(F.col("copies") <= least).select("sig"))
+    rest = seen.where("hot is null and __maybe").join(named.where(F.col("copies") <= least).drop("copies"), "sig", "left")
+    rest = rest.select("doc_id", "key", "n", "component_id", "keeper")
+    alone = seen.where("hot is not null or not __maybe").select("doc_id", "key", "n", F.col("hot_id").alias("component_id"), F.col("hot_keeper").alias("keeper"))
+    return alone.unionByName(rest).select("doc_id", "key", "n", F.coalesce("component_id", F.when(F.col("keeper").isNull(), F.col("doc_id"))).alias("component_id"), F.coalesce("keeper", "key").alias("keeper"))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -393,25 +407,28 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component of ``docs``, all columns: the one with the smallest id.
+    """One row of each component of ``docs``, all columns: the one with the smallest id (null last), then digest of id and text.
 
-    Documents without words link with nothing and stay. Rows with one id and different texts go or stay together; rows with
-    one id and one text become one row.
+    A row is told by its id and its text. Rows equal in both become one, whatever their other columns; rows of one id with
+    unlike texts are judged apart. Texts without words link with nothing: of each id and text one stays.
     """
     found = staged(linked_rows(docs).select("key", "keeper"), "kept")
     gone = found.where("key <> keeper").select("key").distinct()
-    again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    again = found.where("key = keeper").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     odd = staged(gone.withColumn("gone", F.lit(True)).unionByName(again.withColumn("gone", F.lit(False))), "odd")
-    keyed = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"]))
-    # Rows that surely are neither gone nor repeated need no shuffle.
+    names = [f"__c{i}" for i in range(len(docs.columns))]  # whatever their names, columns can't clash with ours
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    keyed = docs.toDF(*names).withColumn("__key", row_key(F.col(doc_id).cast("long"), F.col(text)))
+    # Rows that surely are neither gone nor repeated need no shuffle; those that are gone are not needed after the join.
     seen = screened(keyed, "__key", odd.select("key"))
-    gone, again = odd.where("gone").select("key"), odd.where("not gone").select("key")
-    sure = seen.where("not __maybe").drop("__maybe", "__key")
-    kept = seen.where("__maybe").drop("__maybe").join(gone, F.col("__key") == gone["key"], "left_anti")
+    kept = seen.where("__maybe").drop("__maybe").join(odd, F.col("__key") == odd["key"], "left").where("gone is null or not gone").drop("key")
+    once = kept.where("gone is null")
     if not again.isEmpty():
-        same = kept["__key"] == again["key"]
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["__key", "text"]))
-    return sure.unionByName(kept.drop("__key"))
+        # A row that repeats without end is one row in each task before it is shuffled.
+        repeated = kept.where("not gone").groupBy("__key").agg(F.first(F.struct(*names)).alias("r"))
+        once = once.select(*names).unionByName(repeated.select("r.*"))
+    out = seen.where("not __maybe").select(*names).unionByName(once.select(*names))
+    return out.toDF(*docs.columns)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

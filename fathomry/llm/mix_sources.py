@@ -7,7 +7,8 @@ sizes summed by source and the hash's next 12 bits, the bucket where the budget
 12 bits after, down to single hash values. Nothing is sorted but histogram rows, at most 4096 for a source at a time.
 
 Cases: null text has size 0; the null source is one source, last in order; an empty table gives no rows; a source of size 0
-has target 0 and takes nothing; rows with equal id and text share a hash and are taken alike; ids may be null or repeat.
+has target 0 and takes nothing; rows with equal id and text share a hash and are taken alike, so a source's taken words come as
+near its target as its largest such group allows; ids may be null or repeat; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomry.llm.common import read, staged
+from fathomry.llm.common import discard, read, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -83,7 +84,9 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         else:  # a single hash value: taken if that ends nearer the target
             bound = F.when(found, F.col("at") + (F.col("n") - rest < rest).cast("long")).otherwise(F.col("bound") + F.when(F.col("open"), F.lit(width << BITS)).otherwise(0))
         joined = joined.withColumns({"bound": bound, "rest": rest, "open": F.col("open") & found})
-        state = staged(joined.drop("at", "before", "n"), "level")
+        new = staged(joined.drop("at", "before", "n"), "level")
+        discard(state)
+        state = new
     return state.select("skey", "source_size", "target", "copies", "bound")
 
 
@@ -98,15 +101,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """``docs`` as the mix takes them: every row as often as it is taken (0 to 2 times), with ``copy_no`` from 1."""
+    """``docs`` as the mix takes them: every row as often as it is taken (0 to 2 times), with ``copy_no`` from 1.
+
+    A column of the input named ``copy_no`` is replaced; all others ride along. Rows with equal id and text are taken alike,
+    so a source that consists of few such groups can't come nearer its target than the largest of them.
+    """
+    docs = docs.drop("copy_no")
     bounds = docs.select("doc_id", size_of(F.col("text")).alias("size"), source_key(F.col("source")).alias("skey"), hash_of(F.col("doc_id"), F.col("text")).alias("h"))
     bounds = staged(bounds, "sizes")
     bounds = thresholds(bounds, source_targets(bounds, weights, share))
-    skey, h = source_key(docs["source"]), hash_of(docs["doc_id"], docs["text"])
+    names = [f"__c{i}" for i in range(len(docs.columns))]  # whatever their names, columns can't clash with ours
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
     ours = bounds.select(F.col("skey").alias("__skey"), F.col("copies").alias("__copies"), F.col("bound").alias("__bound"))
-    kept = docs.join(ours, skey == ours["__skey"]).withColumn("__n", (F.col("__copies") + (h < F.col("__bound")).cast("long")).cast("int"))
-    kept = kept.where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return kept.select(*(docs[c] for c in docs.columns), "copy_no")
+    kept = docs.toDF(*names).withColumn("__key", source_key(F.col(at["source"]))).join(ours, F.col("__key") == F.col("__skey"))
+    taken = (F.col("__copies") + (hash_of(F.col(at["doc_id"]), F.col(at["text"])) < F.col("__bound")).cast("long")).cast("int")
+    kept = kept.withColumn("__n", taken).where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    return kept.select(*(F.col(n).alias(c) for c, n in at.items()), "copy_no")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

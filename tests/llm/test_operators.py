@@ -97,6 +97,11 @@ def test_mixing(spark):
     assert sorted(map(tuple, mix_sources.mix(docs(spark, texts)).collect())) == sorted(map(tuple, rows))
     assert mix_sources.mix(docs(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
     assert mix_sources.mixed_rows(docs(spark, texts).limit(0)).count() == 0
+    clash = docs(spark, texts).withColumns({k: F.lit(9) for k in ("copy_no", "__skey", "__n", "size", "h")})
+    mixed = mix_sources.mixed_rows(clash)
+    assert mixed.columns == [c for c in clash.columns if c != "copy_no"] + ["copy_no"]
+    taken = {r["doc_id"]: r["taken"] for r in rows}
+    assert sorted(r["doc_id"] for r in mixed.collect() if r["text"]) == sorted(d for d, n in taken.items() for _ in range(n and n // max(1, (d - 1) % 7)))
 
 
 def test_urls(spark, monkeypatch):
@@ -114,7 +119,12 @@ def test_urls(spark, monkeypatch):
         assert got[i] == (host, path, best[2], best[3])
 
 
-def test_links(spark):
+@pytest.mark.parametrize(("part", "cluster"), [(8_192, 2_000_000), (3, 400)])
+def test_links(spark, monkeypatch, part, cluster):
+    """In one part and in many: blocks of over 3 nodes and clusters of over 400 shingles are dealt into parts."""
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "CLUSTER", cluster)
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 1000 if part > 3 else 20)
     base = PROSE[7].split() * 3
     edited = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(0, 150, 9)]
     texts = [*PROSE, PROSE[0].upper(), PROSE[0] + "\t", *edited, "one two", "One  two", "one", None, "", " \n", *edited[:2]]
@@ -144,6 +154,17 @@ def test_keep_one_with_repeats_nulls_and_clashing_names(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in {*rows} - {(2, PROSE[0])})
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b = PROSE[0], PROSE[1]
+    df = spark.createDataFrame([(1, a, 1), (2, a, 2), (2, b, 3), (3, "x y", 4), (5, a, 5), (5, b, 6), (9, b, 7)], "doc_id long, text string, copy_no int")
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(df).collect()) == [(1, a), (2, b), (3, "x y")]
+    # One row that is a third of the table, and one key with as many unlike texts.
+    rows = [(7, a)] * 300 + [(8, f"{a} {i} {i + 1}") for i in range(3)] + [(8, f"t{i} u{i}") for i in range(300)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 301 and sum(r["doc_id"] == 7 for r in kept) == 1
+    assert jaccard_join.keep_one(df.limit(0)).count() == 0 and jaccard_join.link(df.limit(0)).count() == 0
+
+
 def test_screen_never_misses(spark):
     keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("key"))
     seen = common.screened(spark.range(3000).withColumn("own", F.col("id").cast("string")), "own", keys).collect()
