@@ -2,8 +2,10 @@
 
 Three plain patterns (assignments, access keys, long lower-case hex) give base spans. Beside them, candidates in base64 or
 hex are decoded and parsed: private keys must be DER whose nested lengths add up and whose fields are those of a key, an
-OpenSSH key must have its length-prefixed fields, a signed token must have a JSON header that names its algorithm. Only
-what parses is reported, as kind ``key`` or ``jwt``.
+OpenSSH key must have its length-prefixed fields, a signed token must have a JSON header that names its algorithm. Keys are
+found where they lie in practice: in PEM blocks with real or escaped line breaks and with headers, bare and wrapped over lines,
+encrypted, and inside further layers of base64 or hex, down to ``DEPTH`` of them. Only what parses is reported, as kind ``key``
+or ``jwt``.
 
 Cases: a null or empty text has no spans; every row gives a row, repeated rows too; other columns are not touched; a long
 text is scanned whole, each pattern in time linear in its length but for runs of under 24 hex digits.
@@ -37,14 +39,21 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"ey(?<![A-Za-z0-9_-]ey)[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
-DER64 = re.compile(r"M(?<![A-Za-z0-9+/_-]M)[A-Za-z0-9+/_-]{39,}+={0,2}")
-SSH64 = re.compile(r"b3BlbnNza(?<![A-Za-z0-9+/_-]b3BlbnNza)[A-Za-z0-9+/_-]{39,}+={0,2}")
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\s]{40,}+)-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+# Runs of base64 that may be wrapped: lines end in breaks, real or escaped.
+WRAP = r"[A-Za-z0-9+/_-]{39,}+(?:(?:\r?\n[\x20\t]{0,16}|\\r\\n|\\n)[A-Za-z0-9+/_-]++)*+={0,2}"
+DER64 = re.compile(rf"M(?<![A-Za-z0-9+/_-]M){WRAP}|M(?<=\\nM){WRAP}")
+SSH64 = re.compile(rf"b3BlbnNza(?<![A-Za-z0-9+/_-]b3BlbnNza){WRAP}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:[^-]|-(?!----))*+)-----END \1PRIVATE KEY-----")
 DERHEX = re.compile(r"30(?<![0-9A-Fa-f]30)[0-9A-Fa-f]{46,}+")
+# Further layers: any long run of base64 or hex is decoded, and looked into if it is ASCII text.
+NEST64 = re.compile(rf"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))[A-Za-z0-9+/_-]{WRAP}")
+NESTHEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-7][0-9A-Fa-f]){24,}+")
+LONG = 40
+DEPTH = 3
 
 
 def unbase64(run: str) -> bytes | None:
-    run = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
+    run = re.sub(r"\s+|\\[rn]", "", run).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -102,8 +111,44 @@ def is_ssh_key(data: bytes | None) -> bool:
     return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
 
 
+def is_sealed_key(data: bytes | None) -> bool:
+    """Encrypted PKCS#8: a sequence of an algorithm (an identifier with parameters) and a string of bytes."""
+    top = der_items(data) if data and data[0] == 0x30 else None
+    if not top or len(top) != 1 or [tag for tag, _ in top[0][1]] != [0x30, 0x04]:
+        return False
+    (_, algorithm), (_, sealed) = top[0][1]
+    return len(algorithm) == 2 and algorithm[0][0] == 0x06 and algorithm[1][0] == 0x30 and len(sealed) >= 16
+
+
 def is_key(data: bytes | None) -> bool:
-    return is_der_key(data) or is_ssh_key(data)
+    return is_der_key(data) or is_ssh_key(data) or is_sealed_key(data)
+
+
+def is_pem_key(body: str) -> bool:
+    """The inside of a PEM block: headers, if any, then base64; an encrypted one by its headers and whole cipher blocks."""
+    lines = re.split(r"\r?\n|\\r\\n|\\n", body)
+    heads = [x for x in lines if ":" in x]
+    data = unbase64("".join(x for x in lines if ":" not in x))
+    if any(x.strip().startswith("DEK-Info:") for x in heads):
+        return bool(data) and len(data) % 8 == 0 and any("ENCRYPTED" in x for x in heads)
+    return is_key(data)
+
+
+def bare_key(run: str) -> int:
+    """Length of the part of a base64 run that is a DER key, by the outer length; 0 if it is none. What follows may be anything."""
+    at = [i for m in re.finditer(r"[A-Za-z0-9+/_-]+", re.sub(r"\\[rn]", "  ", run)) for i in range(m.start(), m.end())]
+    head = unbase64("".join(run[i] for i in at[:12])) or b""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 4:
+        return 0
+    size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+    n = -(-size * 4 // 3)
+    if n > len(at) or not is_key((unbase64("".join(run[i] for i in at[:n])) or b"")[:size]):
+        return 0
+    end = at[n - 1] + 1
+    return end + len(re.match(r"={0,2}", run[end:])[0])
 
 
 def is_signed_token(run: str) -> bool:
@@ -115,6 +160,37 @@ def is_signed_token(run: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict) and (bool(parts[2]) or head["alg"].lower() == "none")
 
 
+def unwrapped(run: str) -> Iterator[tuple[bytes | None, int]]:
+    """What a run may decode to, and its length: lines as long as the first and a shorter last one, then without that one."""
+    cuts = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]+=*", re.sub(r"\\[rn]", "  ", run))]
+    whole = 1
+    while whole < len(cuts) and cuts[whole][1] - cuts[whole][0] == cuts[0][1] - cuts[0][0]:
+        whole += 1
+    for n in (whole + 1, whole):
+        if n <= len(cuts) or n == whole:
+            yield unbase64("".join(run[a:b] for a, b in cuts[:n])), cuts[min(n, len(cuts)) - 1][1]
+
+
+def find_keys(text: str, depth: int) -> list[tuple[int, int]]:
+    """Spans of keys, and of runs that hold a key or a signed token under further encoding, ``depth`` layers at most."""
+    keys = [(m.start(), m.end()) for m in PEM.finditer(text) if is_pem_key(m[2])] if "-----BEGIN" in text else []
+    if max(map(len, text.split()), default=0) < LONG:  # all that follows are long runs without blanks
+        return keys
+    keys += [(m.start(), m.start() + n) for m in DER64.finditer(text) if (n := bare_key(m[0]))]
+    for m in SSH64.finditer(text):
+        keys += [(m.start(), m.start() + n) for data, n in unwrapped(m[0]) if is_ssh_key(data)][:1]
+    keys += [(m.start(), m.end()) for m in DERHEX.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
+    if depth:
+        layers = [(m.start(), n, data) for m in NEST64.finditer(text) for data, n in unwrapped(m[0]) if data]
+        layers += [(m.start(), len(m[0]), bytes.fromhex(m[0])) for m in NESTHEX.finditer(text)]
+        for at, n, data in layers:
+            if data.isascii():
+                inner = data.decode("ascii")
+                if find_keys(inner, depth - 1) or any(is_signed_token(x[0]) for x in JWT.finditer(inner)):
+                    keys.append((at, at + n))
+    return keys
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then by kind."""
     if not text:
@@ -123,9 +199,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    keys = [(m.start(), m.end()) for m in PEM.finditer(text) if is_key(unbase64(m[1]))]
-    keys += [(m.start(), m.end()) for p in (DER64, SSH64) for m in p.finditer(text) if is_key(unbase64(m[0]))]
-    keys += [(m.start(), m.end()) for m in DERHEX.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
+    keys = find_keys(text, DEPTH)
     keys.sort(key=lambda s: (s[0], -s[1]))
     end = -1
     for a, b in keys:  # a run inside a reported block is the same key
