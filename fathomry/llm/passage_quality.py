@@ -1,12 +1,13 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words. Each passage becomes a vector of shares of character classes, word
-lengths and repetitions (computed over whole batches of bytes with numpy), is encoded by a tanh layer, and gets a gated
+lengths, repetitions and ``GRAMS`` hashed classes of three letters in a row (computed over whole batches of bytes with numpy), is
+encoded by a tanh layer, and gets a gated
 attention weight, softmax over the document of w . (tanh(V h) * sigmoid(U h)). The weighted sum of its passages is scored by
 a logistic layer. Encoder, attention and scorer are learned together, from document labels alone.
 
-Fitted on at most ``ROWS`` labelled documents that are not held out, whole texts: their passage vectors, not their texts, are
-gathered. Character classes know ASCII marks and bytes, no words, so a model is small: under 20 kB goes to the tasks.
+Fitted on at most ``ROWS`` labelled documents that are not held out, at most ``FIT_BYTES`` of text together, whole texts: their
+passage vectors, not their texts, are gathered. A model is small: under 50 kB goes to the tasks.
 
 Cases: null, empty and blank texts have no passage; their score is that of a bag without evidence, and 0 without usable
 labels; repeated rows each give a row; a null doc_id is scored but never learned from; other columns are not read.
@@ -44,7 +45,11 @@ CLASS[CLASS == 8] = 8 + np.arange((CLASS == 8).sum())
 CLASSES = int(CLASS.max()) + 1
 MIX = np.random.default_rng(11).integers(1, 1 << 62, 256).astype(np.uint64) | np.uint64(1)
 PLACE = np.random.default_rng(12).integers(1, 1 << 62, 64).astype(np.uint64) | np.uint64(1)
-WIDTH = CLASSES + 6
+#: Buckets of hashed letter triples; how much they count beside the rest before anything is learned.
+GRAMS, GRAM_SCALE = 64, 0.5
+LOW = np.arange(256, dtype=np.uint8)
+LOW[65:91] += 32
+WIDTH = CLASSES + 6 + GRAMS
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +95,21 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         repeats.append(np.add.reduceat(same, first) / n)
     mean = np.add.reduceat(letters.astype(float), first) / n
     var = np.maximum(np.add.reduceat(letters.astype(float) ** 2, first) / n - mean**2, 0)
-    x = np.concatenate([np.sqrt(counts / np.maximum(span, 1)[:, None]), np.stack([*repeats, np.log1p(mean), np.log1p(np.sqrt(var)), n / PASSAGE], 1)], 1)
+    x = np.concatenate([np.sqrt(counts / np.maximum(span, 1)[:, None]), triples(data, inside, passage, used, len(begin)), np.stack([*repeats, np.log1p(mean), np.log1p(np.sqrt(var)), n / PASSAGE], 1)], 1)
     return x.astype(np.float32), bags
 
 
+def triples(data: np.ndarray, inside: np.ndarray, passage: np.ndarray, used: np.ndarray, n: int) -> np.ndarray:
+    """Shares (square roots) of each passage's letter triples within words, case aside, by hash bucket."""
+    if len(data) < 3:
+        return np.zeros((n, GRAMS))
+    low = LOW[data].astype(np.uint32)
+    bucket = ((low[:-2] * np.uint32(2654435761) + low[1:-1] * np.uint32(2246822519) + low[2:] * np.uint32(3266489917)) >> np.uint32(13)) % np.uint32(GRAMS)
+    whole = inside[:-2] & inside[1:-1] & inside[2:] & used[:-2] & used[2:] & (passage[:-2] == passage[2:])
+    counts = np.bincount((passage[:-2].astype(np.int64) * GRAMS + bucket)[whole], minlength=n * GRAMS).reshape(-1, GRAMS)
+    return np.sqrt(counts / np.maximum(counts.sum(1), 1)[:, None])
+
+
 def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and offsets, without copies of single texts; nulls are empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -157,7 +173,8 @@ def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, rounds: int = 40, batch:
     x = ((x - mean) / spread).astype(np.float64)
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape)
-    w = {"W": draw(WIDTH, HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "v": np.zeros(GATE), "U": draw(HIDDEN, GATE), "u": np.zeros(GATE), "a": draw(GATE), "c": draw(HIDDEN), "d": np.zeros(1)}
+    scale = np.where((np.arange(WIDTH) >= CLASSES) & (np.arange(WIDTH) < CLASSES + GRAMS), GRAM_SCALE, 1.0)[:, None]
+    w = {"W": draw(WIDTH, HIDDEN) * scale, "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "v": np.zeros(GATE), "U": draw(HIDDEN, GATE), "u": np.zeros(GATE), "a": draw(GATE), "c": draw(HIDDEN), "d": np.zeros(1)}
     m, v = ({k: np.zeros_like(q) for k, q in w.items()} for _ in range(2))
     starts, step = np.cumsum(bags) - bags, 0
     for _ in range(rounds):
