@@ -4,8 +4,9 @@ Each language has a raw-content zstandard dictionary, slices of its training tex
 ``PIECE`` bytes, and every piece is compressed with every language's dictionary; the language whose sizes add up to the least
 wins. ``accepted`` is false where the runner-up comes within ``MARGIN`` of it: the margin is too narrow to trust.
 
-Fitted on a bounded sample: about ``DOCS`` documents of each language, a slice of ``SLICE`` characters from each, whole
-in any script. The dictionaries are all that goes to the tasks: about 60 kB for a learned language in ASCII, 240 kB at most.
+Fitted on a bounded sample: ``DOCS`` documents of each language, a slice of ``SLICE`` characters
+from each, whole in any script. A dictionary need not hold more of a text: what tells languages apart are letter sequences that
+occur all over it, and 200 places of 300 characters show them; a longer one slows every text down. The dictionaries are all that goes to the tasks: about 60 kB for a learned language in ASCII, 240 kB at most.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and not accepted; so is every text if nothing could be
 learned; repeated rows each give a row; a null doc_id is predicted but never learned from; whole texts are compressed.
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomry.llm.common import crc_mod, held_out, read
+from fathomry.llm.common import crc_mod, held_out, read, row_slices, tidy
 
 DOCS, SLICE = 200, 300
 PIECE = 1024
@@ -34,17 +35,20 @@ LETTER = re.compile(r"[^\W\d_]")
 def train(docs: DataFrame, docs_each: int = DOCS, slice_chars: int = SLICE) -> dict[str, bytes]:
     """Dictionaries by language from ``docs`` (doc_id, text, lang), the rows already fit to learn from.
 
-    Each language's share is drawn by a hash of the id at a rate set from its count, so no group is gathered whole.
+    Of each language the rows with the smallest hashes of id and text are taken, equal slices once, from those below a bound set
+    by its number of distinct rows: no group is gathered whole, neither a language nor an id with very many rows.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.03).alias("n")).collect()}
     if not counts:
         return {}
     spread = 1 << 40
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    bound = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(spread * min(1, docs_each / n))))), F.col("lang"))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread))
+    bound = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(spread * min(1, 1.5 * docs_each / max(1, n)))))), F.col("lang"))
     start = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.length("text") - slice_chars, F.lit(1))).cast("int") + 1
-    rows = known.where((draw < bound) & F.col("text").isNotNull()).select("lang", draw.alias("d"), "doc_id", F.lower(F.substring("text", start, F.lit(slice_chars))).alias("t")).collect()
+    drawn = known.where((draw < bound) & F.col("text").isNotNull()).select("lang", draw.alias("d"), "doc_id", F.lower(F.substring("text", start, F.lit(slice_chars))).alias("t")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("d", "doc_id", "t"))
+    rows = drawn.withColumn("p", place).where(F.col("p") <= docs_each).collect()
     out = {}
     for lang in sorted(counts):
         joined = "\n".join(r["t"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["d"], r["doc_id"])))
@@ -80,12 +84,12 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer(dictionaries)
-        for batch in batches:
+        for batch in row_slices(batches, 1, 4_000_000):
             rows = [sizer.predict(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
