@@ -2,7 +2,7 @@
 
 A url's key is its host's labels in reverse, each ended by ``\\x01``, then its path, so a rule's host is a prefix and the urls
 of that host and its subdomains are one interval of keys. Urls and rules are dealt over the same ranges of keys, cut at
-quantiles of the urls (a salt from the row cuts a hot key); a rule goes to every range that its interval touches: its own,
+quantiles of the urls (a salt from the row's place, not its values, cuts even a hot key of repeated rows); a rule goes to every range that its interval touches: its own,
 plus one row for each further range, which only the few rules nested around a range's border need. Each range is sorted and
 swept once with a stack of the hosts whose intervals are open; the rules on the stack are the only ones that can fit, and the
 longest (host and path together; then the longer host) whose path starts the url's path wins.
@@ -24,9 +24,9 @@ from fathomry.llm.common import read
 
 END = "\x01"
 AFTER = "\x02"
-#: Urls in a range, about; a range's rows stream through one task.
-RANGE_ROWS = 100_000
-SAMPLES = 40
+#: Urls in a range, about; a range's rows stream through one task, sorted by Spark, which spills. No more than ``RANGES``
+#: ranges are made, so borders and their sample (``SAMPLES`` rows a range) stay under 25 MB; they grow in rows instead.
+RANGE_ROWS, RANGES, SAMPLES = 100_000, 4_096, 20
 EXAMPLE_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 ROW = "pid int, key string, salt long, page_id long, host string, path string, verdict string"
 
@@ -37,7 +37,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     ascii_lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     url = F.coalesce("url", F.lit(""))
     out = pages.select(F.col("page_id").cast("long").alias("page_id"), ascii_lower(F.regexp_extract(url, split, 1)).alias("host"), F.regexp_extract(url, split, 2).alias("path"))
-    return out.withColumns({"key": host_key(F.col("host"), F.col("path")), "salt": F.xxhash64("page_id", "host", "path")})
+    return out.withColumns({"key": host_key(F.col("host"), F.col("path")), "salt": F.xxhash64(F.monotonically_increasing_id())})
 
 
 def host_key(host, path):  # noqa: ANN001, ANN201 (columns)
@@ -45,13 +45,13 @@ def host_key(host, path):  # noqa: ANN001, ANN201 (columns)
 
 
 def cuts(urls: DataFrame) -> list[tuple[str, int]]:
-    """Borders of the key ranges from a sample by hash: some 40 rows of a range, keys cut to 300 characters."""
+    """Borders of the key ranges from a sample of rows: about ``SAMPLES`` a range, keys cut to 300 characters."""
     rows = urls.count()
-    ranges = -(-rows // RANGE_ROWS)
+    ranges = min(RANGES, -(-rows // RANGE_ROWS))
     if ranges < 2:
         return []
     every = max(1, rows // (ranges * SAMPLES))
-    sample = urls.where(F.pmod(F.xxhash64("salt", "page_id"), F.lit(every)) == 0).select(F.substring("key", 1, 300), "salt").collect()
+    sample = urls.where(F.pmod(F.xxhash64("salt"), F.lit(every)) == 0).select(F.substring("key", 1, 300), "salt").collect()
     sample = sorted((r[0], r[1]) for r in sample)
     return [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
 
