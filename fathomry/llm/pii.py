@@ -2,8 +2,9 @@
 
 Base kinds are email, ip (parts of at most 255), card (16 to 19 digits passing Luhn) and phone (``+`` and 8 to 15 digits).
 The method adds ``iban`` (its country's length and mod-97), ``card`` of 13 to 15 digits passing Luhn where the score reaches
-``THRESHOLD``, that is, beside a context word, and national ``phone`` numbers beside one. Base spans are always kept; their
-score tells how sure they are.
+``THRESHOLD``, that is, beside a context word, and national ``phone`` numbers (of up to 40 characters, outside other spans)
+beside one. Base spans are always kept; their score tells how sure they are. ``op6_pii`` returns the scores in the order of its
+spans.
 
 Cases: a null or empty text has no spans; repeated rows each give a row; other columns are not touched; whole texts are
 scanned in time linear in their length (emails are found from their ``@``, digit runs only from their first digit).
@@ -12,6 +13,7 @@ scanned in time linear in their length (emails are found from their ``@``, digit
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +37,16 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NATIONAL = re.compile(r"[0-9(](?<![0-9+(][0-9(])(?:[0-9]|[\x20().-](?=[0-9(\x20]))+")
 IBAN = re.compile(r"[A-Z][A-Z](?<![A-Za-z0-9]..)[0-9][0-9](?:\x20?[A-Z0-9]){11,30}")
 # Lengths of account numbers by country.
-IBAN_LENGTH = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 CONTEXT = {
     "email": ("mail", "contact", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address"),
@@ -105,10 +116,18 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool, float]]:
         if (score := 0.4 + 0.4 * context(kind, text, a, b)) >= THRESHOLD:
             out.append((kind, a, b, False, score))
     if NEAR["phone"].search(text):
-        taken = [(a, b) for _, a, b, _, _ in out]
+        starts, ends = [], []  # of the maximal unions of what is reported already
+        for a, b in sorted((a, b) for _, a, b, _, _ in out):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a), ends.append(b)
         for m in NATIONAL.finditer(text):
             a, b = m.span()
-            if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 12 and text[b - 1].isdigit() and context("phone", text, a, b) and not any(x < b and a < y for x, y in taken):
+            if b - a > 40 or not 9 <= sum("0" <= c <= "9" for c in m[0]) <= 12 or not text[b - 1].isdigit():
+                continue
+            i = bisect_left(starts, b) - 1
+            if (i < 0 or ends[i] <= a) and context("phone", text, a, b):
                 out.append(("phone", a, b, False, 0.6))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -139,4 +158,5 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
+        F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )
