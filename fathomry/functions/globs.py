@@ -19,6 +19,12 @@ class GlobError(ValueError):
 
 def to_regex(glob: str) -> str:
     """An anchored regular expression, fit for Java, RE2 and Python."""
+    return f"(?s)^{body(glob)}$"
+
+
+def body(glob: str, inside: bool = False) -> str:
+    """The expression alone; with ``inside`` a component's, in which no wildcard reaches over ``/`` (Java and Python only)."""
+    one, guard = ("[^/]", "(?!/)") if inside else (".", "")
     out, i, braces = [], 0, 0
     while i < len(glob):
         c = glob[i]
@@ -26,9 +32,9 @@ def to_regex(glob: str) -> str:
         if c == "*":
             while i < len(glob) and glob[i] == "*":
                 i += 1
-            out.append(".*")
+            out.append(one + "*")
         elif c == "?":
-            out.append(".")
+            out.append(one)
         elif c == "[":
             end = glob.find("]", i + 1 + (glob[i : i + 1] == "!"))
             if end < 0:
@@ -36,7 +42,7 @@ def to_regex(glob: str) -> str:
             inner = glob[i:end]
             negated = inner.startswith(("!", "^"))
             inner = re.sub(r"([\\\[\]&^~])", r"\\\1", inner[negated:])
-            out.append(f"[{'^' * negated}{inner}]")
+            out.append(f"{guard}[{'^' * negated}{inner}]")
             i = end + 1
         elif c == "{":
             braces += 1
@@ -55,7 +61,7 @@ def to_regex(glob: str) -> str:
             out.append(re.escape(c) if not c.isalnum() and ord(c) < 128 else c)
     if braces:
         raise GlobError(f"unclosed alternatives in {glob!r}")
-    return f"(?s)^{''.join(out)}$"
+    return "".join(out)
 
 
 def compiled(globs: list[str]) -> tuple[list[str], list[tuple[str, str]]]:

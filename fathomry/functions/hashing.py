@@ -67,19 +67,19 @@ def hash_files(files: DataFrame, window: int | None, chunk: int = 256 * 1024) ->
 
 def bits(values: Column, n: int) -> Column:
     """The first ``n`` booleans of an array as a number, the first one lowest."""
-    powers = F.array(*(F.lit(1 << i).cast("bigint") for i in range(n)))
+    powers = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(n)))
     numbered = F.zip_with(F.slice(values, 1, n), powers, lambda x, p: F.when(x, p).otherwise(F.lit(0).cast("bigint")))
     return F.aggregate(numbered, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
 
 
-def gradient_hash(vector: Column | str, n: int = 24) -> Column:
+def gradient_hash(vector: Column | str, n: int = 63) -> Column:
     """Bit i tells whether component i is below its successor."""
     v = as_column(vector)
     rising = F.zip_with(F.slice(v, 1, n), F.slice(v, 2, n), lambda a, b: a < b)
     return bits(rising, n)
 
 
-def mean_hash(vector: Column | str, n: int = 24) -> Column:
+def mean_hash(vector: Column | str, n: int = 64) -> Column:
     """Bit i tells whether component i is above the mean of the first n."""
     v = F.slice(as_column(vector), 1, n)
     mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.lit(float(n))

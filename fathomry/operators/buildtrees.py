@@ -26,15 +26,24 @@ DAY = 86_400
 
 
 def hits(name: Column, rules: list[tuple], field: int, kinds: tuple[str, ...] = ("marker", "dir-contains")) -> Column:
-    """Ids of the rules one of whose globs in ``field`` matches the name."""
-    found = []
+    """Ids of the rules one of whose globs in ``field`` matches the name.
+
+    Few names match any rule: one look into the set of all plain names and one expression of all globs settle the rest.
+    """
+    found, every, patterns = [], [], []
     for r in rules:
         globs = [g for g in r[field] if "/" not in g] if r[KIND] in kinds else []
         plain = [g for g in globs if not set(g) & set("*?[{\\")]
         tests = ([name.isin(plain)] if plain else []) + [name.rlike(to_regex(g)) for g in globs if g not in plain]
+        every += plain
+        patterns += [to_regex(g).removeprefix("(?s)") for g in globs if g not in plain]
         if tests:
             found.append(F.when(reduce(lambda a, b: a | b, tests), F.lit(r[ID])))
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
+    none = F.array().cast("array<int>")
+    if not found:
+        return none
+    any_ = reduce(lambda a, b: a | b, ([name.isin(every)] if every else []) + ([name.rlike(f"(?s){'|'.join(patterns)}")] if patterns else []))
+    return F.when(any_, F.array_compact(F.array(*found))).otherwise(none)
 
 
 def rule_match(entries: DataFrame, rules: list[tuple]) -> DataFrame:

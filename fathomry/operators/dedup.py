@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
+from fathomry.operators.ordering import numbered
 
 
 def crowded(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
@@ -31,27 +32,27 @@ def size_groups(files: DataFrame) -> DataFrame:
     return crowded(without_twins(crowded(files, ["size"])), ["size"])
 
 
-def hash_groups(files: DataFrame, digest: Column | str, name: str) -> DataFrame:
-    """Files that share size and digest with another; ``digest`` is only computed for the rows given."""
-    return crowded(files.withColumn(name, P.as_column(digest)), ["size", name])
+def identical_groups(files: DataFrame, partial: Column, full: Column, content: str = "content") -> dict[str, DataFrame]:
+    """The stages: by size, by partial digest, by full digest. Rows carry the digests that they passed, never the content.
 
-
-def identical_groups(files: DataFrame, partial: Column, full: Column) -> dict[str, DataFrame]:
-    """The stages: by size, by partial digest, by full digest. Rows carry the digests that they passed."""
-    sized = size_groups(files)
-    halves = hash_groups(sized, partial, "partial")
-    return {"size": sized, "partial": halves, "full": hash_groups(halves, full, "hash")}
+    Both digests are computed where the content is read, in one narrow pass, so only digests are shuffled.
+    """
+    narrow = files.withColumns({"partial": partial, "hash": full}).drop(content)
+    sized = size_groups(narrow)
+    halves = crowded(sized, ["size", "partial"])
+    return {"size": sized.drop("partial", "hash"), "partial": halves.drop("hash"), "full": crowded(halves, ["size", "hash"])}
 
 
-def verified(groups: DataFrame, content: str = "content") -> DataFrame:
-    """Files of hash groups that are equal byte by byte to another of their group; ``class_no`` numbers the classes.
+def verified(groups: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
+    """Files of hash groups that are equal byte by byte to another of their group, with ``first``, the first of their class.
 
-    Grouping by the content itself never gathers a group in one place; a null content (unreadable) drops its file.
+    Contents are read again, for members of groups alone. Grouping by the content itself never gathers a group in one place;
+    a null content (unreadable) drops its file.
     """
-    known = groups.where(F.col(content).isNotNull())
-    same = crowded(known, ["size", "hash", content])
-    first = same.groupBy("size", "hash", content).agg(F.min("path").alias("first"))
-    return same.join(first, ["size", "hash", content])
+    known = files.select("path", content).join(groups, "path").where(F.col(content).isNotNull())
+    keys = ["size", "hash", content]
+    first = known.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("path").alias("first")).where(F.col("__n") > 1).drop("__n")
+    return known.join(first, keys)
 
 
 def group_totals(groups: DataFrame) -> DataFrame:
@@ -64,7 +65,12 @@ def group_totals(groups: DataFrame) -> DataFrame:
 
 def in_order(totals: DataFrame) -> DataFrame:
     """``group_id`` from 1: by wasted and size descending, then by the first path."""
-    return totals.withColumn("group_id", F.row_number().over(Window.orderBy(F.desc("wasted"), F.desc("size"), P.parts("first_path"))))
+    return numbered(totals, [F.desc("wasted"), F.desc("size"), P.parts("first_path")], "group_id")
+
+
+def hash_pass_order(groups: DataFrame) -> DataFrame:
+    """``place`` of each group (size, hash) in the order in which a hash pass reports them: largest files first, then by hash."""
+    return numbered(groups.groupBy("size", "hash").agg(F.count("*").alias("files")), [F.desc("size"), F.col("hash")], "place")
 
 
 def total_wasted(groups: DataFrame) -> DataFrame:
@@ -77,19 +83,21 @@ def keep_rule(groups: DataFrame, rule: str, folder: str = "") -> DataFrame:
     Rules: oldest, newest, shortest, folder, resolution. Without a member in the folder, none is marked. Rows of kind
     ``similar`` are never marked.
     """
-    first = [P.parts("path"), F.col("path")]
+    newest = F.coalesce(-F.col("mtime"), F.lit((1 << 63) - 1))
     order = {
-        "oldest": [F.col("mtime")], "newest": [F.desc("mtime")], "shortest": [F.octet_length("path")],
+        "oldest": [F.col("mtime")], "newest": [newest], "shortest": [F.octet_length("path")],
         "folder": [F.when(P.under("path", F.lit(folder)), 0).otherwise(1), F.octet_length("path")],
-        "resolution": [F.desc(F.coalesce(F.col("width") * F.col("height"), F.lit(0)))] if "width" in groups.columns else [F.lit(0)],
+        "resolution": [-F.coalesce(F.col("width") * F.col("height"), F.lit(0))] if "width" in groups.columns else [F.lit(0)],
     }[rule]
-    mine = Window.partitionBy("size", "hash")
-    marked = (F.row_number().over(mine.orderBy(*order, *first)) > 1) & (F.count("*").over(mine) > 1)
+    # The keeper is an aggregate joined back, so a group is never gathered.
+    keeper = F.min(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)), P.parts("path").alias("parts"), F.col("path").alias("keeper")))
+    found = groups.groupBy("size", "hash").agg(keeper.alias("__best"), F.count("*").alias("__n"), F.bool_or(P.under("path", F.lit(folder))).alias("__inside"))
+    marked = (F.col("path") != F.col("__best.keeper")) & (F.col("__n") > 1)
     if rule == "folder":
-        marked = marked & F.bool_or(P.under("path", F.lit(folder))).over(mine)
+        marked = marked & F.col("__inside")
     if "kind" in groups.columns:
         marked = marked & (F.col("kind") != "similar")
-    return groups.withColumn("marked", marked)
+    return groups.join(found, ["size", "hash"]).withColumn("marked", marked).select(*groups.columns, "marked")
 
 
 def selection_valid(marks: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,7 +175,6 @@ def export_all(groups: DataFrame, similar: DataFrame) -> DataFrame:
     like = similar.select(F.lit("similar").alias("kind"), none("string").alias("hash"), F.col("max_distance").cast("int").alias("distance"), "path", "size", "mtime", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.struct(F.col("root").cast("string").alias("a"), none("string").alias("b")).alias("key"))
     rows = same.unionByName(like)
     sums = rows.groupBy("kind", "key").agg((F.sum("size") - F.max("size")).alias("group_wasted"), F.max("size").alias("group_size"), F.min(P.parts("path")).alias("first"))
-    order = Window.orderBy("kind", F.desc("group_wasted"), F.desc("group_size"), "first")
-    named = sums.withColumn("group_id", F.row_number().over(order)).drop("first")
+    named = numbered(sums, [F.col("kind"), F.desc("group_wasted"), F.desc("group_size"), F.col("first")], "group_id").drop("first")
     on = (F.col("r.kind") == F.col("n.kind")) & F.col("r.key").eqNullSafe(F.col("n.key"))
     return rows.alias("r").join(named.alias("n"), on).select("group_id", "r.kind", "hash", "distance", "group_wasted", "group_size", "path", "size", "mtime", "width", "height")

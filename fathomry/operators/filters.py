@@ -33,16 +33,33 @@ def excluded(entries: DataFrame, paths: list[str], globs: list[str]) -> DataFram
 def without_excluded(entries: DataFrame, paths: list[str], globs: list[str]) -> DataFrame:
     """Entries that neither match nor lie below a directory that does.
 
-    A path that lies below one matches through one of its own prefixes, so no join is needed.
+    A path that lies below one matches through one of its own prefixes. So two regular expressions on the whole path decide,
+    without a join: a glob's on a prefix that ends where a component does, and a glob's on a single component.
     """
-    ways = P.prefixes("path", 1)
-    regexes = G.compiled(globs)[0]
-    out = entries.where(~F.exists(ways, lambda p: p.isin(paths))) if paths else entries
-    for r in regexes:
-        out = out.where(~F.exists(ways, lambda p: p.rlike(r) | P.name(p).rlike(r)))
+    out = entries.where(~P.under_any("path", paths)) if paths else entries
+    good = [g for g in globs if g.strip("/") and not G.compiled([g])[1]]
+    if good:
+        whole, one = ("|".join(G.body(g, inside) for g in good) for inside in (False, True))
+        out = out.where(~(F.col("path").rlike(f"(?s)^(?:{whole})(?:/|$)") | F.col("path").rlike(f"(?s)/(?:{one})(?:/|$)")))
     return out
 
 
+def is_copy_on_write(filesystem: Column | str) -> Column:
+    """Whether a filesystem can share blocks between copies, by its name in any case."""
+    return F.lower(P.as_column(filesystem)).isin(COW)
+
+
+def list_panel(entries: DataFrame, parent: str, pattern: str = "", size: str = "agg_allocated") -> DataFrame:
+    """Rows of the list: the directory's children, or with a pattern the hits below it, largest first, then by path."""
+    rows = entries.where(P.under("path", F.lit(parent)) & G.search(P.name("path"), pattern) & (F.col("path") != parent)) if pattern else entries.where(P.parent("path") == parent)
+    return rows.orderBy(F.desc(size), P.parts("path"))
+
+
+def with_artifacts(projects: DataFrame) -> DataFrame:
+    """Projects that have something to clean: hide-empty."""
+    return projects.where(F.col("artifact_size") > 0)
+
+
 def search(entries: DataFrame, pattern: str, cap: int = 5000) -> tuple[DataFrame, DataFrame]:
     """Hits by name, at most ``cap`` in order of paths, and one row telling whether there were more."""
     found = entries.where(G.search(P.name("path"), pattern)).orderBy(P.parts("path")).limit(cap + 1)

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder, but only if this machine runs all tasks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return tempfile.mkdtemp(prefix="fathomry-")
+
+
 def ensure_checkpoints(df: DataFrame) -> None:
-    """``spark.checkpoint.dir`` where the cluster names one; a temporary folder only where it is unset."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomry-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def connected(edges: DataFrame) -> DataFrame:

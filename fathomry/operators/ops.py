@@ -30,6 +30,31 @@ def link_key() -> Column:
     return F.coalesce((F.col("kind") != "Dir") & (F.col("nlink") > 1) & F.col("dev").isNotNull() & F.col("ino").isNotNull(), F.lit(False))
 
 
+def unstage(staged: DataFrame, path: str) -> DataFrame:
+    """The drawer without the item at ``path``; items below it were never its own and stay."""
+    return staged.where(F.col("path") != path)
+
+
+def cleared(staged: DataFrame) -> DataFrame:
+    return staged.limit(0)
+
+
+def contains(staged: DataFrame, paths: DataFrame) -> DataFrame:
+    """``paths`` with ``staged`` (an item lies at exactly this path) and ``covered`` (at or above it)."""
+    items = staged.select(F.col("path").alias("top")).distinct()
+    above = paths.select("path", F.explode(P.prefixes("path", 1)).alias("top")).join(items, "top")
+    found = above.groupBy("path").agg(F.bool_or(F.col("top") == F.col("path")).alias("staged"))
+    no = F.lit(False)
+    return paths.join(found.withColumn("covered", F.lit(True)), "path", "left").withColumns({"staged": F.coalesce("staged", no), "covered": F.coalesce("covered", no)})
+
+
+def after_execution(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows of any table with ``path`` (tree, artifacts, caches, drawer) that do not lie at or below an executed path."""
+    tops = done.select(F.col("path").alias("top")).distinct()
+    gone = rows.select("path", F.explode(P.prefixes("path", 1)).alias("top")).join(tops, "top", "left_semi").select("path").distinct()
+    return rows.join(gone, "path", "left_anti")
+
+
 def reclaimable(staged: DataFrame) -> DataFrame:
     """One row: bytes that executing all items frees. A group of links counts once, and only if all of it is there."""
     top = top_level(staged)
@@ -93,6 +118,7 @@ def revalidate(staged: DataFrame, now: DataFrame, tolerance: int = 0) -> DataFra
     text = lambda *x: F.concat(*(F.lit(i) if isinstance(i, str) else i.cast("string") for i in x))
     moved = F.col("dev").isNotNull() & F.col("c_dev").isNotNull() & ((F.col("dev") != F.col("c_dev")) | (F.col("ino") != F.col("c_ino")))
     directory = F.col("c_kind") == "Dir"
+    # The messages.
     problem = (
         F.when(F.col("there").isNull(), "no longer exists")
         .when(F.col("kind") != F.col("c_kind"), text("kind changed from ", F.col("kind"), " to ", F.col("c_kind")))
@@ -149,6 +175,7 @@ def link_eligibility(pairs: DataFrame, exact: list[str], trees: list[str], kind:
     size, dev, ino, hash), and ``problem`` of the duplicate's revalidation."""
     from fathomry.operators.filters import is_protected
 
+    # The messages.
     reason = (
         F.when(is_protected("dup_path", exact, trees), "protected path")
         .when(F.col("dup_kind") != "File", "only regular files can be replaced by links")

@@ -1,7 +1,7 @@
 """Similar images: perceptual hashes within a Hamming distance, joined transitively.
 
 Two hashes of ``width`` bits within distance t agree in at least one of t + 1 bands, so candidates come from an equi-join on
-(band, bits) and every pair found is checked. Bands are those of the first hash; the second is checked too.
+a pair of bands, one of each hash, with their bits, and every pair found is checked.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ def close_pairs(images: DataFrame, t: int, width: int = 64, key: str = "path") -
     """a, b (a < b), distance: pairs within t by the larger of both distances. Equal (dhash, phash) rows meet once, as one
     representative each; ``copies`` links the rest to it, so a hash that very many images share stays linear."""
     hashes = images.groupBy("dhash", "phash").agg(F.min(key).alias("id"))
-    cut = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("dhash"), shift).bitwiseAND(F.lit(mask).cast("bigint")).alias("bits")) for i, (shift, mask) in enumerate(bands(width, t))))
-    spread = hashes.select("id", "dhash", "phash", F.explode(cut).alias("x")).select("id", "dhash", "phash", "x.band", "x.bits")
+    cut = lambda h: F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(h), shift).bitwiseAND(F.lit(mask).cast("bigint")).alias("bits")) for i, (shift, mask) in enumerate(bands(width, t))))
+    spread = hashes.select("id", "dhash", "phash", F.explode(cut("dhash")).alias("x")).select("*", F.explode(cut("phash")).alias("y"))
+    spread = spread.select("id", "dhash", "phash", F.xxhash64("x.band", "x.bits", "y.band", "y.bits").alias("block"))
     a, b = spread.alias("a"), spread.alias("b")
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.id") < F.col("b.id"))
+    on = (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))
     d = F.greatest(hamming("a.dhash", "b.dhash"), hamming("a.phash", "b.phash"))
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance")).where(F.col("distance") <= t).distinct()
 

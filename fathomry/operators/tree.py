@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
+from fathomry.operators.ordering import numbered
 
 ORDER = P.parts  # sort key of a path
 
@@ -108,7 +109,7 @@ def preorder(rolled: DataFrame, root: str, max_depth: int, size: str = "agg_allo
         own = ranked.where(F.col("level") == level).join(key.select(F.col("path").alias("parent_path"), F.col("key").alias("above")), "parent_path")
         key = own.select("path", F.concat("above", F.array("rank")).alias("key"))
         keys = keys.unionByName(key)
-    return ranked.join(keys, "path").withColumn("position", F.row_number().over(Window.orderBy("key"))).drop("rank", "key")
+    return numbered(ranked.join(keys, "path"), [F.col("key")], "position").drop("rank", "key")
 
 
 def children_share(rolled: DataFrame, parent: str, size: str = "agg_allocated") -> DataFrame:
@@ -146,14 +147,13 @@ def directory_totals(entries: DataFrame, tops: DataFrame, own: bool) -> DataFram
     Each entry meets ``tops`` through its ancestors: an equi-join, whatever the number of tops.
     """
     wanted = tops.select("path").distinct().withColumnRenamed("path", "top")
-    above = entries.withColumn("top", F.explode(P.prefixes("path"))).join(wanted, "top")
-    link = F.col("kind").isin("File", "Symlink", "Other") & (F.col("nlink") > 1) & F.col("ino").isNotNull()
-    place = F.when(link, F.row_number().over(Window.partitionBy("top", F.when(link, F.col("dev")), F.when(link, F.col("ino")), F.when(link, F.lit("")).otherwise(F.col("path"))).orderBy("path"))).otherwise(1)
-    counted = F.col("place") == 1
-    sums = above.withColumn("place", place).groupBy("top").agg(
-        F.sum(F.when(counted, F.col("allocated")).otherwise(0)).alias("allocated"), F.sum(F.when(counted, F.col("apparent")).otherwise(0)).alias("apparent"),
-        F.count("*").alias("entries"), F.bool_or(P.name("path") == ".git").alias("has_repo"),
-    )
+    link = F.coalesce(F.col("kind").isin("File", "Symlink", "Other") & (F.col("nlink") > 1) & F.col("ino").isNotNull(), F.lit(False))
+    above = entries.withColumn("link", link).withColumn("top", F.explode(P.prefixes("path"))).join(wanted, "top")
+    # Only links meet by identity, and those of one file are one row before they are summed.
+    first = F.min_by(F.struct("allocated", "apparent"), "path")
+    links = above.where("link").groupBy("top", "dev", "ino").agg(first.alias("x"), F.count("*").alias("n")).select("top", "x.allocated", "x.apparent", "n", F.lit(False).alias("repo"))
+    plain = above.where("not link").groupBy("top").agg(F.sum("allocated").alias("allocated"), F.sum("apparent").alias("apparent"), F.count("*").alias("n"), F.bool_or(P.name("path") == ".git").alias("repo"))
+    sums = plain.unionByName(links).groupBy("top").agg(F.sum("allocated").alias("allocated"), F.sum("apparent").alias("apparent"), F.sum("n").alias("entries"), F.bool_or("repo").alias("has_repo"))
     out = wanted.join(sums, "top", "left").select(
         F.col("top").alias("path"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("allocated", "apparent", "entries")), F.coalesce("has_repo", F.lit(False)).alias("has_repo")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomry.functions import paths as P
 from fathomry.functions.globs import to_regex
 from fathomry.operators import buildtrees as D
+from fathomry.operators import filters
 from fathomry.sources import files
 from fathomry.sources import tables as S
 from fathomry.sources.rules import EXPLAINED, NO_LOCKFILE, TRACKED, builtin
@@ -102,6 +103,10 @@ def excluded_projects(spark: SparkSession, sf: str) -> DataFrame:
     return D.analyze(e, RULES, exclude=["/w/c10", "/w/c11"], max_depth=3)["projects"].select("path", "artifact_size", "source_size")
 
 
+def projects_with_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.with_artifacts(analysis(spark, sf)["projects"]).select("path", "artifact_size")
+
+
 def dev_nearest_ancestor(spark: SparkSession, sf: str) -> DataFrame:
     """Files per nearest directory of a customer, by ancestors."""
     e = S.dev_entries(spark, sf)
@@ -192,6 +197,14 @@ ptypes AS (SELECT path, string_agg(ecosystem, '|' ORDER BY a, b, c) AS types FRO
 act AS (SELECT *, ({S.NOW} - greatest(last_source_mtime, coalesce(last_commit, 0))) AS idle FROM prj),
 days AS (SELECT *, greatest(idle, 0) // 86400 AS days FROM act)
 """
+# The same, but for two directories that are not looked at and for what lies deeper than four components, which only adds to sizes.
+EXCLUDED_SQL = (
+    DEV_SQL.replace("\ne AS (SELECT *, p[-1]", "\nea AS (SELECT *, p[-1]")
+    .replace("AS vcs FROM de),", "AS vcs FROM de WHERE NOT (path IN ('/w/c10', '/w/c11') OR starts_with(path, '/w/c10/') OR starts_with(path, '/w/c11/'))),\ne AS (SELECT * FROM ea WHERE len(p) <= 4),")
+    .replace("inner_ AS (", "upa AS (SELECT path, '/' || array_to_string(p[1 : i], '/') AS top FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM ea)),\ninner_ AS (")
+    .replace("LEFT JOIN up ON up.top = b.path AND up.path <> b.path LEFT JOIN e x ON x.path = up.path", "LEFT JOIN upa up ON up.top = b.path AND up.path <> b.path LEFT JOIN ea x ON x.path = up.path")
+    .replace("WHERE o_orderkey % 15 = 1", "WHERE false")
+)
 W = f"WITH {DEV_SQL} "
 assert TRACKED
 
@@ -213,6 +226,7 @@ QUERIES = {
         FROM range(1, 40) t(c) JOIN up ON up.top = '/w/c' || c AND up.path <> up.top JOIN e x ON x.path = up.path GROUP BY c"""),
     "docker_rows": (docker_rows, """WITH r AS (SELECT ['Images', 'Containers', 'Local Volumes', 'Build Cache', 'Other'][event_id % 5 + 1] AS "Type", user_id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0)
         SELECT "Type", CASE "Type" WHEN 'Images' THEN 'docker image prune -f' WHEN 'Containers' THEN 'docker container prune -f' WHEN 'Local Volumes' THEN 'docker volume prune -f' WHEN 'Build Cache' THEN 'docker builder prune -f' END AS command, count(*) AS rows, sum(user_id)::BIGINT AS total, count(*) AS blank FROM r GROUP BY 1, 2"""),
-    "excluded_projects": (excluded_projects, None),
+    "excluded_projects": (excluded_projects, f"WITH {EXCLUDED_SQL} SELECT path, artifact_size, source_size FROM prj"),
+    "projects_with_artifacts": (projects_with_artifacts, f"{W} SELECT path, artifact_size FROM prj WHERE artifact_size > 0"),
     "dev_nearest_ancestor": (dev_nearest_ancestor, f"{W} SELECT '/' || array_to_string(p[1 : 2], '/') AS project_path, count(*) AS files, sum(apparent)::BIGINT AS apparent FROM e WHERE kind = 'File' AND len(p) > 2 GROUP BY 1"),
 }

@@ -9,7 +9,7 @@ from fathomry.functions.hashing import full_key, partial_key
 from fathomry.operators import dedup, similar
 from fathomry.sources import tables as S
 
-T, WIDTH = 4, 24
+T, WIDTH = 4, 64
 
 
 def stages(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -33,7 +33,7 @@ def full_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verified_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.verified(groups(spark, sf)).select("path", "first")
+    return dedup.verified(groups(spark, sf), S.doc_files(spark, sf)).select("path", "first")
 
 
 def dup_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +73,7 @@ def dup_export_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cache(spark: SparkSession, sf: str) -> DataFrame:
-    f = S.doc_files(spark, sf).withColumn("n", F.crc32(F.col("path").cast("binary")))
+    f = S.doc_files(spark, sf).withColumn("n", F.floor((F.col("mtime") - 1_700_000_000) / 86_400))
     return f.select("path", "size", (F.col("mtime") + F.when(F.col("n") % 5 == 0, 1).otherwise(0)).alias("mtime"), "dev", "ino", F.when(F.col("n") % 3 == 0, 32).otherwise(16).cast("long").alias("partial_bytes"), F.md5("path").alias("partial"), F.when(F.col("n") % 2 == 0, F.md5("content")).alias("full"))
 
 
@@ -116,7 +116,7 @@ def similar_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similar_wasted(spark: SparkSession, sf: str) -> DataFrame:
-    return similar.similar_totals(*found(spark, sf)).select("root", "files", "size", "wasted")
+    return similar.similar_totals(*found(spark, sf)).select("root", "files", "size", "wasted", "max_distance")
 
 
 def image_representatives(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +133,12 @@ def dup_export_all(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.export_all(groups(spark, sf), like).drop("group_size")
 
 
+def hash_pass(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.hash_pass_order(groups(spark, sf))
+
+
 W = f"WITH {S.DOCS_SQL} "
+CACHE = W + ", c AS (SELECT *, (mtime - 1700000000) // 86400 AS n FROM f)"
 KEEP = W + ", k AS (SELECT *, row_number() OVER (PARTITION BY size, hash ORDER BY {order}, p) AS n FROM full_) SELECT path, n > 1 AS marked FROM k"
 COMPONENTS = f"""WITH RECURSIVE {S.IMAGES_SQL}, l AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), c AS (SELECT a AS x, a AS y FROM l UNION SELECT c.x, l.b FROM c JOIN l ON l.a = c.y), g AS (SELECT x AS path, min(y) AS root FROM c GROUP BY x) """
 
@@ -154,20 +159,21 @@ QUERIES = {
     "selection_validity": (selection_validity, f"{W} SELECT size, hash, bool_or(width <= 100) AS valid FROM full_ GROUP BY size, hash"),
     "marked_bytes": (marked_bytes, f"{W} SELECT (sum(files) - count(*))::BIGINT AS files, sum(wasted)::BIGINT AS bytes FROM totals"),
     "dup_stats": (dup_stats, f"{W} SELECT 0 AS step, 'scanned' AS stage, count(*) AS files, sum(size)::BIGINT AS bytes FROM f UNION ALL SELECT 1, 'size', count(*), sum(size)::BIGINT FROM sized UNION ALL SELECT 2, 'partial', count(*), sum(size)::BIGINT FROM halves UNION ALL SELECT 3, 'full', count(*), sum(size)::BIGINT FROM full_"),
+    "hash_pass": (hash_pass, f"{W} SELECT size, hash, files, (row_number() OVER (ORDER BY size DESC, hash))::INT AS place FROM totals"),
     "dup_export_rows": (dup_export_rows, f"{W} SELECT group_id::INT AS group_id, 'identical' AS kind, hash, wasted AS group_wasted, path, size, mtime FROM full_ JOIN ordered USING (size, hash)"),
     "dup_export_all": (dup_export_all, f"""WITH RECURSIVE {S.DOCS_SQL}, {COMPONENTS.removeprefix("WITH RECURSIVE ")}, far AS (SELECT root, max(distance) AS distance FROM edges JOIN g ON g.path = edges.a GROUP BY root),
         m AS (SELECT root, '/images/' || path || '.png' AS path, size, 1700000000 + path AS mtime, (path % 5 * 100 + 100)::INT AS width FROM g JOIN img USING (path)),
         o AS (SELECT root, sum(size) - max(size) AS wasted, row_number() OVER (ORDER BY sum(size) - max(size) DESC, max(size) DESC, min(path)) AS n FROM m GROUP BY root)
         SELECT group_id::INT AS group_id, 'identical' AS kind, hash, NULL::INT AS distance, wasted::BIGINT AS group_wasted, path, size, mtime, NULL::INT AS width, NULL::INT AS height FROM full_ JOIN ordered USING (size, hash)
         UNION ALL SELECT ((SELECT count(*) FROM ordered) + n)::INT, 'similar', NULL, distance, wasted::BIGINT, path, size, mtime, width, 100 FROM m JOIN o USING (root) JOIN far USING (root)"""),
-    "cache_lookup": (cache_lookup, None),
+    "cache_lookup": (cache_lookup, f"{CACHE} SELECT f.path, CASE WHEN n % 3 <> 0 AND n % 5 <> 0 THEN md5(f.path) END AS partial, CASE WHEN n % 5 <> 0 AND n % 2 = 0 THEN md5(content) END AS \"full\" FROM c f"),
     "cache_prune": (cache_prune, "WITH f AS (SELECT '/docs/' || lang || '/' || source || '/' || doc_id || '.txt' AS path, strlen(text) AS size FROM documents) SELECT path FROM f WHERE NOT (starts_with(path, '/docs/en/') OR starts_with(path, '/docs/de/')) OR size % 2 = 0"),
-    "cache_upsert": (cache_upsert, None),
+    "cache_upsert": (cache_upsert, f"{CACHE} SELECT path, CASE WHEN size % 3 = 0 THEN 'p' ELSE md5(path) END AS partial, CASE WHEN n % 2 = 0 AND NOT (size % 3 = 0 AND n % 5 = 0) THEN md5(content) END AS \"full\" FROM c"),
     "after_execution_regroup": (after_execution_regroup, f"{W}, g AS (SELECT size, hash, count(*) AS files FROM full_ WHERE width <> 300 GROUP BY size, hash HAVING count(*) >= 2) SELECT size, hash, files, (size * (files - 1))::BIGINT AS wasted FROM g"),
     "perceptual_hashes": (dhash, f"WITH {S.IMAGES_SQL} SELECT path, dhash, phash FROM img"),
     "hamming_pairs": (hamming_pairs, f"""WITH {S.IMAGES_SQL}, r AS (SELECT path, min(path) OVER (PARTITION BY dhash, phash) AS first FROM img)
         SELECT a, b, distance FROM edges WHERE a IN (SELECT first FROM r) AND (b IN (SELECT first FROM r) OR (distance = 0 AND b IN (SELECT path FROM r WHERE first = edges.a)))"""),
     "similar_groups": (similar_groups, f"{COMPONENTS} SELECT path, root FROM g"),
-    "similar_wasted": (similar_wasted, f"{COMPONENTS} SELECT root, count(*) AS files, max(size) AS size, (sum(size) - max(size))::BIGINT AS wasted FROM g JOIN img USING (path) GROUP BY root"),
-    "image_representatives": (image_representatives, "SELECT count(*) AS images, sum(1000 + vec_id)::BIGINT AS bytes FROM embeddings WHERE vec_id % 4 <> 1"),
+    "similar_wasted": (similar_wasted, f"{COMPONENTS} SELECT root, count(*) AS files, max(size) AS size, (sum(size) - max(size))::BIGINT AS wasted, any_value(d.distance) AS max_distance FROM g JOIN img USING (path) JOIN (SELECT root, max(distance) AS distance FROM edges JOIN g ON g.path = edges.a GROUP BY root) d USING (root) GROUP BY root"),
+    "image_representatives": (image_representatives, f"WITH {S.IMAGES_SQL} SELECT count(*) AS images, sum(size)::BIGINT AS bytes FROM img WHERE path % 4 <> 1"),
 }

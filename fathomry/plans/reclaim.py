@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomry.operators import ops
+from fathomry.operators.graph import shared_folder
+from fathomry.plans.buildtrees import DEV_SQL, RULES
 from fathomry.sources import tables as S
 from fathomry.streaming import live
 
@@ -37,7 +38,7 @@ def staged_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 def staging_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.staged_items(spark, sf)
-    again = rows.where(F.col("seq") % 10 == 0).withColumn("seq", F.col("seq") + 10_000_000)
+    again = rows.where(F.col("seq") % 10 == 0).withColumn("seq", F.col("seq") + 100_000_000_000_000_000)
     return ops.stage_outcomes(rows.unionByName(again), [], PROTECTED).select("seq", "outcome")
 
 
@@ -104,9 +105,34 @@ def volume_roots(spark: SparkSession, sf: str) -> DataFrame:
     return ops.volume_root(e.select("path"), dirs).select("path", "volume_root")
 
 
+def drawer_contains(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.contains(S.staged_items(spark, sf), S.entries(spark, sf).select("path"))
+
+
+def drawer_unstage(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.staged_items(spark, sf)
+    left = ops.unstage(rows, rows.agg(F.min("path")).first()[0])
+    return left.select("seq", "path").unionByName(ops.cleared(left).select("seq", "path"))
+
+
+def after_execution_tree(spark: SparkSession, sf: str) -> DataFrame:
+    done = S.staged_items(spark, sf).where("source = 'map'")
+    return ops.after_execution(S.entries(spark, sf), done).groupBy("kind").agg(F.count("*").alias("entries"), F.sum("allocated").alias("allocated"))
+
+
+def exec_plan_trash(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.staged_items(spark, sf)
+    return ops.exec_plan(rows, S.present(rows), [], PROTECTED, "trash", 1).where("outcome = 'Planned'").select("seq", "plan")
+
+
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomry-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def in_files(rows: DataFrame, key: str, place: str, files: int = 4) -> str:
+    """Rows dealt over some files, so that a stream of one file a trigger has as many batches."""
+    rows.repartition(files, key).write.parquet(f"{place}/in")
+    return f"{place}/in"
 
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -118,31 +144,41 @@ def events_as_entries(rows: DataFrame) -> DataFrame:
     return rows.select(path.alias("path"), F.lit("File").alias("kind"), F.floor(F.col("value") * 100).cast("long").alias("apparent"), (F.floor(F.col("value")).cast("long") * 512).alias("allocated"), (F.col("user_id") % 3 + 1).alias("nlink"), F.lit(1).cast("long").alias("dev"), F.col("user_id").alias("ino"))
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return events_as_entries(live.entry_stream(spark, sf, EVENT, "events.parquet"))
+def events(spark: SparkSession, sf: str, place: str) -> DataFrame:
+    """The events in batches; events of one user, so links to one file, are in several of them."""
+    return live.entry_stream(spark, in_files(S.table(spark, sf, "events"), "event_id", place), EVENT, "*.parquet", 1)
 
 
 def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
     place = scratch(spark)
-    live.to_table(live.rollup_stream(event_stream(spark, sf)), f"{place}/t", f"{place}/c", "update").awaitTermination()
+    live.to_table(live.rollup_stream(events_as_entries(events(spark, sf, place))), f"{place}/t", f"{place}/c", "update").awaitTermination()
     return live.latest(spark, f"{place}/t", "path string, agg_apparent bigint, agg_allocated bigint, items bigint", ["path"])
 
 
 def stream_hardlink_dedup(spark: SparkSession, sf: str) -> DataFrame:
     place = scratch(spark)
-    live.to_table(live.first_links(event_stream(spark, sf)), f"{place}/t", f"{place}/c").awaitTermination()
+    live.to_table(live.first_links(events_as_entries(events(spark, sf, place))), f"{place}/t", f"{place}/c").awaitTermination()
     rows = live.appended(spark, f"{place}/t", ENTRY)
     return rows.groupBy((F.col("nlink") > 1).alias("linked")).agg(F.count("*").alias("files"), F.count_distinct("ino").alias("inodes"))
 
 
 def stream_journal(spark: SparkSession, sf: str) -> DataFrame:
     place = scratch(spark)
-    rows = live.entry_stream(spark, sf, EVENT, "events.parquet").select(F.col("event_type").alias("operation"), F.floor(F.col("value") * 100).cast("long").alias("size"))
+    rows = events(spark, sf, place).select(F.col("event_type").alias("operation"), F.floor(F.col("value") * 100).cast("long").alias("size"))
     live.to_table(rows, f"{place}/t", f"{place}/c").awaitTermination()
     return live.appended(spark, f"{place}/t", "operation string, size bigint").groupBy("operation").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
 
 
+def stream_projects(spark: SparkSession, sf: str) -> DataFrame:
+    place = scratch(spark)
+    rows = S.dev_entries(spark, sf)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(in_files(rows, "path", place))
+    live.to_table(live.project_stream(stream, RULES), f"{place}/t", f"{place}/c").awaitTermination()
+    return live.appended(spark, f"{place}/t", "dir string, rule_id int")
+
+
 W = f"WITH {S.STAGED_SQL} "
+HIT = f"""{W}, hit AS (SELECT DISTINCT path FROM (SELECT path, '/' || array_to_string(p[1 : i], '/') AS a FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM entries)) JOIN (SELECT path AS a FROM staged WHERE {{0}}) USING (a))"""
 J = f"WITH {S.JOURNAL_SQL} "
 LINKS = """WITH d AS (SELECT '/docs/' || lang || '/' || source || '/' || doc_id || '.txt' AS path, strlen(text)::BIGINT AS size, 1 AS dev, CASE WHEN doc_id % 7 = 0 THEN doc_id + 1 ELSE doc_id END AS ino, sha256(text) AS hash, doc_id AS n FROM documents),
 pairs AS (
@@ -162,7 +198,7 @@ QUERIES = {
     "expected_bytes": (expected_bytes, f"{W} SELECT seq, expected FROM expect"),
     "confirm_threshold": (confirm_threshold, f"{W} SELECT (SELECT count(*) FROM staged) AS items, sum(expected)::BIGINT AS reclaimable, (SELECT count(*) FROM staged) > 100 OR sum(expected) > 1073741824 AS confirm FROM expect"),
     "staged_by_source": (staged_by_source, f"{W} SELECT source, count(*) AS items, sum(allocated)::BIGINT AS bytes FROM staged GROUP BY source"),
-    "staging_outcomes": (staging_outcomes, f"""{W}, x AS (SELECT seq, path, p FROM staged UNION ALL SELECT seq + 10000000, path, p FROM staged WHERE seq % 10 = 0), free AS (SELECT path, min(seq) AS first FROM x WHERE p[2] <> 'EUROPE' GROUP BY path),
+    "staging_outcomes": (staging_outcomes, f"""{W}, x AS (SELECT seq, path, p FROM staged UNION ALL SELECT seq + 100000000000000000, path, p FROM staged WHERE seq % 10 = 0), free AS (SELECT path, min(seq) AS first FROM x WHERE p[2] <> 'EUROPE' GROUP BY path),
         cov AS (SELECT DISTINCT seq FROM (SELECT seq, '/' || array_to_string(p[1 : i], '/') AS a FROM (SELECT seq, p, unnest(range(1, len(p))) AS i FROM x)) u JOIN free ON free.path = u.a AND free.first < u.seq)
         SELECT seq, CASE WHEN p[2] = 'EUROPE' THEN 'Protected' WHEN seq IN (SELECT seq FROM cov) THEN 'Covered' WHEN (SELECT first FROM free WHERE free.path = x.path) < seq THEN 'AlreadyStaged' ELSE 'Staged' END AS outcome FROM x"""),
     "revalidate": (revalidate, f"{W} SELECT seq, problem, (CASE WHEN problem IS NULL AND (now_kind = 'Dir' OR now_nlink <= 1) THEN now_allocated ELSE 0 END)::BIGINT AS bytes FROM checked"),
@@ -178,6 +214,11 @@ QUERIES = {
         SELECT seq, CASE WHEN seq % 2 = 0 THEN '/r' ELSE '/q' END || '/.fathomry-quarantine/20011231/' || array_to_string(list_filter(CASE WHEN seq % 2 = 0 THEN c[2 :] ELSE c END, lambda y: y <> '..'), '/') AS destination FROM x"""),
     "quarantine_unique": (quarantine_unique, f"{W} SELECT seq, '/q/' || (seq % 50) || CASE WHEN row_number() OVER w > 1 THEN '.' || (row_number() OVER w - 1) ELSE '' END AS destination FROM staged WINDOW w AS (PARTITION BY seq % 50 ORDER BY seq)"),
     "volume_roots": (volume_roots, f"{W} SELECT path, CASE WHEN starts_with(path, '/r/ASIA/') THEN '/r/ASIA' WHEN starts_with(path, '/r/EUROPE/') AND len(p) > 3 THEN '/r/EUROPE/' || p[3] ELSE '/' END AS volume_root FROM entries WHERE kind = 'Dir'"),
+    "drawer_contains": (drawer_contains, HIT.format("true") + " SELECT path, path IN (SELECT path FROM staged) AS staged, path IN (SELECT path FROM hit) AS covered FROM entries"),
+    "drawer_unstage": (drawer_unstage, f"{W} SELECT seq, path FROM staged WHERE path <> (SELECT min(path) FROM staged)"),
+    "after_execution_tree": (after_execution_tree, HIT.format("source = 'map'") + " SELECT kind, count(*) AS entries, sum(allocated)::BIGINT AS allocated FROM entries WHERE path NOT IN (SELECT path FROM hit) GROUP BY kind"),
+    "exec_plan_trash": (exec_plan_trash, f"{W} SELECT seq, 'move to trash: ' || CASE WHEN kind = 'Dir' THEN 'directory (' || entry_count || ' entries)' ELSE 'file' END AS plan FROM plan WHERE outcome = 'Planned'"),
+    "stream_projects": (stream_projects, f"WITH {DEV_SQL} SELECT dir, rule_id::INT AS rule_id FROM matched"),
     "stream_rollup": (stream_rollup, f"{EV} SELECT '/' || array_to_string(p[1 : i], '/') AS path, sum(apparent)::BIGINT AS agg_apparent, sum(allocated)::BIGINT AS agg_allocated, count(*) AS items FROM (SELECT *, unnest(range(1, len(p))) AS i FROM (SELECT *, string_split(path[2 :], '/') AS p FROM ev)) GROUP BY 1"),
     "stream_hardlink_dedup": (stream_hardlink_dedup, f"{EV} SELECT nlink > 1 AS linked, CASE WHEN nlink > 1 THEN count(DISTINCT ino) ELSE count(*) END AS files, count(DISTINCT ino) AS inodes FROM ev GROUP BY nlink > 1"),
     "stream_journal": (stream_journal, "SELECT event_type AS operation, count(*) AS rows, sum(floor(value * 100)::BIGINT)::BIGINT AS bytes FROM events GROUP BY 1"),

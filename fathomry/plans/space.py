@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomry.functions import devices
 from fathomry.functions import formats as T
 from fathomry.functions import globs as G
 from fathomry.functions import paths as P
 from fathomry.operators import filters, layout, tree
+from fathomry.operators.ordering import numbered
 from fathomry.sources import tables as S
 
-EXCLUDED = ["/r/ASIA", "/r/EUROPE/FRANCE"]
+EXCLUDED = ["/r/ASIA", "/r/EUROPE/NATION_3"]
 GLOBS = ["l1_*", "*/c1?/*"]
+#: Extensions of files that stand for pages, of every class.
+KINDS = ["jpg", "mp4", "mp3", "zip", "pdf", "rs", "so", "xyz", ""]
 SHOWN = ["path", "agg_apparent", "agg_allocated", "items"]
 
 
@@ -57,7 +61,7 @@ def children_pct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def breadcrumbs(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.breadcrumbs(rolled(spark, sf), "/r/AMERICA/BRAZIL").select("position", "path", "items")
+    return tree.breadcrumbs(rolled(spark, sf), "/r/AMERICA/NATION_1").select("position", "path", "items")
 
 
 def remove_subtree(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +69,7 @@ def remove_subtree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def multi_root(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tree.under_roots(S.entries(spark, sf), ["/r/ASIA", "/r/ASIA/CHINA", "/r/AFRICA"])
+    rows = tree.under_roots(S.entries(spark, sf), ["/r/ASIA", "/r/ASIA/NATION_7", "/r/AFRICA"])
     return rows.groupBy("root").agg(F.count("*").alias("entries"), F.sum("allocated").alias("allocated"))
 
 
@@ -88,7 +92,7 @@ def excluded_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_substring(spark: SparkSession, sf: str) -> DataFrame:
-    return S.entries(spark, sf).where(G.search(P.name("path"), "An")).select("path")
+    return S.entries(spark, sf).where(G.search(P.name("path"), "Ion_1")).select("path")
 
 
 def search_glob(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,12 +114,13 @@ def protected_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def focus_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.related(S.entries(spark, sf).where("kind = 'Dir'"), "/r/ASIA/JAPAN").select("path")
+    return filters.related(S.entries(spark, sf).where("kind = 'Dir'"), "/r/ASIA/NATION_2").select("path")
 
 
 def page_files(spark: SparkSession, sf: str) -> DataFrame:
     url = F.regexp_extract("url", r"://([^?#]*)", 1)
-    return S.table(spark, sf, "pages").select("page_id", F.concat(F.lit("/"), url).alias("path"), F.octet_length("html").cast("long").alias("size"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("page_id") % len(KINDS) + 1).cast("int"))
+    return S.table(spark, sf, "pages").select("page_id", F.concat(F.lit("/"), url, F.lit("/f."), kind).alias("path"), F.octet_length("html").cast("long").alias("size"))
 
 
 def category_breakdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +149,7 @@ def split_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def volume_of(spark: SparkSession, sf: str) -> DataFrame:
-    volumes = spark.createDataFrame([("/",), ("/r",), ("/r/ASIA",), ("/r/ASIA/JAPAN",)], "mount string")
+    volumes = spark.createDataFrame([("/",), ("/r",), ("/r/ASIA",), ("/r/ASIA/NATION_2",)], "mount string")
     return tree.volume_for(S.entries(spark, sf).where("kind = 'Dir'"), volumes).groupBy("mount").agg(F.count("*").alias("dirs"))
 
 
@@ -180,6 +185,27 @@ def arc_at(spark: SparkSession, sf: str) -> DataFrame:
     return layout.arc_at(arcs(spark, sf), points).select("point", "arc_path")
 
 
+def polar_points(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = F.col("id") % 32 - 15.5, F.floor(F.col("id") / 32) - 15.5
+    ring, theta = layout.polar(x, y, 15.0, 4)
+    return spark.range(1000).select("id", ring.alias("ring"), F.round(theta, 6).alias("theta"))
+
+
+def list_panel(spark: SparkSession, sf: str) -> DataFrame:
+    rows = filters.list_panel(rolled(spark, sf), "/r/ASIA").unionByName(filters.list_panel(rolled(spark, sf), "/r/ASIA", "o*7"))
+    return numbered(rows.select("path", "agg_allocated"), [F.desc("agg_allocated"), P.parts("path")], "place")
+
+
+def copy_on_write(spark: SparkSession, sf: str) -> DataFrame:
+    fs = F.element_at(F.array(*map(F.lit, ["apfs", "ext4", "BTRFS", "xfs", "ntfs", "ReFS", "zfs", "bcachefs"])), (F.col("n_nationkey") % 8 + 1).cast("int"))
+    return S.table(spark, sf, "nation").select("n_nationkey", filters.is_copy_on_write(fs).alias("shares"))
+
+
+def io_concurrency(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ["ssd", "hdd", "network", "tape"])), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return S.table(spark, sf, "nation").select("n_nationkey", devices.io_concurrency(kind, F.col("n_nationkey")).alias("readers"))
+
+
 def sizes(spark: SparkSession, sf: str) -> DataFrame:
     n = (F.col("o_orderkey") * F.col("o_orderkey") * F.pow(F.lit(2), F.col("o_orderkey") % 25)).cast("long")
     return S.table(spark, sf, "orders").select("o_orderkey", n.alias("n"))
@@ -238,7 +264,7 @@ r3 AS (SELECT 3 AS ring, path, p, kind, size, ps + before * per AS s, least(ps +
 drawn AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3),
 small AS (SELECT ring, '/' || up AS parent_path, sum(size)::BIGINT AS size, count(*) AS count FROM (SELECT 1 AS ring, * EXCLUDE (ps, pe) FROM a1 UNION ALL SELECT 2, * EXCLUDE (ps, pe, branch) FROM a2 UNION ALL SELECT 3, * EXCLUDE (ps, pe, branch) FROM a3) WHERE size * per < 0.02 GROUP BY ALL)
 """
-PAGES = "SELECT page_id, '/' || regexp_extract(url, '://([^?#]*)', 1) AS path, strlen(html)::BIGINT AS size FROM pages"
+PAGES = f"SELECT page_id, '/' || regexp_extract(url, '://([^?#]*)', 1) || '/f.' || {KINDS}[page_id % {len(KINDS)} + 1] AS path, strlen(html)::BIGINT AS size FROM pages"
 CATEGORY = " ".join(f"WHEN ext IN ({', '.join(repr(x) for x in xs)}) THEN '{label}'" for label, xs in filters.CATEGORIES.items())
 SIZES = "SELECT o_orderkey, (o_orderkey * o_orderkey * (1::BIGINT << (o_orderkey % 25)::INT))::BIGINT AS n FROM orders"
 
@@ -251,22 +277,23 @@ QUERIES = {
     "summarize_top_n": (summarize_top_n, LEVELS),
     "csv_rows": (csv_rows, PRE),
     "children_pct": (children_pct, f"{W} SELECT path, agg_allocated, round(agg_allocated * 100.0::DOUBLE / (SELECT agg_allocated FROM rolled WHERE path = '/r'), 6) AS percent FROM rolled WHERE len(p) = 2"),
-    "breadcrumbs": (breadcrumbs, f"{W} SELECT (len(p) - 1)::INT AS position, path, items FROM rolled WHERE path IN ('/r', '/r/AMERICA', '/r/AMERICA/BRAZIL')"),
+    "breadcrumbs": (breadcrumbs, f"""{W}, c(position, top) AS (VALUES (0, '/r'), (1, '/r/AMERICA'), (2, '/r/AMERICA/NATION_1'))
+        SELECT position::INT AS position, top AS path, count(*) AS items FROM c JOIN entries e ON starts_with(e.path, top || '/') GROUP BY 1, 2"""),
     "remove_subtree": (remove_subtree, f"""{W} SELECT '/' || array_to_string(p[1 : i], '/') AS path, sum(CASE WHEN hardlink_dup THEN 0 ELSE apparent END)::BIGINT AS agg_apparent,
         sum(CASE WHEN hardlink_dup THEN 0 ELSE allocated END)::BIGINT AS agg_allocated, count(*) AS items FROM (SELECT *, unnest(range(1, len(p))) AS i FROM marked WHERE coalesce(p[2], '') <> 'EUROPE') GROUP BY 1"""),
-    "multi_root": (multi_root, f"{W} SELECT root, count(*) AS entries, sum(allocated)::BIGINT AS allocated FROM entries, (VALUES ('/r/ASIA'), ('/r/ASIA/CHINA'), ('/r/AFRICA')) t(root) WHERE path = root OR starts_with(path, root || '/') GROUP BY root"),
+    "multi_root": (multi_root, f"{W} SELECT root, count(*) AS entries, sum(allocated)::BIGINT AS allocated FROM entries, (VALUES ('/r/ASIA'), ('/r/ASIA/NATION_7'), ('/r/AFRICA')) t(root) WHERE path = root OR starts_with(path, root || '/') GROUP BY root"),
     "scan_counters": (scan_counters, f"{W} SELECT count(*) FILTER (kind <> 'Dir') AS files, count(*) FILTER (kind = 'Dir') AS dirs, sum(CASE WHEN kind = 'File' THEN allocated END)::BIGINT AS bytes, count(*) FILTER (ino % 100 = 0) AS errors FROM entries"),
     "issue_rows": (issue_rows, f"{W} SELECT path, CASE WHEN ino % 100 = 0 THEN 'Permission denied (os error 13)' ELSE 'input/output error' END AS error, ino % 100 = 0 AS denied FROM entries WHERE ino % 100 IN (0, 1)"),
-    "exclude_glob": (exclude_glob, f"""{W}, hit AS (SELECT path, p FROM entries WHERE path IN ('/r/ASIA', '/r/EUROPE/FRANCE') OR starts_with(p[-1], 'l1_') OR regexp_matches(path, '/c1./')),
+    "exclude_glob": (exclude_glob, f"""{W}, hit AS (SELECT path, p FROM entries WHERE path IN ('/r/ASIA', '/r/EUROPE/NATION_3') OR starts_with(p[-1], 'l1_') OR regexp_matches(path, '/c1./')),
         bad AS (SELECT DISTINCT e.path FROM (SELECT path, '/' || array_to_string(p[1 : i], '/') AS a FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM entries)) e JOIN hit ON hit.path = e.a)
         SELECT kind, count(*) AS entries, sum(allocated)::BIGINT AS allocated FROM entries WHERE path NOT IN (SELECT path FROM bad) GROUP BY kind"""),
-    "excluded_entries": (excluded_entries, f"{W} SELECT path FROM entries WHERE path IN ('/r/ASIA', '/r/EUROPE/FRANCE') OR regexp_full_match(p[-1], 'c1.')"),
-    "search_substring": (search_substring, f"{W} SELECT path FROM entries WHERE contains(lower(p[-1]), 'an')"),
+    "excluded_entries": (excluded_entries, f"{W} SELECT path FROM entries WHERE path IN ('/r/ASIA', '/r/EUROPE/NATION_3') OR regexp_full_match(p[-1], 'c1.')"),
+    "search_substring": (search_substring, f"{W} SELECT path FROM entries WHERE contains(lower(p[-1]), 'ion_1')"),
     "search_glob": (search_glob, f"{W} SELECT path FROM entries WHERE regexp_full_match(lower(p[-1]), 'l._.*7')"),
     "search_capped": (search_capped, f"{W}, h AS (SELECT path, p FROM entries WHERE regexp_full_match(lower(p[-1]), 'c.*1')) SELECT path, (SELECT count(*) > 50 FROM h) AS truncated FROM (SELECT * FROM h ORDER BY p LIMIT 50)"),
     "search_ancestors": (search_ancestors, f"{W} SELECT DISTINCT '/' || array_to_string(p[1 : i], '/') AS path FROM (SELECT p, unnest(range(1, len(p))) AS i FROM entries WHERE starts_with(p[-1], 'l7_'))"),
     "protected_filter": (protected_filter, f"{W} SELECT path FROM entries WHERE kind = 'Dir' AND (path = '/r/ASIA' OR path = '/r/AFRICA' OR starts_with(path, '/r/AFRICA/'))"),
-    "focus_filter": (focus_filter, f"{W} SELECT path FROM entries WHERE kind = 'Dir' AND (path IN ('/r', '/r/ASIA', '/r/ASIA/JAPAN') OR starts_with(path, '/r/ASIA/JAPAN/'))"),
+    "focus_filter": (focus_filter, f"{W} SELECT path FROM entries WHERE kind = 'Dir' AND (path IN ('/r', '/r/ASIA', '/r/ASIA/NATION_2') OR starts_with(path, '/r/ASIA/NATION_2/'))"),
     "category_breakdown": (category_breakdown, f"""WITH x AS ({PAGES}), n AS (SELECT size, coalesce(nullif(list_filter(string_split(path, '/'), lambda y: y <> '')[-1], ''), path) AS name FROM x), e AS (SELECT size, regexp_extract(name, '\\.([^.]*)$', 1) AS ext FROM n)
         SELECT CASE {CATEGORY} ELSE 'Other' END AS category, count(*) AS files, sum(size)::BIGINT AS bytes FROM e GROUP BY 1"""),
     "image_names": (image_names, "SELECT page_id, page_id % 5 IN (0, 1) AS image FROM pages"),
@@ -274,7 +301,7 @@ QUERIES = {
     "staged_flags": (staged_flags, f"""WITH {S.STAGED_SQL}, hit AS (SELECT DISTINCT path FROM (SELECT path, '/' || array_to_string(p[1 : i], '/') AS a FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM entries)) JOIN (SELECT path AS a FROM staged) USING (a))
         SELECT kind, path IN (SELECT path FROM hit) AS staged, count(*) AS entries FROM entries GROUP BY 1, 2"""),
     "split_patterns": (split_patterns, "SELECT r_regionkey, '*.jpg|b' || r_regionkey || '|c' AS patterns FROM region"),
-    "volume_of": (volume_of, f"{W} SELECT CASE WHEN path = '/r/ASIA/JAPAN' OR starts_with(path, '/r/ASIA/JAPAN/') THEN '/r/ASIA/JAPAN' WHEN path = '/r/ASIA' OR starts_with(path, '/r/ASIA/') THEN '/r/ASIA' ELSE '/r' END AS mount, count(*) AS dirs FROM entries WHERE kind = 'Dir' GROUP BY 1"),
+    "volume_of": (volume_of, f"{W} SELECT CASE WHEN path = '/r/ASIA/NATION_2' OR starts_with(path, '/r/ASIA/NATION_2/') THEN '/r/ASIA/NATION_2' WHEN path = '/r/ASIA' OR starts_with(path, '/r/ASIA/') THEN '/r/ASIA' ELSE '/r' END AS mount, count(*) AS dirs FROM entries WHERE kind = 'Dir' GROUP BY 1"),
     "volume_bands": (volume_bands, """WITH v AS (SELECT greatest(10000 - floor(greatest(s_acctbal, 0))::BIGINT, 0) AS used FROM supplier)
         SELECT CASE WHEN used / 10000 >= 0.95 THEN 'full' WHEN used / 10000 >= 0.85 THEN 'high' ELSE 'ok' END AS band, count(*) AS volumes, sum(used)::BIGINT AS used FROM v GROUP BY 1"""),
     "directory_totals": (directory_totals, f"""{W}, b AS (SELECT '/' || array_to_string(p[1 : 3], '/') AS top, * FROM entries WHERE len(p) > 3),
@@ -286,6 +313,12 @@ QUERIES = {
     "sunburst_small_items": (sunburst_small_items, f"{RINGS} SELECT ring, parent_path, size, count FROM small"),
     "arc_at": (arc_at, f"""{RINGS}, pt AS (SELECT i AS point, (i % 2 + 1)::INT AS ring, i * 0.2::DOUBLE AS theta FROM range(1, 31) t(i))
         SELECT point, path AS arc_path FROM pt LEFT JOIN drawn d ON d.ring = pt.ring AND d.s <= theta AND theta < d.e"""),
+    "polar_points": (polar_points, """WITH x AS (SELECT i AS id, i % 32 - 15.5::DOUBLE AS x, i // 32 - 15.5::DOUBLE AS y FROM range(1000) t(i))
+        SELECT id, greatest(floor((sqrt(x * x + y * y) / 15 - 0.24::DOUBLE) / (0.76::DOUBLE / 4)) + 1, 0)::INT AS ring, round(CASE WHEN atan2(x, -y) < 0 THEN atan2(x, -y) + 2 * pi() ELSE atan2(x, -y) END, 6) AS theta FROM x"""),
+    "list_panel": (list_panel, f"""{W}, x AS (SELECT path, p, agg_allocated FROM rolled WHERE len(p) = 3 AND p[2] = 'ASIA' UNION ALL SELECT path, p, agg_allocated FROM rolled WHERE starts_with(path, '/r/ASIA/') AND regexp_full_match(lower(p[-1]), 'o.*7'))
+        SELECT path, agg_allocated, (row_number() OVER (ORDER BY agg_allocated DESC, p))::INT AS place FROM x"""),
+    "copy_on_write": (copy_on_write, "SELECT n_nationkey, n_nationkey % 8 IN (0, 2, 3, 5, 7) AS shares FROM nation"),
+    "io_concurrency": (io_concurrency, "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN greatest(4, least(16, n_nationkey)) WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE greatest(2, least(8, n_nationkey)) END::INT AS readers FROM nation"),
     "fmt_size_binary": (fmt_size_binary, f"""WITH x AS ({SIZES}), y AS (SELECT o_orderkey, n, CASE WHEN n < 1024 THEN 0 ELSE floor(log2(n) / 10)::INT END AS u FROM x), z AS (SELECT *, n::DOUBLE / pow(1024, u) AS v FROM y)
         SELECT o_orderkey, CASE WHEN u = 0 THEN n || ' B' ELSE CASE WHEN v >= 100 THEN printf('%.0f', v) WHEN v >= 10 THEN printf('%.1f', v) ELSE printf('%.2f', v) END || ' ' || ['KiB', 'MiB', 'GiB', 'TiB', 'PiB', 'EiB'][u] END AS shown FROM z"""),
     "fmt_date": (fmt_date, "WITH x AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT - CASE WHEN o_orderkey % 9 = 0 THEN 2000000000 ELSE 0 END AS s FROM orders) SELECT o_orderkey, CASE WHEN s <= 0 THEN '—' ELSE strftime(DATE '1970-01-01' + (s // 86400)::INT, '%Y-%m-%d') END AS shown FROM x"),

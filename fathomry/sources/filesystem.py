@@ -151,6 +151,7 @@ def scan(spark: SparkSession, roots: list[str], exclude_paths: list[str] | None
 
 def volumes(spark: SparkSession, table: str = "/proc/mounts") -> DataFrame:
     """Mounted volumes with their capacity, by mount point, one row each."""
+    # Filesystems of the network.
     network = {"nfs", "nfs4", "cifs", "smb3", "smbfs", "afpfs", "fuse.sshfs", "9p", "ceph"}
     found: dict[str, tuple] = {}
     with open(table) as f:

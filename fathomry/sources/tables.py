@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
 from fathomry.functions.hashing import gradient_hash, mean_hash
+from fathomry.operators.graph import shared_folder
 
 NOW = 1_009_756_800  # 2001-12-31
 
@@ -41,7 +47,31 @@ def entry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("allocated", blocks(F.col("apparent")))
 
 
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A fixture, written on first use in the application and read as Parquet from then on, as a scan's result would be."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    df = build()
+    if key not in _made:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _made[key] = path
+        if "://" not in path or path.startswith("file://"):
+            atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return spark.read.schema(df.schema).parquet(_made[key])
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "entries", lambda: built_entries(spark, sf_dir))
+
+
+def dev_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "dev-entries", lambda: built_dev_entries(spark, sf_dir))
+
+
+def built_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files and the directories above them."""
     files = entry_files(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
@@ -116,18 +146,28 @@ ordered AS (SELECT *, row_number() OVER (ORDER BY wasted DESC, size DESC, first)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as images with 24-bit gradient and mean hashes."""
+    """Vectors as images with 64-bit gradient and mean hashes over all components; every third has a near copy, whose hashes
+    differ in the lowest bits, and every sixth a copy of that copy, with three more bits changed."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("path"), (1000 + F.col("vec_id")).alias("size"), gradient_hash("embedding").alias("dhash"), mean_hash("embedding").alias("phash"), F.col("label"))
+    all_ = e.select(F.col("vec_id").alias("path"), (1000 + F.col("vec_id")).alias("size"), gradient_hash("embedding").alias("dhash"), mean_hash("embedding").alias("phash"), F.col("label"))
+    low = lambda n: (F.pow(F.lit(2.0), F.col("path") % n).cast("bigint") - 1)
+    near = all_.where(F.col("path") % 3 == 0).select((F.col("path") + 1_000_000).alias("path"), (F.col("size") + 1).alias("size"), F.col("dhash").bitwiseXOR(low(7)).alias("dhash"), F.col("phash").bitwiseXOR(low(5)).alias("phash"), "label")
+    far = near.where(F.col("path") % 2 == 0).select((F.col("path") + 1_000_000).alias("path"), (F.col("size") + 1).alias("size"), F.col("dhash").bitwiseXOR(F.lit(7 << 20).cast("bigint")).alias("dhash"), "phash", "label")
+    return all_.unionByName(near).unionByName(far)
 
 
 IMAGES_SQL = """
-img AS (
+img0 AS (
   SELECT vec_id AS path, 1000 + vec_id AS size, label,
-    list_sum(list_transform(range(1, 25), lambda i: CASE WHEN embedding[i] < embedding[i + 1] THEN 1::BIGINT << (i - 1)::INT ELSE 0 END))::BIGINT AS dhash,
-    list_sum(list_transform(range(1, 25), lambda i: CASE WHEN embedding[i]::DOUBLE > list_reduce(list_transform(embedding[1 : 24], lambda x: x::DOUBLE), lambda a, b: a + b) / 24 THEN 1::BIGINT << (i - 1)::INT ELSE 0 END))::BIGINT AS phash
+    list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] < embedding[i + 1] THEN 1::BIGINT << (i - 1)::INT ELSE 0 END))::BIGINT AS dhash,
+    list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i]::DOUBLE > list_reduce(list_transform(embedding[1 : 64], lambda x: x::DOUBLE), lambda a, b: a + b) / 64 THEN CASE WHEN i = 64 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << least(i - 1, 62)::INT END ELSE 0 END))::BIGINT AS phash
   FROM embeddings
 ),
+img1 AS (SELECT path + 1000000 AS path, size + 1 AS size, label, xor(dhash, (1::BIGINT << (path % 7)::INT) - 1) AS dhash, xor(phash, (1::BIGINT << (path % 5)::INT) - 1) AS phash FROM img0 WHERE path % 3 = 0),
+img AS (
+  SELECT path, size, label, dhash, phash FROM img0 UNION ALL SELECT path, size, label, dhash, phash FROM img1
+  UNION ALL SELECT path + 1000000, size + 1, label, xor(dhash, (7 << 20)::BIGINT), phash FROM img1 WHERE path % 2 = 0
+),
 edges AS (
   SELECT a.path AS a, b.path AS b, greatest(bit_count(xor(a.dhash, b.dhash)), bit_count(xor(a.phash, b.phash)))::INT AS distance
   FROM img a JOIN img b ON a.path < b.path AND bit_count(xor(a.dhash, b.dhash)) <= 4 AND bit_count(xor(a.phash, b.phash)) <= 4
@@ -135,7 +175,7 @@ edges AS (
 """
 
 
-def dev_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def built_dev_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as project directories of many kinds, their line items as files in build directories or sources."""
     o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     key = F.col("o_orderkey")
@@ -164,12 +204,14 @@ def dev_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh customer's directory, and every fiftieth order's files, staged in order of path."""
+    """Every seventh customer's directory, then every fiftieth order's files, staged in order of their numbers."""
     rows = entries(spark, sf_dir)
     number = lambda at, letter: F.regexp_extract(F.coalesce(F.get(P.parts("path"), F.lit(at)), F.lit("")), f"^{letter}([0-9]+)$", 1)
     customer, order = F.try_to_number(number(3, "c"), F.lit("999999999999")), F.try_to_number(number(4, "o"), F.lit("999999999999"))
     chosen = rows.where(((P.depth("path") == 4) & (customer % 7 == 0)) | ((F.col("kind") == "File") & (order % 50 == 0)))
-    seq = F.row_number().over(Window.orderBy("path")).cast("long")
+    # A line's number, part and supplier are below 10, 100,000 and 10,000.
+    line = [F.expr(f"try_cast(regexp_extract(path, '/l([0-9]+)_([0-9]+)_([0-9]+)$', {i}) AS bigint)") for i in (1, 2, 3)]
+    seq = F.when(F.col("kind") == "Dir", customer.cast("long")).otherwise(((order.cast("long") * 10 + line[0]) * 100_000 + line[1]) * 10_000 + line[2])
     return chosen.select(
         seq.alias("seq"), "path", "kind", F.when(F.col("kind") == "Dir", 4096).otherwise(F.col("allocated")).cast("long").alias("allocated"), "apparent", "mtime", F.lit(0).alias("mtime_nanos"), "dev", "ino", "nlink",
         F.when(F.col("kind") == "Dir", 5).otherwise(1).cast("long").alias("entry_count"), F.when(F.col("kind") == "Dir", "map").otherwise("duplicates").alias("source"), F.lit("").alias("reason"), F.lit(NOW).cast("long").alias("staged_at"),
@@ -180,7 +222,7 @@ STAGED_SQL = (
     ENTRIES_SQL
     + """,
 staged AS (
-  SELECT row_number() OVER (ORDER BY path) AS seq, path, p, kind, (CASE WHEN kind = 'Dir' THEN 4096 ELSE allocated END)::BIGINT AS allocated, apparent, mtime, 0 AS mtime_nanos, dev, ino, nlink,
+  SELECT CASE WHEN kind = 'Dir' THEN try_cast(p[4][2 :] AS BIGINT) ELSE ((try_cast(p[5][2 :] AS BIGINT) * 10 + try_cast(string_split(p[6][2 :], '_')[1] AS BIGINT)) * 100000 + try_cast(string_split(p[6], '_')[2] AS BIGINT)) * 10000 + try_cast(string_split(p[6], '_')[3] AS BIGINT) END AS seq, path, p, kind, (CASE WHEN kind = 'Dir' THEN 4096 ELSE allocated END)::BIGINT AS allocated, apparent, mtime, 0 AS mtime_nanos, dev, ino, nlink,
     (CASE WHEN kind = 'Dir' THEN 5 ELSE 1 END)::BIGINT AS entry_count, CASE WHEN kind = 'Dir' THEN 'map' ELSE 'duplicates' END AS source
   FROM entries
   WHERE (len(p) = 4 AND regexp_extract(p[4], '^c([0-9]+)$', 1)::BIGINT % 7 = 0) OR (kind = 'File' AND regexp_extract(p[5], '^o([0-9]+)$', 1)::BIGINT % 50 = 0)

@@ -31,6 +31,43 @@ def first_links(entries: DataFrame) -> DataFrame:
     return entries.where(link).dropDuplicates(["dev", "ino"]).unionByName(entries.where(~link))
 
 
+def project_stream(entries: DataFrame, rules: list[tuple]) -> DataFrame:
+    """dir, rule_id of every directory that holds a marker, each once, as soon as the marker is seen. State grows with them."""
+    from fathomry.operators.buildtrees import rule_match
+
+    return rule_match(entries, rules)
+
+
+class LiveScan:
+    """A stream into a table that can be paused, resumed and cancelled.
+
+    What a batch has written stays; a pause ends the query between batches, and the checkpoint tells a resumed one where to go
+    on. A cancelled scan can't be resumed; its table keeps the batches that were complete, without the unfinished one.
+    """
+
+    def __init__(self, stream: DataFrame, path: str, checkpoint: str, mode: str = "append", interval: str | None = None):
+        self.args, self.query, self.state = (stream, path, checkpoint, mode, interval), None, "ready"
+
+    def resume(self) -> StreamingQuery:
+        if self.state == "cancelled":
+            raise RuntimeError("a cancelled scan can't go on")
+        if self.query is None or not self.query.isActive:
+            self.query = to_table(*self.args)
+        self.state = "running"
+        return self.query
+
+    def pause(self) -> None:
+        self._end("paused")
+
+    def cancel(self) -> None:
+        self._end("cancelled")
+
+    def _end(self, state: str) -> None:
+        if self.query is not None:
+            self.query.stop()
+        self.state = state
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", interval: str | None = None) -> StreamingQuery:
     """Write each batch, numbered, to a Parquet table; without an interval, what is there now and then stop."""
 

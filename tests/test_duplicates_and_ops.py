@@ -28,7 +28,7 @@ def test_duplicate_groups(spark):
     totals = dedup.in_order(dedup.group_totals(found["full"])).orderBy("group_id").collect()
     assert [(r["files"], r["wasted"], r["first_path"]) for r in totals] == [(2, 200_000, "/b1"), (3, 10_000, "/s1")]
     assert dedup.twin_count(df).first()["twins"] == 1
-    assert dedup.verified(found["full"]).count() == 5
+    assert dedup.verified(found["full"], df).count() == 5
     kept = dedup.keep_rule(found["full"], "shortest").where("not marked").select("path").collect()
     assert sorted(r["path"] for r in kept) == ["/b1", "/s1"]
     assert dedup.keep_rule(found["full"], "folder", "/none").where("marked").isEmpty()
