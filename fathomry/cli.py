@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 import time
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from fathomry import settings as S
 from fathomry.functions import paths as P
 from fathomry.functions.formats import exact_size
-from fathomry.functions.hashing import hash_files
-from fathomry.operators import dedup, buildtrees, export, filters, ops, tree
+from fathomry.operators import buildtrees, dedup, dupfiles, export, filters, ops, tree
+from fathomry.operators.graph import ensure_checkpoints
+from fathomry.schemas import CACHE
 from fathomry.sources import files
 from fathomry.sources.filesystem import scan, volumes
 from fathomry.sources.rules import builtin
@@ -44,9 +46,16 @@ def parser() -> argparse.ArgumentParser:
     u.add_argument("--min-size", type=int, default=None)
     u.add_argument("--include", default="")
     u.add_argument("--exclude", default="")
+    u.add_argument("--cache", default="", help="folder of the hash cache")
+    u.add_argument("--verify", action="store_true", help="compare byte by byte")
+    u.add_argument("--json", action="store_true")
+    u.add_argument("--csv", default="", help="folder to write the groups to")
     x = sub.add_parser("delete")
     x.add_argument("paths", nargs="+")
     x.add_argument("--journal", default="")
+    x.add_argument("--method", choices=["trash", "permanent"], default="trash")
+    x.add_argument("--yes", action="store_true", help="confirm the plan; else it is a dry run")
+    x.add_argument("--json", action="store_true")
     j = sub.add_parser("journal")
     j.add_argument("path")
     j.add_argument("--limit", type=int, default=50)
@@ -55,7 +64,7 @@ def parser() -> argparse.ArgumentParser:
 
 def snapshot(spark: SparkSession, paths: list[str], now: int) -> DataFrame:
     """The paths as staged items: directories with their contents' blocks and their own."""
-    found = scan(spark, paths)
+    found = scan(spark, paths, leaf_roots=True)
     tops = spark.createDataFrame([(os.path.abspath(p), i) for i, p in enumerate(paths)], "path string, seq long")
     rows = found.join(tops, "path").withColumnRenamed("error", "e")
     sums = tree.directory_totals(found, rows.where("kind = 'Dir'"), own=True).select("path", F.col("allocated").alias("a"), F.col("apparent").alias("b"), F.col("entries").alias("n"))
@@ -66,16 +75,11 @@ def snapshot(spark: SparkSession, paths: list[str], now: int) -> DataFrame:
     )
 
 
-def duplicates(spark: SparkSession, paths: list[str], min_size: int, include: str, exclude: str) -> DataFrame:
-    """Identical files under the paths: path, size, mtime, hash."""
+def candidates(spark: SparkSession, paths: list[str], min_size: int, include: str, exclude: str) -> DataFrame:
+    """Files under the paths that a search for duplicates looks at, each path once."""
     cut = lambda text: [g.strip() for g in text.replace(";", ",").split(",") if g.strip()]
     found = filters.split_sizes(scan(spark, paths), min_size, cut(include), cut(exclude)).dropDuplicates(["path"])
-    entries = found.select("path", F.col("apparent").alias("size"), "mtime", "dev", "ino")
-    sized = dedup.size_groups(entries)
-    halves = sized.join(hash_files(sized, 16 * 1024).select("path", F.col("digest").alias("partial")).where("partial is not null"), "path")
-    halves = dedup.crowded(halves, ["size", "partial"])
-    full = halves.join(hash_files(halves, None).select("path", F.col("digest").alias("hash")).where("hash is not null"), "path")
-    return dedup.crowded(full, ["size", "hash"])
+    return found.select("path", F.col("apparent").alias("size"), "mtime", "dev", "ino")
 
 
 def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> int:  # noqa: ANN001
@@ -128,12 +132,26 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         for r in buildtrees.totals(projects).collect():
             say(f"{r['projects']} projects, {exact_size(r['artifact_size'])} in artifacts")
     elif args.command == "dup":
-        groups = duplicates(spark, args.paths, settings.min_duplicate_size if args.min_size is None else args.min_size, args.include, args.exclude).persist()
-        for r in dedup.export_rows(groups).orderBy("group_id", "path").collect():
+        ensure_checkpoints(spark.range(0))
+        seen = candidates(spark, args.paths, settings.min_duplicate_size if args.min_size is None else args.min_size, args.include, args.exclude).checkpoint()
+        known = files.read_cache(spark, args.cache) if args.cache else spark.createDataFrame([], CACHE)
+        found = dupfiles.find(seen, known, args.verify)
+        if args.cache:
+            files.save_cache(dupfiles.renewed(known, found, [os.path.abspath(p) for p in args.paths], seen), args.cache)
+        none = spark.createDataFrame([], "root string, max_distance int, path string, size bigint, mtime bigint, width int, height int")
+        if args.csv:
+            export.write_duplicates_csv(found.groups, none, args.csv)
+        if args.json:
+            for part in export.duplicates_document(found.groups, none, found.errors, found.stats):
+                out.write(part)
+            say()
+            return 0
+        for r in dedup.export_rows(found.groups).orderBy("group_id", "path").toLocalIterator():
             say(f"{r['group_id']:>5} {exact_size(r['size']):>12}  {r['path']}")
-        for r in dedup.total_wasted(groups).collect():
+        for r in dedup.total_wasted(found.groups).collect():
             say(f"{r['groups']} groups, {exact_size(r['total_wasted'])} wasted")
-        groups.unpersist()
+        for r in found.errors.orderBy("path").toLocalIterator():
+            print(f"{r['path']}: {r['error']}", file=sys.stderr)
     elif args.command == "delete":
         now = int(time.time())
         staged = snapshot(spark, args.paths, now)
@@ -143,12 +161,21 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         if any(r["outcome"] == "Protected" for r in rows):
             say("refused: a path is protected")
             return 2
-        for r in rows:
-            say(f"{r['outcome']:<10} {exact_size(r['expected']):>12}  {r['path']}: {r['plan']}")
-        for r in ops.needs_confirmation(staged, settings.confirm_bytes, settings.confirm_count).collect():
-            say(f"{r['items']} items, {exact_size(r['reclaimable'])}" + (", large enough to ask again" if r["confirm"] else ""))
+        asked = ops.needs_confirmation(staged, settings.confirm_bytes, settings.confirm_count).first()
+        if args.yes and args.method == "permanent" and asked["confirm"]:
+            print(f"{asked['items']} items, {exact_size(asked['reclaimable'])}: type DELETE to confirm the plan", file=sys.stderr)
+            if sys.stdin.readline().strip() != "DELETE":
+                say("not confirmed")
+                return 3
+        if args.json:
+            entries = [{"path": r["path"], "outcome": r["outcome"], "expected": r["expected"], "plan": r["plan"]} for r in rows]
+            say(json.dumps({"confirmed": args.yes, "method": args.method, "entries": entries, **ops.report(plan).first().asDict()}, indent=2, ensure_ascii=False))
+        else:
+            for r in rows:
+                say(f"{r['outcome']:<10} {exact_size(r['expected']):>12}  {r['path']}: {r['plan']}")
+            say(f"{asked['items']} items, {exact_size(asked['reclaimable'])}" + (", large enough to ask again" if asked["confirm"] else "") + ("" if args.yes else "; dry run, confirm with --yes"))
         if args.journal:
-            files.append_journal(ops.journal_rows(plan, now, "plan"), args.journal)
+            files.append_journal(ops.journal_rows(plan, now, f"plan-{args.method}" if args.yes else "plan"), args.journal)
     else:
         for r in ops.journal_latest(files.read_journal(spark, args.path), args.limit).collect():
             say(f"{r['timestamp']} {r['operation']:<10} {r['result']:<7} {r['path']}" + (f" -> {r['destination']}" if r["destination"] else ""))

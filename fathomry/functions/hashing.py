@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,5 +87,19 @@ def mean_hash(vector: Column | str, n: int = 64) -> Column:
     return bits(F.transform(v, lambda x: x.cast("double") > mean), n)
 
 
+def cosine_hash(values: Column | str, n: int, side: int = 8) -> Column:
+    """The ``mean_hash`` of the ``side`` by ``side`` lowest frequencies of an ``n`` by ``n`` matrix, given row by row.
+
+    Frequencies are those of the cosine transform, vertical ones outside. Null unless there are n * n values.
+    """
+    basis = F.array(*(F.array(*(F.lit(math.cos(math.pi * (2 * x + 1) * k / (2 * n))) for x in range(n))) for k in range(side)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    lines = lambda v: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.transform(basis, lambda b: dot(F.slice(v, r * n + 1, n), b)))
+    low = lambda half: F.flatten(F.transform(basis, lambda b: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda j: dot(F.transform(half, lambda h: F.get(h, j)), b))))
+    v = as_column(values).cast("array<double>")
+    return F.when(F.size(v) == n * n, once(once(lines(v), low), lambda x: mean_hash(x, side * side)))
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(as_column(a).bitwiseXOR(as_column(b))).cast("int")

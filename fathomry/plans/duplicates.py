@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.functions.hashing import full_key, partial_key
+from fathomry.functions.hashing import cosine_hash, full_key, partial_key
 from fathomry.operators import dedup, similar
 from fathomry.sources import tables as S
 
@@ -101,6 +101,11 @@ def dhash(spark: SparkSession, sf: str) -> DataFrame:
     return S.images(spark, sf).select("path", "dhash", "phash")
 
 
+def cosine_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of 64 components as images of 8 by 8."""
+    return S.table(spark, sf, "embeddings").select("vec_id", cosine_hash("embedding", 8).alias("hash"))
+
+
 def hamming_pairs(spark: SparkSession, sf: str) -> DataFrame:
     images = S.images(spark, sf)
     return similar.close_pairs(images, T, WIDTH).unionByName(similar.copies(images))
@@ -171,6 +176,10 @@ QUERIES = {
     "cache_upsert": (cache_upsert, f"{CACHE} SELECT path, CASE WHEN size % 3 = 0 THEN 'p' ELSE md5(path) END AS partial, CASE WHEN n % 2 = 0 AND NOT (size % 3 = 0 AND n % 5 = 0) THEN md5(content) END AS \"full\" FROM c"),
     "after_execution_regroup": (after_execution_regroup, f"{W}, g AS (SELECT size, hash, count(*) AS files FROM full_ WHERE width <> 300 GROUP BY size, hash HAVING count(*) >= 2) SELECT size, hash, files, (size * (files - 1))::BIGINT AS wasted FROM g"),
     "perceptual_hashes": (dhash, f"WITH {S.IMAGES_SQL} SELECT path, dhash, phash FROM img"),
+    "cosine_hashes": (cosine_hashes, """WITH n AS (SELECT unnest(range(8)) AS k), c AS (SELECT vec_id, i.k * 8 + j.k AS bit, sum(embedding[y.k * 8 + x.k + 1]::DOUBLE * cos(pi() * (2 * y.k + 1) * i.k / 16) * cos(pi() * (2 * x.k + 1) * j.k / 16)) AS v
+        FROM embeddings, n i, n j, n x, n y GROUP BY ALL), m AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) AS mean FROM c),
+        h AS (SELECT vec_id, sum(CASE WHEN v > mean THEN pow(2, bit)::HUGEINT ELSE 0 END)::HUGEINT AS h FROM m GROUP BY vec_id)
+        SELECT vec_id, (CASE WHEN h >= pow(2, 63)::HUGEINT THEN h - pow(2, 64)::HUGEINT ELSE h END)::BIGINT AS hash FROM h"""),
     "hamming_pairs": (hamming_pairs, f"""WITH {S.IMAGES_SQL}, r AS (SELECT path, min(path) OVER (PARTITION BY dhash, phash) AS first FROM img)
         SELECT a, b, distance FROM edges WHERE a IN (SELECT first FROM r) AND (b IN (SELECT first FROM r) OR (distance = 0 AND b IN (SELECT path FROM r WHERE first = edges.a)))"""),
     "similar_groups": (similar_groups, f"{COMPONENTS} SELECT path, root FROM g"),

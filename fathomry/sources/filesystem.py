@@ -40,7 +40,7 @@ class EntryReader(DataSourceReader):
         self.roots = [os.path.abspath(r) for r in json.loads(options["roots"])]
         self.paths = set(json.loads(options.get("exclude_paths", json.dumps(DEFAULT_EXCLUDED))))
         self.globs = [re.compile(r) for r in compiled(json.loads(options.get("exclude_globs", "[]")))[0]]
-        self.follow, self.cross = flag("follow_symlinks"), flag("cross_filesystems")
+        self.follow, self.cross, self.leaves = flag("follow_symlinks"), flag("cross_filesystems"), flag("leaf_roots")
 
     def excluded(self, path: str, name: str) -> bool:
         return path in self.paths or any(g.match(path) or g.match(name) for g in self.globs)
@@ -90,6 +90,9 @@ class EntryReader(DataSourceReader):
             raise ValueError("no roots to scan")
         out: list[Listed] = []
         for root in self.roots:
+            if self.leaves and not stat.S_ISDIR((s := os.lstat(root)).st_mode):
+                out.append(Listed(root, s.st_dev, None, [self.entry(root, s.st_dev, root, os.path.basename(root))[0]]))
+                continue
             dev = os.stat(root).st_dev  # a root that can't be read is an error
             os.listdir(root)
             own, down = self.entry(root, dev, root, os.path.basename(root) or root)
@@ -130,11 +133,12 @@ def reader_columns(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.replace("\n", " ").split(", ")]
 
 
-def scan(spark: SparkSession, roots: list[str], exclude_paths: list[str] | None = None, exclude_globs: list[str] | None = None, follow_symlinks: bool = False, cross_filesystems: bool = False) -> DataFrame:
+def scan(spark: SparkSession, roots: list[str], exclude_paths: list[str] | None = None, exclude_globs: list[str] | None = None, follow_symlinks: bool = False, cross_filesystems: bool = False, leaf_roots: bool = False) -> DataFrame:
     """Entries of the roots. An unreadable directory stays one row, flagged with its error; when links are followed, a
-    directory reached twice counts once, whichever task came first by path."""
+    directory reached twice counts once, whichever task came first by path. A root that is no directory is an error, or with
+    ``leaf_roots`` one row, links not followed."""
     spark.dataSource.register(EntrySource)
-    reader = spark.read.format("fsentries").option("roots", json.dumps(roots)).option("follow_symlinks", str(follow_symlinks)).option("cross_filesystems", str(cross_filesystems))
+    reader = spark.read.format("fsentries").option("roots", json.dumps(roots)).option("follow_symlinks", str(follow_symlinks)).option("cross_filesystems", str(cross_filesystems)).option("leaf_roots", str(leaf_roots))
     reader = reader.option("exclude_paths", json.dumps(DEFAULT_EXCLUDED + (exclude_paths or []))).option("exclude_globs", json.dumps(exclude_globs or []))
     rows = reader.load()
     failed = F.max("error").over(Window.partitionBy("root", "path"))
