@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
+from fathomry.operators.graph import ensure_checkpoints
 from fathomry.operators.ordering import numbered
 
 
@@ -35,10 +36,13 @@ def size_groups(files: DataFrame) -> DataFrame:
 def identical_groups(files: DataFrame, partial: Column, full: Column, content: str = "content") -> dict[str, DataFrame]:
     """The stages: by size, by partial digest, by full digest. Rows carry the digests that they passed, never the content.
 
-    Both digests are computed where the content is read, in one narrow pass, so only digests are shuffled.
+    Both digests are computed where the content is read, in one narrow pass, so only digests are shuffled. Each stage reads
+    its rows several times (counts, then rows): the digests are checkpointed, so that contents are read once, and so are the
+    files of crowded sizes, so that the stages don't multiply.
     """
-    narrow = files.withColumns({"partial": partial, "hash": full}).drop(content)
-    sized = size_groups(narrow)
+    ensure_checkpoints(files)
+    narrow = files.withColumns({"partial": partial, "hash": full}).drop(content).checkpoint()
+    sized = size_groups(narrow).checkpoint()
     halves = crowded(sized, ["size", "partial"])
     return {"size": sized.drop("partial", "hash"), "partial": halves.drop("hash"), "full": crowded(halves, ["size", "hash"])}
 
@@ -61,8 +65,6 @@ def group_totals(groups: DataFrame) -> DataFrame:
     return sums.select("size", "hash", "files", (F.col("size") * (F.col("files") - 1)).alias("wasted"), P.joined(F.col("first")).alias("first_path"))
 
 
-
-
 def in_order(totals: DataFrame) -> DataFrame:
     """``group_id`` from 1: by wasted and size descending, then by the first path."""
     return numbered(totals, [F.desc("wasted"), F.desc("size"), P.parts("first_path")], "group_id")
