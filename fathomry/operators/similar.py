@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.functions.hashing import hamming
-from fathomry.operators.graph import connected
+from fathomry.operators.graph import connected, ensure_checkpoints
 
 
 def bands(width: int, t: int) -> list[tuple[int, int]]:
@@ -42,10 +42,11 @@ def copies(images: DataFrame, key: str = "path") -> DataFrame:
 
 def similar_groups(images: DataFrame, t: int, width: int = 64, key: str = "path") -> DataFrame:
     """key, root, max_distance (the largest edge of the group) of every image that has a similar one."""
-    edges = close_pairs(images, t, width, key).unionByName(copies(images, key))
+    ensure_checkpoints(images)
+    edges = close_pairs(images, t, width, key).unionByName(copies(images, key)).checkpoint()  # read by the components and again for distances
     found = connected(edges)
     far = edges.join(found.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.max("distance").alias("max_distance"))
-    return found.join(far, "root").select(F.col("node").alias(key), "root", "max_distance")
+    return found.join(far, "root").select(F.col("node").alias(key), "root", "max_distance").checkpoint()
 
 
 def similar_totals(images: DataFrame, groups: DataFrame, key: str = "path") -> DataFrame:
