@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomry.llm import decontaminate, jaccard_join, language_id, mix_sources, nearest, packing, passage_quality, pii, secret_scan, toxic_spans, url_filter, whitening
+from fathomry.llm import cross_tokenizers, decontaminate, jaccard_join, language_id, mix_sources, nearest, packing, passage_quality, pii, secret_scan, toxic_spans, url_filter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_mix": mix_sources.op9_mix,
         "op10_nearest": nearest.op10_nearest,
+        "op11_align": cross_tokenizers.op11_align,
         "op12_pack": packing.op12_pack,
         "op13_whitening": whitening.op13_whitening,
     }
