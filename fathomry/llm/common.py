@@ -154,18 +154,17 @@ def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 FIT_BYTES, FIT_TEXT = 64_000_000, 4_000_000
 
 
-def labelled_sample(labels: DataFrame, label: str, rows: int, modulus: int = 5) -> DataFrame:
-    """At most ``rows`` training labels (doc_id, y): those not held out, the smallest by hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int = 5) -> DataFrame:
+    """At most ``rows`` training labels (doc_id, y): those not held out whose document is in ``docs``, the smallest by hash of
+    the id.
 
-    ``rows`` is the documented bound of what a classifier is fitted on. A document with contrary labels counts as 1.
+    ``rows`` is the documented bound of what a classifier is fitted on. Labels of absent documents take no place in it. A
+    document with contrary labels counts as 1. Only ids are shuffled to tell which documents there are.
     """
     usable = labels.where(F.col(label).isNotNull() & (crc_mod(F.col("doc_id"), modulus) != 0))
-    return (
-        usable.groupBy("doc_id")
-        .agg(F.max(F.col(label).cast("int")).alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
+    known = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()  # so that a repeated id is one row
+    return known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int = FIT_BYTES, most_text: int = FIT_TEXT) -> DataFrame:
@@ -176,7 +175,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, mo
     id that repeats without end nor a huge text reaches the driver.
     """
     spark = docs.sparkSession
-    chosen = labelled_sample(labels, label, rows)
+    chosen = labelled_sample(docs, labels, label, rows)
     all_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     all_ = all_.withColumn("h", F.xxhash64("doc_id", "text"))
     sizes = all_.groupBy("h", "doc_id", "y").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).where(F.col("n") <= most_text)

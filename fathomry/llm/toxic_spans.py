@@ -278,7 +278,12 @@ def stretches(text: bytes, odds: np.ndarray) -> list[dict[str, float]]:
                 out[-1] |= {"word": i, "to": m.end(), "marginal": max(out[-1]["marginal"], p)}
             else:
                 out.append({"word": i, "from": m.start(), "to": m.end(), "marginal": p})
-    return [{"start": len(text[: s["from"]].decode()), "end": len(text[: s["to"]].decode()), "marginal": s["marginal"]} for s in out]
+    at = points = 0
+    for s in out:  # each byte is decoded once, whatever the number of runs
+        for edge in ("from", "to"):
+            points, at = points + len(text[at : s[edge]].decode("utf-8", "replace")), s[edge]
+            s[edge] = points
+    return [{"start": s["from"], "end": s["to"], "marginal": s["marginal"]} for s in out]
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
