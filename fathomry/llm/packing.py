@@ -6,8 +6,9 @@ with the head of the piece and emitted, so that it needs no padding, and the res
 open at a partition's end are merged, ``FAN`` partitions a task and round after round, by the same rule; those of the last
 round are run together and their remainder is cut into lengths that are powers of two, which aren't padded.
 
-Ids by cached words: this tokenizer drops white space and never joins across it, so a text is the sequence of its parts
-between spaces, each looked up or encoded once.
+Ids through a memory: this tokenizer drops white space and encodes each run of letters, digits or marks by itself, so a text is
+the sequence of its runs, each looked up or encoded once. Whatever isn't plainly cut (other scripts, special tokens) it
+encodes itself, word by word.
 
 Cases: a null or empty text is its end id alone; every row is packed, repeated rows each; a null id is an id like any other;
 a text of any length is encoded in parts. An empty table has no pieces. Nothing is drawn or hashed: with the same
@@ -33,63 +34,81 @@ from fathomry.llm.common import binary_values, read, row_slices, staged, tidy
 TOKENIZER, END, LENGTH = "word_bpe_49k.json", 1, 2048
 #: Open windows of a partition, and partitions whose windows one task merges.
 WINDOWS, FAN = 8, 8
-#: Characters of a text that are cut into words at once, and words remembered by a task.
-PART, REMEMBERED = 1_000_000, 200_000
+#: Characters of a text that are cut at once, bytes of texts encoded together, runs and odd words remembered by a task.
+PART, TOGETHER, REMEMBERED = 1_000_000, 4_000_000, 400_000
 
 PIECE = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()),
 ])
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, ids binary"
-PLAIN = re.compile(r"[A-Za-z]+[.,;:!?]?")
+# Texts of plain letters, digits and marks are cut into runs here, as the tokenizer cuts them; odd words it gets whole.
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class Words:
-    """Token ids of texts through a memory of their words."""
+    """Token ids of texts through a memory of their runs of letters, digits and marks, and of odd words."""
 
     def __init__(self, path: str):
         self.coder = Tokenizer.from_file(path)
         vocabulary = self.coder.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.coder.get_vocab().values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        """Runs of letters, with one mark after them at most, are encoded together and told apart by their word ends."""
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
+        self.known: dict[str, bytes] = {}
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Keys of the memory, in order: runs in lower case, and words that hold anything odd as they are."""
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return RUN.findall(text.lower())
+        out = []
+        for word in text.split(" "):
+            if "<|" not in word and PLAIN.fullmatch(word):
+                out += RUN.findall(word.lower())
+            else:
+                out.append(word)
+        return out
+
+    def learn(self, keys: set[str]) -> None:
+        """Runs are encoded together and told apart by their word ends; odd words each by itself."""
+        runs = sorted(k for k in keys if "<|" not in k and PLAIN.fullmatch(k))
+        for at in range(0, len(runs), 20_000):
+            some = runs[at : at + 20_000]
             ids = np.array(self.coder.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([2 if w[-1] in ".,;:!?" else 1 for w in some])
-            if len(stops) != last[-1]:
-                raise ValueError("this tokenizer doesn't end each run of letters by itself")
-            upto = (stops[last - 1] * 4).tolist()
+            upto = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(upto) != len(some):
+                raise ValueError("this tokenizer doesn't end each run by itself")
             raw = ids.tobytes()
-            self.known |= {w: raw[a:b] for w, a, b in zip(some, [0, *upto], upto, strict=False)}
-        rest = [w for w in words if w not in self.known]
-        for at in range(0, len(rest), 1000):
-            some = rest[at : at + 1000]
-            for w, e in zip(some, self.coder.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        out, at = [], 0
+            self.known.update((r, raw[a:b]) for r, a, b in zip(some, [0, *upto], upto, strict=False))
+        odd = sorted(keys.difference(runs))
+        for at in range(0, len(odd), 1000):
+            some = odd[at : at + 1000]
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.coder.encode_batch(some, add_special_tokens=False), strict=True))
+
+    def joined(self, cut: list[list[str]]) -> list[bytes]:
+        known = self.known
+        fresh = {k for keys in cut for k in keys if k not in known}
+        if len(known) + len(fresh) > REMEMBERED:
+            self.known, fresh = {}, {k for keys in cut for k in keys}
+        if fresh:
+            self.learn(fresh)
+        return [b"".join(map(self.known.__getitem__, keys)) for keys in cut]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. One of more than ``PART`` characters goes in parts."""
+        if all(len(t) <= PART for t in texts):
+            return self.joined([self.cut(t) for t in texts])
+        return [b"".join(self.joined([self.cut(p)])[0] for p in self.parts(t)) for t in texts]
+
+    @staticmethod
+    def parts(text: str) -> Iterator[str]:
+        at = 0
         while at < len(text):
             stop = text.find(" ", at + PART)
             stop = len(text) if stop < 0 else stop
-            words = text[at:stop].split(" ")
-            known = self.known
-            fresh = {w for w in words if w not in known}
-            if fresh:
-                if len(known) + len(fresh) > REMEMBERED:
-                    self.known = {"": b""}
-                    fresh = set(words)
-                self.learn(sorted(fresh))
-            out.append(b"".join(map(self.known.__getitem__, words)))
+            yield text[at:stop]
             at = stop + 1
-        return b"".join(out)
 
 
 class Packer:
@@ -169,9 +188,10 @@ def packed(docs: DataFrame, tokenizer: str | None = None, windows: int = WINDOWS
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         words, packer = Words(path), Packer(part << 32, windows)
-        for batch in row_slices(batches, 1):
-            for doc, text in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)), strict=True):
-                ids = words.ids((text or b"").decode("utf-8", "replace")) + END.to_bytes(4, "little")
+        for batch in row_slices(batches, 1, TOGETHER):
+            texts = [(t or b"").decode("utf-8", "replace") for t in binary_values(batch.column(1))]
+            for doc, ids in zip(batch.column(0).to_pylist(), words.ids(texts), strict=True):
+                ids += END.to_bytes(4, "little")
                 packer.add(doc, 0, ids, len(ids) // 4)
             yield packer.rows()
         yield packer.rows(part)

@@ -49,11 +49,15 @@ def check(found, rows):
 def test_words_equal_plain_encoding(monkeypatch):
     words = packing.Words(public_tokenizers.path(packing.TOKENIZER))
     rng = random.Random(5)
-    parts = ["a", "B", " ", "  ", "\n", "'", "s", "1", "2", ".", "!?", "é", "é", "́", "İ", " ", "<|endoftext|>", "日本", "‍", "word", "Longer", "\t", "\x1d"]
-    monkeypatch.setattr(packing, "PART", 9)
+    parts = ["a", "B", " ", "  ", "\n", "'", "s", "1", "2", ".", "!?", "é", "é", "́", "İ", " ", "<|endoftext|>", "日本", "‍", "word", "Longer", "\t", "\x1d", "Ä", "ß", "ÿ", "µ", "ª", "×", "'LL", "''", "<|"]
     monkeypatch.setattr(packing, "REMEMBERED", 50)
-    for text in [*ODD[1:], *("".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(2000))]:
-        assert np.frombuffer(words.ids(text), "<u4").tolist() == plain(text)[:-1], repr(text)
+    texts = [*ODD[1:], *("".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000))]
+    for part in (9, 1 << 30):
+        monkeypatch.setattr(packing, "PART", part)
+        for at in range(0, len(texts), 50):
+            some = texts[at : at + 50]
+            for text, ids in zip(some, words.ids(some), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == plain(text)[:-1], repr(text)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
