@@ -8,8 +8,8 @@ vocabularies, not by the corpus: of two tokens that end together one is a suffix
 such pairs (under a million for the files used here).
 
 Texts are cut before each single space between words. No token of either tokenizer lies across such a place (A opens a word
-there, and no piece of B holds a space after another character), so a chunk is aligned once for all its occurrences in a
-segment of ``SEGMENT`` bytes, and a document is the sequence of its chunks. This is checked on what comes out: a chunk
+there, and no piece of B holds a space after another character), so a chunk is aligned once for all its occurrences that a
+task remembers, and a document is the sequence of its chunks. This is checked on what comes out: a chunk
 whose end is no cut is an error, not a wrong result.
 
 Cases: null and empty texts, and texts that don't come back from their tokens (U+2581, bytes that are no UTF-8), have
@@ -23,12 +23,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ SPACE = "▁"
 BORDER = re.compile(r"(?<=[^ ]) (?=\S)")
 #: Characters of a text that are cut into chunks at once, of chunks that are aligned at once, and of those encoded at once.
 PART, SEGMENT, ENCODED = 1_000_000, 3_000_000, 250_000
+#: Aligned chunks that a task remembers from one segment to the next.
+REMEMBERED = 300_000
 #: A pair of ids is one number: A's id times this, plus B's.
 WIDTH = 1 << 15
 OUT = pa.schema([
@@ -94,36 +97,55 @@ def possible_links(coders: Coders) -> int:
     return total
 
 
-class Aligned:
-    """Chunks of a segment: groups as text, token and link counts, pair codes by chunk (``first`` cuts ``codes``)."""
+class Chunks:
+    """Memory of aligned chunks, by number: groups as text, token and group counts, pair codes (``first`` cuts ``codes``)."""
 
-    def __init__(self, coders: Coders, chunks: list[str]):
-        a, b, stops, self.ok, at = [], [], [], np.ones(len(chunks), bool), 0
-        for some, found in self.encoded(coders, chunks):
+    def __init__(self, coders: Coders):
+        self.coders = coders
+        self.digits = pa.array([str(i) for i in range(max(len(coders.a_bytes), len(coders.b_bytes)))])
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.text: list[bytes] = []
+        self.ok, self.counts = np.zeros(0, bool), np.zeros((0, 3), np.int64)
+        self.codes, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def numbers(self, part: str) -> np.ndarray:
+        """Of the chunks of a part, new ones numbered on. Ask for nothing else of these before ``learn``."""
+        words, put = BORDER.split(part), self.number.setdefault
+        chunks = chain((words[0],), (" " + w for w in words[1:]))
+        return np.array([put(c, len(self.number)) for c in chunks], np.int32)
+
+    def learn(self) -> None:
+        """Align the chunks numbered since the last call."""
+        chunks = list(islice(self.number, len(self.text), None))
+        if not chunks:
+            return
+        a, b, stops, ok, at = [], [], [], np.ones(len(chunks), bool), 0
+        for some, found in self.encoded(chunks):
             if found is None:
-                self.ok[some] = False
+                ok[some] = False
                 stops.append(np.full(len(some), at))
                 continue
-            a.append((at + np.cumsum(coders.a_sizes[found[0]]), found[0]))
-            b.append((at + np.cumsum(coders.b_sizes[found[1]]), found[1]))
+            a.append((at + np.cumsum(self.coders.a_sizes[found[0]]), found[0]))
+            b.append((at + np.cumsum(self.coders.b_sizes[found[1]]), found[1]))
             ends = at + np.cumsum([len(chunks[k].encode()) for k in some])
             stops.append(ends)
             at = int(ends[-1])
-        ends = np.concatenate(stops) if stops else np.zeros(0, np.int64)
-        self.align(*(self.table(t, n) for t, n in ((a, "a"), (b, "b"))), ends)
+        self.align(self.table(a, "a"), self.table(b, "b"), np.concatenate(stops), ok)
 
     @staticmethod
     def table(parts: list, name: str) -> pa.Table:
         ends, ids = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"lo": np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)], "hi": ends, name: ids})
 
-    @staticmethod
-    def encoded(coders: Coders, chunks: list[str]) -> Iterator[tuple[list[int], tuple | None]]:
+    def encoded(self, chunks: list[str]) -> Iterator[tuple[list[int], tuple | None]]:
         """Runs of chunks with their tokens, in order. A run whose bytes don't come back is halved until only bad chunks are
         left; a chunk with blanks at an edge is a run of its own, as it would run into its neighbours."""
 
         def halved(some: list[int]) -> Iterator[tuple[list[int], tuple | None]]:
-            found = coders.encode("".join(chunks[k] for k in some))
+            found = self.coders.encode("".join([chunks[k] for k in some]))
             if found is not None or len(some) == 1:
                 yield some, found
             else:
@@ -133,55 +155,59 @@ class Aligned:
         run: list[int] = []
         size = 0
         for k, c in enumerate(chunks):
-            alone = SPACE in c or c[1:2].isspace() or c[-1].isspace() or len(c) > ENCODED
+            alone = c[1:2].isspace() or c[-1].isspace() or len(c) > ENCODED
             if run and (alone or size + len(c) > ENCODED):
                 yield from halved(run)
                 run, size = [], 0
             if alone:
-                yield [k], None if SPACE in c else coders.encode(c)
+                yield [k], self.coders.encode(c)
             else:
                 run.append(k)
                 size += len(c)
         if run:
             yield from halved(run)
 
-    def align(self, a: pa.Table, b: pa.Table, ends: np.ndarray) -> None:
-        n = len(ends)
-        good = np.flatnonzero(self.ok)
+    def align(self, a: pa.Table, b: pa.Table, ends: np.ndarray, ok: np.ndarray) -> None:
+        n, good = len(ends), np.flatnonzero(ok)
         db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         try:
-            db.register("a_in", a)
-            db.register("b_in", b)
-            db.register("c_in", pa.table({"chunk": good, "hi": ends[good]}))
-            db.execute("CREATE TABLE a AS FROM a_in; CREATE TABLE b AS FROM b_in; CREATE TABLE c AS FROM c_in")
-            # Links: ranges that overlap and end together.
-            db.execute("CREATE TABLE link AS SELECT a.hi, a.a, b.b FROM a JOIN b ON a.hi = b.hi AND a.lo < b.hi AND b.lo < a.hi")
-            # Groups of A by window sums over the cuts, of B by the first cut at or after each end.
-            db.execute("""CREATE TABLE ga AS SELECT g, string_agg(a, ',' ORDER BY hi) AS s, count(*) AS n, max(hi) AS hi
-                FROM (SELECT a.hi, a.a, count(link.hi) OVER (ORDER BY a.hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (link.hi IS NOT NULL)::INT AS g
-                      FROM a LEFT JOIN (SELECT DISTINCT hi FROM link) link USING (hi)) GROUP BY g""")
-            db.execute("""CREATE TABLE gb AS SELECT cut, string_agg(b, ',' ORDER BY hi) AS s, count(*) AS n
-                FROM (SELECT b.hi, b.b, link.hi AS cut FROM b ASOF JOIN (SELECT DISTINCT hi FROM link) link ON b.hi <= link.hi) GROUP BY cut""")
-            groups = db.execute("""SELECT chunk, string_agg(ga.s || '|' || gb.s, ';' ORDER BY hi) AS s, sum(ga.n)::BIGINT AS n_a, sum(gb.n)::BIGINT AS n_b, count(*) AS n, max(hi) AS hi
-                FROM (SELECT hi, chunk FROM (SELECT hi FROM ga) g ASOF JOIN (SELECT chunk, c.hi AS top FROM c) c ON g.hi <= c.top) JOIN ga USING (hi) JOIN gb ON gb.cut = hi GROUP BY chunk ORDER BY chunk""").to_arrow_table()
-            links = db.execute(f"""SELECT chunk, (a * {WIDTH} + b)::INT AS code FROM link ASOF JOIN (SELECT chunk, c.hi AS top FROM c) c ON link.hi <= c.top ORDER BY chunk""").to_arrow_table()
+            for name, table in (("a", a), ("b", b), ("c", pa.table({"chunk": good, "hi": ends[good]}))):
+                db.register(f"{name}_in", table)
+                db.execute(f"CREATE TABLE {name} AS FROM {name}_in")
+            # Links, one at each cut: ranges that overlap and end together.
+            db.execute("CREATE TABLE cut AS SELECT a.hi, a, b, row_number() OVER (ORDER BY a.hi) - 1 AS g FROM a JOIN b ON a.hi = b.hi AND a.lo < b.hi AND b.lo < a.hi")
+            # The group of a token of A by a sum over the cuts before it, of one of B by the first cut at or after its end.
+            group_a = db.execute("SELECT coalesce(sum((cut.hi IS NOT NULL)::INT) OVER (ORDER BY a.hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM a LEFT JOIN cut USING (hi) ORDER BY a.hi").fetchnumpy()["g"]
+            group_b = db.execute("SELECT g FROM b ASOF JOIN cut ON b.hi <= cut.hi ORDER BY b.hi").fetchnumpy()["g"]
+            cuts = db.execute(f"SELECT cut.hi, chunk, (a * {WIDTH} + b)::INT AS code FROM cut ASOF JOIN c ON cut.hi <= c.hi ORDER BY cut.hi").fetchnumpy()
         finally:
             db.close()
-        if groups.column("chunk").to_pylist() != good.tolist() or groups.column("hi").to_pylist() != ends[good].tolist():
+        if not np.isin(ends[good], cuts["hi"]).all():
             raise ValueError("a token lies across the border of two chunks: these tokenizers can't be aligned by chunks")
-        self.text: list[bytes] = [b""] * n
-        for k, s in zip(good.tolist(), groups.column("s").to_pylist(), strict=True):
-            self.text[k] = s.encode()
-        self.counts = np.zeros((n, 3), np.int64)
-        for j, name in enumerate(("n_a", "n_b", "n")):
-            self.counts[good, j] = groups.column(name).to_numpy()
-        self.codes = links.column("code").to_numpy()
-        self.first = np.searchsorted(links.column("chunk").to_numpy(), np.arange(n + 1))
+        groups = len(cuts["hi"])
+        in_a, in_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        # A group's tokens in a row: those of A, then those of B, each followed by what divides it from the next.
+        before_a, before_b = (np.concatenate([[0], np.cumsum(x)]) for x in (in_a, in_b))
+        place_a, place_b = np.arange(len(group_a)) + before_b[group_a], np.arange(len(group_b)) + before_a[group_b + 1]
+        ids, mark = np.zeros(len(place_a) + len(place_b), np.int64), np.zeros(len(place_a) + len(place_b), np.int8)
+        ids[place_a], ids[place_b] = a.column("a").to_numpy(), b.column("b").to_numpy()
+        mark[place_a[before_a[1:] - 1]] = 1
+        mark[place_b[before_b[1:] - 1]] = 2
+        last = np.flatnonzero(np.append(cuts["chunk"][1:] != cuts["chunk"][:-1], True)) if groups else np.zeros(0, np.int64)
+        mark[place_b[before_b[last + 1] - 1]] = 3
+        texts = pc.binary_join_element_wise(self.digits.take(ids), pa.array([",", "|", ";", ""]).take(mark), "")
+        counts = np.stack([np.bincount(cuts["chunk"], x, n) for x in (in_a, in_b, np.ones(groups))], axis=1).astype(np.int64)
+        edges = np.concatenate([[0], np.cumsum(counts[:, 0] + counts[:, 1])]).astype(np.int32)
+        self.text += pc.binary_join(pa.ListArray.from_arrays(edges, texts), "").cast(pa.binary()).to_pylist()
+        self.ok, self.counts = np.concatenate([self.ok, ok]), np.concatenate([self.counts, counts])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts[:, 2])])
+        self.codes = np.concatenate([self.codes, cuts["code"].astype(np.int32)])
 
     def codes_of(self, chunks: np.ndarray) -> np.ndarray:
         """Pair codes of all these occurrences, in a row."""
-        sizes = np.diff(self.first)[chunks]
-        start = np.repeat(self.first[:-1][chunks] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        first, stop = self.first[chunks], self.first[chunks + 1]
+        sizes = stop - first
+        start = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
         return self.codes[start + np.arange(len(start))]
 
 
@@ -192,7 +218,7 @@ class Document:
         self.doc_id, self.counts, self.hash, self.ok, self.begun = doc_id, np.zeros(3, np.int64), hashlib.sha256(), True, False
         self.codes: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, found: Aligned, chunks: np.ndarray) -> None:
+    def add(self, found: Chunks, chunks: np.ndarray) -> None:
         self.ok = self.ok and bool(found.ok[chunks].all())
         if not self.ok:
             return
@@ -245,34 +271,32 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     a_file, b_file = a_path or public_tokenizers.path(A_FILE), b_path or public_tokenizers.path(B_FILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = Coders(a_file, b_file)
+        chunks = Chunks(Coders(a_file, b_file))
         for batch in row_slices(batches, 1):
             rows = []
             segment: list[tuple[Document, np.ndarray]] = []
-            index: dict[str, int] = {}
             size = 0
             for doc_id, raw in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)), strict=True):
                 rows.append(doc := Document(doc_id))
                 text = (raw or b"").decode("utf-8", "replace")
-                if not raw or SPACE in text or ("�" in text and text.encode() != raw):
+                if not raw or SPACE in text or ("\ufffd" in text and text.encode() != raw):
                     doc.ok = False
                     continue
                 for part in parts(text):
-                    words = BORDER.split(part)
-                    chunks = chain((words[0],), (" " + w for w in words[1:]))
-                    segment.append((doc, np.array([index.setdefault(c, len(index)) for c in chunks], np.int32)))
+                    segment.append((doc, chunks.numbers(part)))
                     size += len(part)
                     if size >= SEGMENT:
-                        self_contained(coders, segment, index)
-                        segment, index, size = [], {}, 0
-            self_contained(coders, segment, index)
+                        finish(chunks, segment)
+                        segment, size = [], 0
+            finish(chunks, segment)
             yield from batch_of(rows)
 
-    def self_contained(coders: Coders, segment: list[tuple[Document, np.ndarray]], index: dict[str, int]) -> None:
-        if segment:
-            found = Aligned(coders, list(index))
-            for doc, chunks in segment:
-                doc.add(found, chunks)
+    def finish(chunks: Chunks, segment: list[tuple[Document, np.ndarray]]) -> None:
+        chunks.learn()
+        for doc, some in segment:
+            doc.add(chunks, some)
+        if len(chunks.number) > REMEMBERED:
+            chunks.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)
 
