@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from fathomry import settings as S
 from fathomry.functions import paths as P
 from fathomry.functions.formats import exact_size
-from fathomry.operators import buildtrees, dedup, dupfiles, export, filters, ops, tree
-from fathomry.operators.graph import ensure_checkpoints
+from fathomry.operators import buildtrees, dedup, dupfiles, export, filters, graph, ops, tree
 from fathomry.schemas import CACHE
 from fathomry.sources import files
 from fathomry.sources.filesystem import scan, volumes
@@ -132,8 +131,7 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         for r in buildtrees.totals(projects).collect():
             say(f"{r['projects']} projects, {exact_size(r['artifact_size'])} in artifacts")
     elif args.command == "dup":
-        ensure_checkpoints(spark.range(0))
-        seen = candidates(spark, args.paths, settings.min_duplicate_size if args.min_size is None else args.min_size, args.include, args.exclude).checkpoint()
+        seen = graph.staged(candidates(spark, args.paths, settings.min_duplicate_size if args.min_size is None else args.min_size, args.include, args.exclude))
         known = files.read_cache(spark, args.cache) if args.cache else spark.createDataFrame([], CACHE)
         found = dupfiles.find(seen, known, args.verify)
         if args.cache:

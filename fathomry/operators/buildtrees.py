@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
 from fathomry.functions.globs import to_regex
-from fathomry.operators.graph import ensure_checkpoints
+from fathomry.operators.graph import staged
 from fathomry.operators.tree import directory_totals
 from fathomry.sources.rules import EXPLAINED, NO_LOCKFILE, RISKS, TRACKED, VCS
 
@@ -126,12 +126,11 @@ def analyze(entries: DataFrame, rules: list[tuple], exclude: list[str] | None =
     though an artifact found at that depth is reported whole.
     """
     # Each table below feeds several others: checkpoints keep plans small and cost a write of what is left, not of the scan.
-    ensure_checkpoints(entries)
     rows = entries.where(~P.under_any("path", exclude)) if exclude else entries
-    rows = rows.checkpoint()
+    rows = staged(rows)
     live = rows if max_depth is None else rows.where(P.depth("path") <= max_depth + 1)
-    matched = rule_match(live, rules).checkpoint()
-    resolved = resolve(risk_assess(claims(live, rules, matched), live, rules)).checkpoint()
+    matched = staged(rule_match(live, rules))
+    resolved = staged(resolve(risk_assess(claims(live, rules, matched), live, rules)))
     kept = kept_artifacts(resolved, rows)
     if tracked is not None:
         kept = kept.join(tracked.select("path").distinct().withColumn("tracked_by_git", F.lit(True)), "path", "left").withColumn("tracked_by_git", F.coalesce("tracked_by_git", F.lit(False)))
@@ -139,15 +138,15 @@ def analyze(entries: DataFrame, rules: list[tuple], exclude: list[str] | None =
     else:
         kept = kept.withColumn("tracked_by_git", F.lit(False))
     kept = kept.withColumn("risk", F.element_at(F.array(*map(F.lit, RISKS)), F.col("risk_rank") + 1))
-    kept = kept.checkpoint()
+    kept = staged(kept)
     tops = kept.select(F.col("path").alias("top"))
     inside = lambda df, column: df.select(F.col(column).alias("x"), F.explode(P.prefixes(column, 1)).alias("top")).join(tops, "top", "left_semi").select(F.col("x").alias(column)).distinct()
     defining = [r[ID] for r in rules if r[DEFINES]]
     projects = matched.where(F.col("rule_id").isin(defining) & ~below_vcs("dir"))
-    projects = projects.join(inside(projects, "dir"), "dir", "left_anti").checkpoint()
+    projects = staged(projects.join(inside(projects, "dir"), "dir", "left_anti"))
     dirs = projects.select("dir").distinct()
     loose = kept.select("dir").distinct().join(dirs, "dir", "left_anti")
-    artifacts = nearest(kept, "dir", dirs, loose).checkpoint()
+    artifacts = staged(nearest(kept, "dir", dirs, loose))
     sources = live.where((F.col("kind") != "Dir") & ~below_vcs("path")).groupBy(P.parent("path").alias("dir")).agg(F.sum("allocated").alias("size"), F.max("mtime").alias("mtime"))
     sources = sources.join(inside(sources, "dir"), "dir", "left_anti")
     sums = nearest(sources, "dir", dirs, loose).groupBy("project_path").agg(F.sum("size").alias("source_size"), F.max("mtime").alias("last_source_mtime"))

@@ -6,12 +6,13 @@ dev, ino, with the columns a digest needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
-from fathomry.operators.graph import ensure_checkpoints
+from fathomry.operators.graph import staged
 from fathomry.operators.ordering import numbered
+from fathomry.operators.screen import among
 
 
 def crowded(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
@@ -33,30 +34,61 @@ def size_groups(files: DataFrame) -> DataFrame:
     return crowded(without_twins(crowded(files, ["size"])), ["size"])
 
 
-def identical_groups(files: DataFrame, partial: Column, full: Column, content: str = "content") -> dict[str, DataFrame]:
-    """The stages: by size, by partial digest, by full digest. Rows carry the digests that they passed, never the content.
+def digested(files: DataFrame, wanted: DataFrame, name: str, digest: Column, reads: Column) -> tuple[DataFrame, Observation]:
+    """``wanted`` rows with ``name``, the digest of their files, and what was read for it (files, bytes by ``reads``).
 
-    Both digests are computed where the content is read, in one narrow pass, so only digests are shuffled. Each stage reads
-    its rows several times (counts, then rows): the digests are checkpointed, so that contents are read once, and so are the
-    files of crowded sizes, so that the stages don't multiply.
+    Contents are read where they lie, for the wanted files alone; only digests are shuffled.
     """
-    ensure_checkpoints(files)
-    narrow = files.withColumns({"partial": partial, "hash": full}).drop(content).checkpoint()
-    sized = size_groups(narrow).checkpoint()
-    halves = crowded(sized, ["size", "partial"])
-    return {"size": sized.drop("partial", "hash"), "partial": halves.drop("hash"), "full": crowded(halves, ["size", "hash"])}
+    work = Observation()
+    seen = among(files, wanted, "path").observe(work, F.count("*").alias("files"), F.coalesce(F.sum(reads), F.lit(0)).alias("bytes"))
+    return staged(wanted.join(seen.select("path", digest.alias(name)), "path")), work
 
 
-def verified(groups: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
+def identical_groups(files: DataFrame, partial: Column, full: Column, content: str = "content", window: int = 16) -> dict[str, DataFrame]:
+    """The stages: by size, by partial digest, by full digest; and ``digested``, what the digests have read.
+
+    ``path`` is the key of a file. Sizes and identities come first, without the content; both ends of files of crowded sizes
+    next, and whole contents only of files whose size and ends another file shares. Each stage is written once, as it is read
+    for counts and again for rows.
+    """
+    sized = staged(size_groups(files.drop(content)))
+    ends, read_ends = digested(files, sized, "partial", partial, F.least("size", F.lit(2 * window)).cast("long"))
+    halves = staged(crowded(ends, ["size", "partial"]))
+    whole, read_whole = digested(files, halves, "hash", full, F.col("size").cast("long"))
+    spark = files.sparkSession
+    # What is read of unique sizes is counted apart; it should be nothing.
+    rows = [(i, stage, int(w.get["files"]), int(w.get["bytes"])) for i, (stage, w) in enumerate((("partial", read_ends), ("full", read_whole)))]
+    work = spark.createDataFrame(rows, "step int, stage string, files long, bytes long")
+    return {"size": sized, "partial": halves, "full": crowded(whole, ["size", "hash"]), "digested": work}
+
+
+#: Bytes of each file that are compared in a round.
+CHUNK = 1 << 20
+
+
+def verified(groups: DataFrame, files: DataFrame, content: str = "content", chunk: int | None = None) -> DataFrame:
     """Files of hash groups that are equal byte by byte to another of their group, with ``first``, the first of their class.
 
-    Contents are read again, for members of groups alone. Grouping by the content itself never gathers a group in one place;
-    a null content (unreadable) drops its file.
+    A group is one class at first; each round compares one chunk of the files that still are together, splits classes by it
+    and drops files that are left alone. So no shuffle holds more than a chunk of a file, and a file is read on only while it
+    has company. A null content (unreadable) drops its file.
     """
-    known = files.select("path", content).join(groups, "path").where(F.col(content).isNotNull())
-    keys = ["size", "hash", content]
-    first = known.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("path").alias("first")).where(F.col("__n") > 1).drop("__n")
-    return known.join(first, keys)
+    chunk, raw = chunk or CHUNK, F.col(content).cast("binary")
+    heads = groups.groupBy("size", "hash").agg(F.min("path").alias("class"))
+    live = staged(groups.select("path", "size", "hash").join(heads, ["size", "hash"]).select("path", "size", "class"))
+    done, at = None, 0
+    while True:
+        piece = among(files.where(F.col(content).isNotNull()), live, "path").select("path", F.substring(raw, at + 1, chunk).alias("piece"))
+        now = staged(live.join(piece, "path"))
+        keys = ["class", "piece"]
+        split = now.groupBy(*keys).agg(F.count("*").alias("n"), F.min("path").alias("first")).where("n > 1").drop("n")
+        left = staged(now.join(split, keys).select("path", "size", F.col("first").alias("class")))
+        at += chunk
+        ended = left.where(F.col("size") <= at)
+        done = ended if done is None else done.unionByName(ended)
+        live = left.where(F.col("size") > at)
+        if live.isEmpty():
+            return groups.join(done.select("path", F.col("class").alias("first")), "path")
 
 
 def group_totals(groups: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fathomry.functions.hashing import WINDOW, hash_files
 from fathomry.operators import dedup
-from fathomry.operators.graph import ensure_checkpoints
+from fathomry.operators.graph import staged
 
 CHUNK = 256 * 1024
 
@@ -31,7 +31,7 @@ def digested(files: DataFrame, column: str, window: int | None) -> DataFrame:
     """``files`` with ``column`` filled by reading those where it is null, ``read`` for these, and ``error``."""
     new = hash_files(files.where(F.col(column).isNull()), window).select("path", "digest", "error", F.lit(True).alias("read"))
     out = files.join(new, "path", "left").withColumn(column, F.coalesce(column, "digest")).withColumn("read", F.coalesce("read", F.lit(False)))
-    return out.drop("digest").checkpoint()
+    return staged(out.drop("digest"))
 
 
 def find(files: DataFrame, cache: DataFrame, verify: bool = False, window: int = WINDOW, cancelled: Callable[[], bool] = lambda: False) -> Found:
@@ -40,13 +40,12 @@ def find(files: DataFrame, cache: DataFrame, verify: bool = False, window: int =
     ``cancelled`` is asked between the stages. A cancelled search has no groups and is not complete; what it has read is in
     ``fresh`` all the same.
     """
-    ensure_checkpoints(files)
     spark = files.sparkSession
     stats: dict[str, int] = {"files_scanned": files.count()}
     errors = spark.createDataFrame([], "path string, error string")
     nothing = spark.createDataFrame([], "path string, size bigint, mtime bigint, hash string")
 
-    sized = dedup.cached(dedup.size_groups(files), cache, window).checkpoint()
+    sized = staged(dedup.cached(dedup.size_groups(files), cache, window))
     stats["candidates_after_size"] = sized.count()
     if cancelled():
         return Found(nothing, errors, spark.createDataFrame([], cache.schema), stats, False)
@@ -112,7 +111,7 @@ def verified(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest, done, failed = groups, None, None
     while True:
         firsts = rest.groupBy("size", "hash").agg(F.min("path").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        compared = same_bytes(rest.join(firsts, ["size", "hash"])).checkpoint()
+        compared = staged(same_bytes(rest.join(firsts, ["size", "hash"])))
         equal, bad = compared.where("same").select(*groups.columns, "first"), compared.where("error is not null").select("path", "error")
         done = equal if done is None else done.unionByName(equal)
         failed = bad if failed is None else failed.unionByName(bad)

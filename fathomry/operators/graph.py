@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="fathomry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder, but only if this machine runs all tasks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,26 +27,64 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-    return tempfile.mkdtemp(prefix="fathomry-")
+    return own_folder()
+
+
+#: Folders to remove when the driver ends, with the session that wrote them.
+_left: dict[str, SparkSession] = {}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder of the store that Spark writes to; one that is not there is no error."""
+    _left.pop(path, None)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def ensure_checkpoints(df: DataFrame) -> None:
+def _remove_all() -> None:
+    for path, spark in reversed(list(_left.items())):
+        try:
+            remove(spark, path)
+        except Exception:  # the session has ended; its store can't be reached any more
+            pass
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove the folder when the driver ends."""
+    if not _left:
+        atexit.register(_remove_all)
+    _left.setdefault(path, spark)
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: lineage ends there, and what several readers need is
+    computed once. The files go when the driver ends, or by ``dropped``."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    removed(spark, path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fathomry_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    remove(df.sparkSession, df._fathomry_path)
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, root (its component's smallest node) for every node of the edges (a, b)."""
-    ensure_checkpoints(edges)
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    now = staged(now, "edges")
     while True:
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        new = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        new = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(now)
         many = new.groupBy("u").count().where("count > 1")
         if many.isEmpty() and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             roots = new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

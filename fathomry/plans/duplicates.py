@@ -37,7 +37,7 @@ def verified_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dup_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.in_order(dedup.group_totals(groups(spark, sf))).select("group_id", "size", "hash", "files", "wasted", "first_path")
+    return dedup.in_order(dedup.group_totals(groups(spark, sf))).select(F.col("group_id").cast("int").alias("group_id"), "size", "hash", "files", "wasted", "first_path")
 
 
 def dup_total_wasted(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,11 +65,17 @@ def marked_bytes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dup_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.stage_counts(S.doc_files(spark, sf), stages(spark, sf))
+    found = stages(spark, sf)
+    return dedup.stage_counts(S.doc_files(spark, sf), {s: found[s] for s in ("size", "partial", "full")})
+
+
+def dup_digested(spark: SparkSession, sf: str) -> DataFrame:
+    """What the digests of each stage have read, as Spark observed it."""
+    return stages(spark, sf)["digested"].select("stage", "files", "bytes")
 
 
 def dup_export_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.export_rows(groups(spark, sf))
+    return dedup.export_rows(groups(spark, sf)).withColumn("group_id", F.col("group_id").cast("int"))
 
 
 def cache(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,11 +141,11 @@ def dup_export_all(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("path")
     like = members.join(images.select("path", "size"), "path")
     like = like.select("root", "max_distance", F.concat(F.lit("/images/"), n, F.lit(".png")).alias("path"), "size", (1_700_000_000 + n).alias("mtime"), (n % 5 * 100 + 100).alias("width"), F.lit(100).alias("height"))
-    return dedup.export_all(groups(spark, sf), like).drop("group_size")
+    return dedup.export_all(groups(spark, sf), like).drop("group_size").withColumn("group_id", F.col("group_id").cast("int"))
 
 
 def hash_pass(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.hash_pass_order(groups(spark, sf))
+    return dedup.hash_pass_order(groups(spark, sf)).withColumn("place", F.col("place").cast("int"))
 
 
 W = f"WITH {S.DOCS_SQL} "
@@ -164,6 +170,7 @@ QUERIES = {
     "selection_validity": (selection_validity, f"{W} SELECT size, hash, bool_or(width <= 100) AS valid FROM full_ GROUP BY size, hash"),
     "marked_bytes": (marked_bytes, f"{W} SELECT (sum(files) - count(*))::BIGINT AS files, sum(wasted)::BIGINT AS bytes FROM totals"),
     "dup_stats": (dup_stats, f"{W} SELECT 0 AS step, 'scanned' AS stage, count(*) AS files, sum(size)::BIGINT AS bytes FROM f UNION ALL SELECT 1, 'size', count(*), sum(size)::BIGINT FROM sized UNION ALL SELECT 2, 'partial', count(*), sum(size)::BIGINT FROM halves UNION ALL SELECT 3, 'full', count(*), sum(size)::BIGINT FROM full_"),
+    "dup_digested": (dup_digested, f"{W} SELECT 'partial' AS stage, count(*) AS files, sum(least(size, 32))::BIGINT AS bytes FROM sized UNION ALL SELECT 'full', count(*), coalesce(sum(size), 0)::BIGINT FROM halves"),
     "hash_pass": (hash_pass, f"{W} SELECT size, hash, files, (row_number() OVER (ORDER BY size DESC, hash))::INT AS place FROM totals"),
     "dup_export_rows": (dup_export_rows, f"{W} SELECT group_id::INT AS group_id, 'identical' AS kind, hash, wasted AS group_wasted, path, size, mtime FROM full_ JOIN ordered USING (size, hash)"),
     "dup_export_all": (dup_export_all, f"""WITH RECURSIVE {S.DOCS_SQL}, {COMPONENTS.removeprefix("WITH RECURSIVE ")}, far AS (SELECT root, max(distance) AS distance FROM edges JOIN g ON g.path = edges.a GROUP BY root),

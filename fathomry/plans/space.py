@@ -53,7 +53,7 @@ def summarize_top_n(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.preorder(rolled(spark, sf), "/r", 3).select("position", "path", "kind", "agg_allocated", "items", "level")
+    return tree.preorder(rolled(spark, sf), "/r", 3).select(F.col("position").cast("int").alias("position"), "path", "kind", "agg_allocated", "items", "level")
 
 
 def children_pct(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +193,7 @@ def polar_points(spark: SparkSession, sf: str) -> DataFrame:
 
 def list_panel(spark: SparkSession, sf: str) -> DataFrame:
     rows = filters.list_panel(rolled(spark, sf), "/r/ASIA").unionByName(filters.list_panel(rolled(spark, sf), "/r/ASIA", "o*7"))
-    return numbered(rows.select("path", "agg_allocated"), [F.desc("agg_allocated"), P.parts("path")], "place")
+    return numbered(rows.select("path", "agg_allocated"), [F.desc("agg_allocated"), P.parts("path")], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def copy_on_write(spark: SparkSession, sf: str) -> DataFrame:
