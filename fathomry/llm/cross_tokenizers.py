@@ -80,7 +80,7 @@ class Coders:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A and of B, for a text that begins with a space; None if either's bytes differ from the text's."""
         raw = text.encode("utf-8", "surrogatepass")
-        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:], num_threads=1)
         if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
         return np.array(a, np.int64), np.array(b, np.int64)

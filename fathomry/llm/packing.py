@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -55,7 +56,11 @@ class Words:
         vocabulary = self.coder.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.coder.get_vocab().values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -70,30 +75,43 @@ class Words:
                 out.append(word)
         return out
 
-    def learn(self, keys: set[str]) -> None:
-        """Runs are encoded together and told apart by their word ends; odd words each by itself."""
-        runs = sorted(k for k in keys if "<|" not in k and PLAIN.fullmatch(k))
-        for at in range(0, len(runs), 20_000):
-            some = runs[at : at + 20_000]
-            ids = np.array(self.coder.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            upto = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(upto) != len(some):
+    def learn(self, keys: list[str]) -> None:
+        """Number new keys on. Runs are encoded together and told apart by their word ends; odd words each by itself."""
+        plain = [k for k in keys if "<|" not in k and PLAIN.fullmatch(k)]
+        flat, sizes = [self.flat], []
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self.coder.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
                 raise ValueError("this tokenizer doesn't end each run by itself")
-            raw = ids.tobytes()
-            self.known.update((r, raw[a:b]) for r, a, b in zip(some, [0, *upto], upto, strict=False))
-        odd = sorted(keys.difference(runs))
+            flat.append(ids)
+            sizes.append(np.diff(stops, prepend=0))
+        known = set(plain)
+        odd = [k for k in keys if k not in known]
         for at in range(0, len(odd), 1000):
-            some = odd[at : at + 1000]
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.coder.encode_batch(some, add_special_tokens=False), strict=True))
+            found = [np.array(e.ids, "<u4") for e in self.coder.encode_batch_fast(odd[at : at + 1000], add_special_tokens=False)]
+            flat += found
+            sizes.append(np.array([len(x) for x in found]))
+        self.number.update((k, n) for n, k in enumerate(chain(plain, odd), len(self.number)))
+        self.flat = np.concatenate(flat)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
 
     def joined(self, cut: list[list[str]]) -> list[bytes]:
-        known = self.known
-        fresh = {k for keys in cut for k in keys if k not in known}
-        if len(known) + len(fresh) > REMEMBERED:
-            self.known, fresh = {}, {k for keys in cut for k in keys}
+        runs = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        keys = runs.dictionary.to_pylist()
+        fresh = [k for k in keys if k not in self.number]
+        if len(self.number) + len(fresh) > REMEMBERED:
+            self.forget()
+            fresh = keys
         if fresh:
             self.learn(fresh)
-        return [b"".join(map(self.known.__getitem__, keys)) for keys in cut]
+        numbers = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[runs.indices.to_numpy()]
+        sizes = self.first[numbers + 1] - self.first[numbers]
+        after = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.first[numbers] - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)].tobytes()
+        edges = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(int)] * 4
+        return [ids[a:b] for a, b in pairwise(edges.tolist())]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. One of more than ``PART`` characters goes in parts."""
