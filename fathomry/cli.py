@@ -175,7 +175,7 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         if args.journal:
             files.append_journal(ops.journal_rows(plan, now, f"plan-{args.method}" if args.yes else "plan"), args.journal)
     else:
-        for r in ops.journal_latest(files.read_journal(spark, args.path), args.limit).collect():
+        for r in files.journal_tail(spark, args.path, args.limit).collect():
             say(f"{r['timestamp']} {r['operation']:<10} {r['result']:<7} {r['path']}" + (f" -> {r['destination']}" if r["destination"] else ""))
     return 0
 

@@ -216,3 +216,30 @@ def first_artifacts(artifacts: DataFrame, n: int) -> DataFrame:
     """The n largest artifacts of each project."""
     place = F.row_number().over(Window.partitionBy("project_path").orderBy(F.desc("allocated"), P.parts("path")))
     return artifacts.withColumn("place", place).where(F.col("place") <= n)
+
+
+def after_removal(found: dict[str, DataFrame], entries: DataFrame, removed: DataFrame, rules: list[tuple], tracked: DataFrame | None = None, commits: DataFrame | None = None) -> dict[str, DataFrame]:
+    """An analysis after paths and all below them were removed: only what a removal can touch is looked at again.
+
+    A project's sizes, and whose an artifact is, depend on what lies below the outermost directory above it that is a project or
+    holds artifacts. So each removed path is followed up to such a directory, its entries are analysed anew, and everything
+    elsewhere stays as it was. Entries come with their ancestors as ``analyze`` takes them.
+    """
+    tops = removed.select(F.col("path").alias("gone")).distinct()
+    homes = found["projects"].select("path").unionByName(found["artifacts"].select(P.parent("path").alias("path"))).distinct()
+    above = tops.select("gone", F.explode(P.prefixes("gone", 1)).alias("path"))
+    scope = above.join(homes, "path", "left_semi").groupBy("gone").agg(F.min_by("path", P.depth("path")).alias("scope"))
+    scopes = staged(tops.join(scope, "gone", "left").select(F.coalesce("scope", "gone").alias("scope")).distinct())
+    gone = staged(tops)
+
+    def within(rows: DataFrame, column: str, places: DataFrame, name: str, how: str) -> DataFrame:
+        """Rows whose path in ``column`` is or lies below one of the places; paths are spread over their ancestors once each."""
+        paths = rows.select(F.col(column).alias("x")).distinct().select("x", F.explode(P.prefixes("x", 1)).alias(name))
+        return rows.join(paths.join(places, name, "left_semi").select(F.col("x").alias(column)).distinct(), column, how)
+
+    left = within(within(entries, "path", scopes, "scope", "left_semi"), "path", gone, "gone", "left_anti")
+    anew = analyze(left, rules, tracked=tracked, commits=commits)
+    return {
+        "artifacts": within(found["artifacts"], "path", scopes, "scope", "left_anti").unionByName(anew["artifacts"]),
+        "projects": within(found["projects"], "path", scopes, "scope", "left_anti").unionByName(anew["projects"]),
+    }

@@ -30,17 +30,24 @@ def excluded(entries: DataFrame, paths: list[str], globs: list[str]) -> DataFram
     return entries.where(F.col("path").isin(paths) | G.matches_any([F.col("path"), P.name("path")], globs))
 
 
-def without_excluded(entries: DataFrame, paths: list[str], globs: list[str]) -> DataFrame:
+def without_excluded(entries: DataFrame, paths: list[str], globs: list[str], root: str | None = None) -> DataFrame:
     """Entries that neither match nor lie below a directory that does.
 
     A path that lies below one matches through one of its own prefixes. So two regular expressions on the whole path decide,
-    without a join: a glob's on a prefix that ends where a component does, and a glob's on a single component.
+    without a join: a glob's on a prefix that ends where a component does, and a glob's on a single component. With ``root`` (a
+    column: what each entry was found from) a root that is a directory is spared, and so are the directories above it: what
+    was asked for by name is looked at. Only the few paths that match at all are then looked at prefix by prefix.
     """
     out = entries.where(~P.under_any("path", paths)) if paths else entries
     good = [g for g in globs if g.strip("/") and not G.compiled([g])[1]]
     if good:
         whole, one = ("|".join(G.body(g, inside) for g in good) for inside in (False, True))
-        out = out.where(~(F.col("path").rlike(f"(?s)^(?:{whole})(?:/|$)") | F.col("path").rlike(f"(?s)/(?:{one})(?:/|$)")))
+        hit = F.col("path").rlike(f"(?s)^(?:{whole})(?:/|$)") | F.col("path").rlike(f"(?s)/(?:{one})(?:/|$)")
+        if root:
+            file = (F.col("kind") != "Dir") if "kind" in entries.columns else F.lit(False)
+            below = lambda p: (F.length(p) > F.length(root)) | ((p == F.col("path")) & file)
+            hit = hit & F.exists(P.prefixes("path", 1), lambda p: below(p) & (p.rlike(f"(?s)^(?:{whole})$") | p.rlike(f"(?s)/(?:{one})$")))
+        out = out.where(~hit)
     return out
 
 
@@ -97,8 +104,8 @@ def age_ramp(mtime: Column | str, now: int) -> Column:
 
 def split_sizes(files: DataFrame, min_size: int, include: list[str], exclude: list[str]) -> DataFrame:
     """Regular files of at least min_size (1 at least) bytes, not in the cloud, whose path or name matches an include (if any)
-    and no exclude; nothing below an excluded directory."""
-    rows = without_excluded(files, [], exclude).where((F.col("kind") == "File") & (F.col("apparent") >= max(1, min_size)))
+    and no exclude; nothing below an excluded directory, roots spared (``root``, if the rows have it)."""
+    rows = without_excluded(files, [], exclude, "root" if "root" in files.columns else None).where((F.col("kind") == "File") & (F.col("apparent") >= max(1, min_size)))
     if "cloud" in files.columns:
         rows = rows.where(~F.coalesce("cloud", F.lit(False)))
     return rows.where(G.matches_any([F.col("path"), P.name("path")], include)) if include else rows

@@ -215,3 +215,35 @@ def volume_root(rows: DataFrame, devices: DataFrame) -> DataFrame:
     last_break = F.coalesce(F.max(F.when(F.col("dev") != F.col("own"), F.col("d"))).over(Window.partitionBy("path")), F.lit(-1))
     found = ways.withColumn("b", last_break).where("d > b").groupBy("path").agg(F.min_by("dir", "d").alias("volume_root"))
     return rows.join(found, "path", "left")
+
+
+def quarantine_folders(volumes: DataFrame, entries: DataFrame, folder: str = QUARANTINE) -> DataFrame:
+    """path, items, bytes of the quarantine folders at the roots of volumes (``mount``); a folder is a directory itself, no link.
+
+    ``bytes`` is what emptying would free: directories' blocks, plain files, and none for files with further links.
+    """
+    at = F.when(F.col("mount") == "/", F.concat(F.lit("/"), F.lit(folder))).otherwise(F.concat("mount", F.lit("/"), F.lit(folder)))
+    places = volumes.select(at.alias("path")).distinct()
+    there = entries.where(F.col("kind") == "Dir").select("path").join(places, "path", "left_semi").distinct()
+    freed = F.when((F.col("kind") == "File") & (F.col("nlink") > 1), 0).otherwise(F.coalesce("allocated", F.lit(0)))
+    # Only what has the folder among its components is spread over its ancestors.
+    inside = entries.where(F.array_contains(P.parts("path"), folder)).select(F.explode(P.prefixes("path")).alias("top"), freed.alias("freed"))
+    sums = inside.join(there.select(F.col("path").alias("top")), "top", "left_semi").groupBy("top").agg(F.count("*").alias("items"), F.sum("freed").alias("bytes"))
+    return there.join(sums, there["path"] == sums["top"], "left").select("path", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+
+
+def emptying(asked: DataFrame, entries: DataFrame, folder: str = QUARANTINE) -> DataFrame:
+    """``refused`` for each path that is asked to be emptied: null only for directories with the quarantine's name."""
+    kinds = entries.select(F.col("path").alias("p"), F.col("kind").alias("k"))
+    # The messages.
+    reason = F.when(P.name("path") != folder, "not a quarantine directory").when(F.col("k").isNull(), "no longer exists").when(F.col("k") != "Dir", "not a directory")
+    return asked.join(kinds, asked["path"] == kinds["p"], "left").withColumn("refused", reason).drop("p", "k")
+
+
+def restoring(journal: DataFrame, entries: DataFrame, folder: str = QUARANTINE) -> DataFrame:
+    """Restorable records with ``refused``: null if the moved item is still there and its old place is free."""
+    rows = restorable(journal, folder)
+    there = entries.select("path").distinct()
+    rows = rows.join(there.select(F.col("path").alias("destination"), F.lit(True).alias("kept")), "destination", "left").join(there.withColumn("taken", F.lit(True)), "path", "left")
+    # The messages.
+    return rows.withColumn("refused", F.when(F.col("kept").isNull(), "no longer exists").when(F.col("taken"), "original path is occupied")).drop("kept", "taken")

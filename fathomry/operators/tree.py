@@ -101,8 +101,9 @@ def preorder(rolled: DataFrame, root: str, max_depth: int, size: str = "agg_allo
     """
     base = P.depth(F.lit(root))
     rows = with_paths(rolled.where(P.under("path", F.lit(root)) & (P.depth("path") - base <= max_depth))).withColumn("level", P.depth("path") - base)
-    place = F.row_number().over(Window.partitionBy("parent_path").orderBy(F.desc(size), "agg_allocated", F.desc("name")))
-    ranked = rows.withColumn("rank", F.when(F.col("level") == 0, F.lit(0)).otherwise(place))
+    # Siblings are told by their places along all rows, so that a huge directory is dealt over tasks like any rows.
+    placed = numbered(rows, [F.col("parent_path"), F.desc(size), F.col("agg_allocated"), F.desc("name")], "rank")
+    ranked = placed.withColumn("rank", F.when(F.col("level") == 0, F.lit(0)).otherwise(F.col("rank")))
     key = ranked.where("level = 0").select("path", F.array(F.col("rank")).alias("key"))
     keys = key
     for level in range(1, max_depth + 1):

@@ -98,6 +98,16 @@ def docker_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("Type", files.prune_command().alias("command")).agg(F.count("*").alias("rows"), F.sum(F.col("TotalCount").cast("long")).alias("total"), F.count_if(F.col("Reclaimable") == "").alias("blank"))
 
 
+def after_execution_projects(spark: SparkSession, sf: str) -> DataFrame:
+    """Projects after some artifacts, markers and whole projects were removed."""
+    o = S.table(spark, sf, "orders")
+    key, home = F.col("o_orderkey"), F.concat(F.lit("/w/c"), F.col("o_custkey"), F.lit("/o"), F.col("o_orderkey"))
+    gone = o.where(key % 9 == 2).select(F.concat(home, F.lit("/target")).alias("path")).unionByName(o.where(key % 10 == 1).select(F.concat(home, F.lit("/package.json")).alias("path"))).unionByName(o.where(key % 50 == 3).select(home.alias("path")))
+    gone = gone.unionByName(o.where(F.col("o_custkey") % 30 == 9).select(F.concat(F.lit("/w/c"), "o_custkey", F.lit("/package.json")).alias("path"))).distinct()
+    left = D.after_removal(analysis(spark, sf), S.dev_entries(spark, sf), gone, RULES, *lookups(spark, sf))
+    return left["projects"].select("path", "name", "artifact_size", "source_size", "last_source_mtime", "last_commit")
+
+
 def excluded_projects(spark: SparkSession, sf: str) -> DataFrame:
     e = S.dev_entries(spark, sf)
     return D.analyze(e, RULES, exclude=["/w/c10", "/w/c11"], max_depth=3)["projects"].select("path", "artifact_size", "source_size")
@@ -205,6 +215,11 @@ EXCLUDED_SQL = (
     .replace("LEFT JOIN up ON up.top = b.path AND up.path <> b.path LEFT JOIN e x ON x.path = up.path", "LEFT JOIN upa up ON up.top = b.path AND up.path <> b.path LEFT JOIN ea x ON x.path = up.path")
     .replace("WHERE o_orderkey % 15 = 1", "WHERE false")
 )
+# The same without some paths and all below them.
+AFTER_SQL = DEV_SQL.replace("\ne AS (SELECT *, p[-1]", """
+gone AS (SELECT home || '/target' AS path FROM o WHERE o_orderkey % 9 = 2 UNION SELECT home || '/package.json' FROM o WHERE o_orderkey % 10 = 1 UNION SELECT home FROM o WHERE o_orderkey % 50 = 3 UNION SELECT '/w/c' || o_custkey || '/package.json' FROM o WHERE o_custkey % 30 = 9),
+hit AS (SELECT DISTINCT u.path FROM (SELECT path, '/' || array_to_string(p[1 : i], '/') AS top FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM de)) u JOIN gone ON gone.path = u.top),
+e AS (SELECT *, p[-1]""").replace("AS vcs FROM de),", "AS vcs FROM de WHERE path NOT IN (SELECT path FROM hit)),")
 W = f"WITH {DEV_SQL} "
 assert TRACKED
 
@@ -226,6 +241,7 @@ QUERIES = {
         FROM range(1, 40) t(c) JOIN up ON up.top = '/w/c' || c AND up.path <> up.top JOIN e x ON x.path = up.path GROUP BY c"""),
     "docker_rows": (docker_rows, """WITH r AS (SELECT ['Images', 'Containers', 'Local Volumes', 'Build Cache', 'Other'][event_id % 5 + 1] AS "Type", user_id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0)
         SELECT "Type", CASE "Type" WHEN 'Images' THEN 'docker image prune -f' WHEN 'Containers' THEN 'docker container prune -f' WHEN 'Local Volumes' THEN 'docker volume prune -f' WHEN 'Build Cache' THEN 'docker builder prune -f' END AS command, count(*) AS rows, sum(user_id)::BIGINT AS total, count(*) AS blank FROM r GROUP BY 1, 2"""),
+    "after_execution_projects": (after_execution_projects, f"WITH {AFTER_SQL} SELECT path, name, artifact_size, source_size, last_source_mtime, last_commit FROM prj"),
     "excluded_projects": (excluded_projects, f"WITH {EXCLUDED_SQL} SELECT path, artifact_size, source_size FROM prj"),
     "projects_with_artifacts": (projects_with_artifacts, f"{W} SELECT path, artifact_size FROM prj WHERE artifact_size > 0"),
     "dev_nearest_ancestor": (dev_nearest_ancestor, f"{W} SELECT '/' || array_to_string(p[1 : 2], '/') AS project_path, count(*) AS files, sum(apparent)::BIGINT AS apparent FROM e WHERE kind = 'File' AND len(p) > 2 GROUP BY 1"),

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.operators import ops
-from fathomry.operators.graph import shared_folder
+from fathomry.operators import ops, tree
+from fathomry.operators.graph import removed, shared_folder
+from fathomry.operators.stored import StoredRollup
 from fathomry.plans.buildtrees import DEV_SQL, RULES
 from fathomry.sources import tables as S
-from fathomry.streaming import live
+from fathomry.streaming import links, live
 
 PROTECTED = ["/r/EUROPE"]
 
@@ -126,7 +127,10 @@ def exec_plan_trash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """A folder that goes when the driver ends."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    removed(spark, path)
+    return path
 
 
 def in_files(rows: DataFrame, key: str, place: str, files: int = 4) -> str:
@@ -162,6 +166,63 @@ def stream_hardlink_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy((F.col("nlink") > 1).alias("linked")).agg(F.count("*").alias("files"), F.count_distinct("ino").alias("inodes"))
 
 
+def deltas(spark: SparkSession, sf: str, place: str) -> DataFrame:
+    """Links of the events, told over four batches, as a table."""
+    live.to_table(links.link_deltas(events_as_entries(events(spark, sf, place))), f"{place}/d", f"{place}/dc").awaitTermination()
+    return live.appended(spark, f"{place}/d", links.DELTA)
+
+
+def stream_links_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The rollup of a live scan with links: a stream of deltas, and a stream of sums over these."""
+    place = scratch(spark)
+    deltas(spark, sf, place)
+    rows = spark.readStream.schema(links.DELTA).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(f"{place}/d")
+    live.to_table(links.rollup_of_deltas(rows), f"{place}/t", f"{place}/c", "update").awaitTermination()
+    return live.latest(spark, f"{place}/t", "path string, agg_apparent bigint, agg_allocated bigint, items bigint", ["path"])
+
+
+def stream_link_flags(spark: SparkSession, sf: str) -> DataFrame:
+    place = scratch(spark)
+    deltas(spark, sf, place)
+    return live.latest(spark, f"{place}/d", links.DELTA, ["path"]).select("path", "linked", "dup")
+
+
+def removed_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored rollup after removals: one twice, one inside another, one of a path that isn't there."""
+    store = StoredRollup.create(tree.mark_hard_links(S.entries(spark, sf)), scratch(spark))
+    for path in ("/r/AMERICA/NATION_1", "/r/EUROPE", "/r/EUROPE/NATION_6", "/r/AMERICA/NATION_1", "/r/none"):
+        store.remove(path)
+    return store.rows().where("kind = 'Dir'").select("path", "agg_apparent", "agg_allocated", "items")
+
+
+def quarantined(spark: SparkSession, sf: str) -> DataFrame:
+    """What the journal has moved, as entries: files in two quarantine folders and elsewhere, and the directories above."""
+    moved = S.journal(spark, sf).where("destination is not null")
+    to = F.when(F.col("line") % 4 == 0, F.replace("destination", F.lit("/vol/"), F.lit("/mnt/b/"))).otherwise(F.col("destination"))
+    rows = moved.select(to.alias("path"), F.lit("File").alias("kind"), F.col("size").alias("allocated"), (F.floor(F.col("line") / 3) % 3 + 1).alias("nlink"))
+    dirs = tree.directories_of(rows).select("path", F.lit("Dir").alias("kind"), F.lit(4096).cast("long").alias("allocated"), F.lit(1).cast("long").alias("nlink"))
+    return rows.unionByName(dirs)
+
+
+def quarantine_folders(spark: SparkSession, sf: str) -> DataFrame:
+    rows = quarantined(spark, sf)
+    volumes = rows.select(F.explode(F.array(F.lit("/vol"), F.lit("/mnt/b"), F.lit("/none"), F.lit("/"))).alias("mount")).distinct()
+    return ops.quarantine_folders(volumes, rows)
+
+
+def quarantine_emptying(spark: SparkSession, sf: str) -> DataFrame:
+    """Asked of every directory, some files and some paths that are gone."""
+    rows = quarantined(spark, sf)
+    asked = rows.where("kind = 'Dir' or nlink = 2").select("path").unionByName(rows.where("nlink = 3").select(F.concat(F.col("path"), F.lit("/.fathomry-quarantine")).alias("path")))
+    return ops.emptying(asked, rows).select("path", "refused")
+
+
+def journal_restoring(spark: SparkSession, sf: str) -> DataFrame:
+    journal = S.journal(spark, sf)
+    left = journal.where("destination is not null and line % 5 <> 1").select(F.col("destination").alias("path"))
+    return ops.restoring(journal, left.unionByName(journal.where("line % 7 = 2").select("path"))).select("line", "refused")
+
+
 def stream_journal(spark: SparkSession, sf: str) -> DataFrame:
     place = scratch(spark)
     rows = events(spark, sf, place).select(F.col("event_type").alias("operation"), F.floor(F.col("value") * 100).cast("long").alias("size"))
@@ -191,8 +252,25 @@ judged AS (SELECT dup_path, dup_size, CASE WHEN starts_with(dup_path, '/docs/fr/
   WHEN keep_dev = dup_dev AND keep_ino = dup_ino THEN 'already the same physical file' WHEN keep_size <> dup_size THEN 'size differs from the kept file' WHEN keep_dev <> dup_dev THEN 'hardlinks require both files on the same volume' WHEN keep_hash <> dup_hash THEN 'content differs from the kept file' END AS reason FROM pairs)
 """
 EV = "WITH ev AS (SELECT '/ev/' || event_type || '/u' || (user_id % 20) || '/e' || event_id AS path, floor(value * 100)::BIGINT AS apparent, floor(value)::BIGINT * 512 AS allocated, user_id % 3 + 1 AS nlink, user_id AS ino FROM events) "
+EV_LINKS = EV + """, m AS (SELECT *, string_split(path[2 :], '/') AS p, nlink > 1 AS linked FROM ev), f AS (SELECT *, linked AND row_number() OVER (PARTITION BY linked, ino ORDER BY p) > 1 AS dup FROM m)"""
+GONE = "(path = '/r/EUROPE' OR starts_with(path, '/r/EUROPE/') OR path = '/r/AMERICA/NATION_1' OR starts_with(path, '/r/AMERICA/NATION_1/'))"
+QUARANTINED = f"""{J}, q AS (SELECT CASE WHEN line % 4 = 0 THEN replace(destination, '/vol/', '/mnt/b/') ELSE destination END AS path, size AS allocated, line // 3 % 3 + 1 AS nlink FROM j WHERE destination IS NOT NULL),
+d AS (SELECT DISTINCT '/' || array_to_string(p[1 : i], '/') AS path FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(path[2 :], '/') AS p FROM q))),
+x AS (SELECT path, 'File' AS kind, allocated, nlink FROM q UNION ALL SELECT path, 'Dir', 4096, 1 FROM d)"""
 
 QUERIES = {
+    "stream_links_rollup": (stream_links_rollup, f"""{EV_LINKS} SELECT '/' || array_to_string(p[1 : i], '/') AS path, sum(CASE WHEN dup THEN 0 ELSE apparent END)::BIGINT AS agg_apparent, sum(CASE WHEN dup THEN 0 ELSE allocated END)::BIGINT AS agg_allocated, count(*) AS items
+        FROM (SELECT *, unnest(range(1, len(p))) AS i FROM f) GROUP BY 1"""),
+    "stream_link_flags": (stream_link_flags, f"{EV_LINKS} SELECT path, linked, dup FROM f"),
+    "removed_rollup": (removed_rollup, f"""WITH {S.ENTRIES_SQL}, leftover AS (SELECT * FROM marked WHERE NOT {GONE}),
+        sums2 AS (SELECT '/' || array_to_string(p[1 : i], '/') AS path, sum(CASE WHEN hardlink_dup THEN 0 ELSE apparent END)::BIGINT AS a, sum(CASE WHEN hardlink_dup THEN 0 ELSE allocated END)::BIGINT AS b, count(*)::BIGINT AS n FROM (SELECT *, unnest(range(1, len(p))) AS i FROM leftover) GROUP BY 1)
+        SELECT l.path, coalesce(a, 0) AS agg_apparent, coalesce(b, 0) AS agg_allocated, coalesce(n, 0) AS items FROM leftover l LEFT JOIN sums2 USING (path) WHERE kind = 'Dir'"""),
+    "quarantine_folders": (quarantine_folders, f"""{QUARANTINED} SELECT d.path, count(x.path) AS items, coalesce(sum(CASE WHEN x.kind = 'File' AND nlink > 1 THEN 0 ELSE x.allocated END), 0)::BIGINT AS bytes
+        FROM d LEFT JOIN x ON starts_with(x.path, d.path || '/') WHERE d.path IN ('/vol/.fathomry-quarantine', '/mnt/b/.fathomry-quarantine', '/none/.fathomry-quarantine', '/.fathomry-quarantine') GROUP BY d.path"""),
+    "quarantine_emptying": (quarantine_emptying, f"""{QUARANTINED}, a AS (SELECT path FROM x WHERE kind = 'Dir' OR nlink = 2 UNION ALL SELECT path || '/.fathomry-quarantine' FROM x WHERE nlink = 3)
+        SELECT a.path, CASE WHEN string_split(a.path, '/')[-1] <> '.fathomry-quarantine' THEN 'not a quarantine directory' WHEN x.path IS NULL THEN 'no longer exists' WHEN x.kind <> 'Dir' THEN 'not a directory' END AS refused FROM a LEFT JOIN x USING (path)"""),
+    "journal_restoring": (journal_restoring, f"""{J} SELECT line, CASE WHEN line % 5 = 1 THEN 'no longer exists' WHEN path IN (SELECT path FROM j WHERE line % 7 = 2) THEN 'original path is occupied' END AS refused
+        FROM j WHERE result = 'ok' AND operation = 'quarantine' AND contains(destination, '/.fathomry-quarantine/')"""),
     "drawer_antichain": (drawer_antichain, f"{W} SELECT seq, path FROM tops WHERE top"),
     "reclaimable": (reclaimable, f"{W} SELECT sum(expected)::BIGINT AS reclaimable FROM expect"),
     "expected_bytes": (expected_bytes, f"{W} SELECT seq, expected FROM expect"),

@@ -91,10 +91,10 @@ def appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 class Throttle:
-    """Progress reports at most every ``millis``; the last one always."""
+    """Progress reports at most every ``millis``; the first and the last one always."""
 
     def __init__(self, report, millis: int = 100):  # noqa: ANN001
-        self.report, self.wait, self.last = report, millis / 1000, 0.0
+        self.report, self.wait, self.last = report, millis / 1000, float("-inf")
 
     def __call__(self, progress: dict, final: bool = False) -> None:
         now = time.monotonic()
