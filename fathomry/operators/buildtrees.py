@@ -46,6 +46,17 @@ def hits(name: Column, rules: list[tuple], field: int, kinds: tuple[str, ...] =
     return F.when(any_, F.array_compact(F.array(*found))).otherwise(none)
 
 
+def of_interest(entries: DataFrame, rules: list[tuple]) -> DataFrame:
+    """path and kind of the entries that any rule names, written once: ``rule_match``, ``claims`` and ``risk_assess`` give the
+    same for these as for all entries, and each look at names costs the few that are left."""
+    globs = [g for r in rules for field in (MARKERS, ARTIFACTS, LOCKS) for g in r[field]]
+    name, plain = P.name("path"), sorted({g for g in globs if not set(g) & set("*?[{\\/")})
+    patterns = sorted({to_regex(g).removeprefix("(?s)") for g in globs if set(g) & set("*?[{\\") and "/" not in g})
+    tests = [name.isin(plain)] + ([name.rlike(f"(?s){'|'.join(patterns)}")] if patterns else [])
+    tests += [F.col("path").endswith("/" + g) for g in sorted({g for g in globs if "/" in g})]
+    return staged(entries.where(reduce(lambda a, b: a | b, tests)).select("path", "kind"), "named")
+
+
 def rule_match(entries: DataFrame, rules: list[tuple]) -> DataFrame:
     """dir, rule_id: directories that hold a marker of a marker rule."""
     by_name = entries.select(P.parent("path").alias("dir"), F.explode(hits(P.name("path"), rules, MARKERS, ("marker",))).alias("rule_id"))
@@ -129,8 +140,9 @@ def analyze(entries: DataFrame, rules: list[tuple], exclude: list[str] | None =
     rows = entries.where(~P.under_any("path", exclude)) if exclude else entries
     rows = staged(rows)
     live = rows if max_depth is None else rows.where(P.depth("path") <= max_depth + 1)
-    matched = staged(rule_match(live, rules))
-    resolved = staged(resolve(risk_assess(claims(live, rules, matched), live, rules)))
+    named = of_interest(live, rules)
+    matched = staged(rule_match(named, rules))
+    resolved = staged(resolve(risk_assess(claims(named, rules, matched), named, rules)))
     kept = kept_artifacts(resolved, rows)
     if tracked is not None:
         kept = kept.join(tracked.select("path").distinct().withColumn("tracked_by_git", F.lit(True)), "path", "left").withColumn("tracked_by_git", F.coalesce("tracked_by_git", F.lit(False)))

@@ -21,17 +21,21 @@ def rule_match(spark: SparkSession, sf: str) -> DataFrame:
     return D.rule_match(S.dev_entries(spark, sf), RULES)
 
 
+def named(spark: SparkSession, sf: str) -> DataFrame:
+    return D.of_interest(S.dev_entries(spark, sf), RULES)
+
+
 def artifact_claims(spark: SparkSession, sf: str) -> DataFrame:
-    return D.claims(S.dev_entries(spark, sf), RULES)
+    return D.claims(named(spark, sf), RULES)
 
 
 def risk_assess(spark: SparkSession, sf: str) -> DataFrame:
-    e = S.dev_entries(spark, sf)
+    e = named(spark, sf)
     return D.risk_assess(D.claims(e, RULES), e, RULES).select("path", "rule_id", "risk_rank", "risk_reason")
 
 
 def claim_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    e = S.dev_entries(spark, sf)
+    e = named(spark, sf)
     return D.resolve(D.risk_assess(D.claims(e, RULES), e, RULES)).select("path", "ecosystem", "risk_rank", "regenerate")
 
 

@@ -181,14 +181,28 @@ def sunburst_small_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def arc_at(spark: SparkSession, sf: str) -> DataFrame:
-    points = spark.range(1, 31).select(F.col("id").alias("point"), (F.col("id") % 2 + 1).cast("int").alias("ring"), (F.col("id") * 0.2).alias("theta"))
+    points = S.table(spark, sf, "events").select(F.col("event_id").alias("point"), (F.col("user_id") % 2 + 1).cast("int").alias("ring"), (F.col("value") % 7).alias("theta"))
     return layout.arc_at(arcs(spark, sf), points).select("point", "arc_path")
 
 
 def polar_points(spark: SparkSession, sf: str) -> DataFrame:
-    x, y = F.col("id") % 32 - 15.5, F.floor(F.col("id") / 32) - 15.5
+    x, y = (F.col("embedding")[i].cast("double") * 60 for i in (0, 1))
     ring, theta = layout.polar(x, y, 15.0, 4)
-    return spark.range(1000).select("id", ring.alias("ring"), F.round(theta, 6).alias("theta"))
+    return S.table(spark, sf, "embeddings").select("vec_id", ring.alias("ring"), F.round(theta, 6).alias("theta"))
+
+
+def split_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as lists of patterns."""
+    found = G.split_globs("text")
+    return S.table(spark, sf, "documents").select("doc_id", F.size(found).alias("patterns"), F.md5(F.concat_ws("|", found)).alias("digest"))
+
+
+def image_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts' names with every known extension, in either case."""
+    known = [e for group in filters.CATEGORIES.values() for e in group] + ["ico", "", "png.bak"]
+    ext = F.element_at(F.array(*map(F.lit, known)), (F.col("p_partkey") % len(known) + 1).cast("int"))
+    name = F.concat("p_name", F.lit("."), F.when(F.col("p_size") % 2 == 0, F.upper(ext)).otherwise(ext))
+    return S.table(spark, sf, "part").select("p_partkey", filters.is_image(name).alias("image"), filters.category(F.lower(name)).alias("category"))
 
 
 def list_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,10 +325,14 @@ QUERIES = {
         SELECT ((SELECT coalesce(sum(allocated), 0) FROM i WHERE kind = 'Dir' OR nlink <= 1) + (SELECT coalesce(sum(b), 0) FROM (SELECT max(allocated) AS b FROM i WHERE kind <> 'Dir' AND nlink > 1 GROUP BY dev, ino HAVING count(*) >= max(nlink))))::BIGINT AS freed"""),
     "sunburst_rings": (sunburst_rings, f'{RINGS} SELECT ring, path, round(s, 6) AS start, round(e, 6) AS "end", branch::INT AS branch, size FROM drawn'),
     "sunburst_small_items": (sunburst_small_items, f"{RINGS} SELECT ring, parent_path, size, count FROM small"),
-    "arc_at": (arc_at, f"""{RINGS}, pt AS (SELECT i AS point, (i % 2 + 1)::INT AS ring, i * 0.2::DOUBLE AS theta FROM range(1, 31) t(i))
+    "arc_at": (arc_at, f"""{RINGS}, pt AS (SELECT event_id AS point, (user_id % 2 + 1)::INT AS ring, value % 7 AS theta FROM events)
         SELECT point, path AS arc_path FROM pt LEFT JOIN drawn d ON d.ring = pt.ring AND d.s <= theta AND theta < d.e"""),
-    "polar_points": (polar_points, """WITH x AS (SELECT i AS id, i % 32 - 15.5::DOUBLE AS x, i // 32 - 15.5::DOUBLE AS y FROM range(1000) t(i))
-        SELECT id, greatest(floor((sqrt(x * x + y * y) / 15 - 0.24::DOUBLE) / (0.76::DOUBLE / 4)) + 1, 0)::INT AS ring, round(CASE WHEN atan2(x, -y) < 0 THEN atan2(x, -y) + 2 * pi() ELSE atan2(x, -y) END, 6) AS theta FROM x"""),
+    "split_texts": (split_texts, "WITH x AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,;]'), lambda t: trim(t, ' ')), lambda t: t <> '') AS p FROM documents) SELECT doc_id, len(p)::INT AS patterns, md5(array_to_string(p, '|')) AS digest FROM x"),
+    "image_parts": (image_parts, f"""WITH k AS (SELECT {[e for group in filters.CATEGORIES.values() for e in group] + ["ico", "", "png.bak"]} AS k), c(label, e) AS (VALUES {", ".join(f"('{label}', '{e}')" for label, group in filters.CATEGORIES.items() for e in group)}),
+        x AS (SELECT p_partkey, k[p_partkey % len(k) + 1] AS e FROM part, k)
+        SELECT p_partkey, e IN {tuple(filters.IMAGES)} AS image, coalesce((SELECT label FROM c WHERE c.e = x.e), 'Other') AS category FROM x"""),
+    "polar_points": (polar_points, """WITH x AS (SELECT vec_id, embedding[1]::DOUBLE * 60 AS x, embedding[2]::DOUBLE * 60 AS y FROM embeddings)
+        SELECT vec_id, greatest(floor((sqrt(x * x + y * y) / 15 - 0.24::DOUBLE) / (0.76::DOUBLE / 4)) + 1, 0)::INT AS ring, round(CASE WHEN atan2(x, -y) < 0 THEN atan2(x, -y) + 2 * pi() ELSE atan2(x, -y) END, 6) AS theta FROM x"""),
     "list_panel": (list_panel, f"""{W}, x AS (SELECT path, p, agg_allocated FROM rolled WHERE len(p) = 3 AND p[2] = 'ASIA' UNION ALL SELECT path, p, agg_allocated FROM rolled WHERE starts_with(path, '/r/ASIA/') AND regexp_full_match(lower(p[-1]), 'o.*7'))
         SELECT path, agg_allocated, (row_number() OVER (ORDER BY agg_allocated DESC, p))::INT AS place FROM x"""),
     "copy_on_write": (copy_on_write, "SELECT n_nationkey, n_nationkey % 8 IN (0, 2, 3, 5, 7) AS shares FROM nation"),

@@ -93,7 +93,7 @@ files AS (
 dirs AS (
   SELECT DISTINCT '/' || array_to_string(p[1 : i], '/') AS path FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(path[2 :], '/') AS p FROM files))
 ),
-entries AS (
+entries AS MATERIALIZED (
   SELECT path, kind, apparent, ((apparent + 4095) // 4096) * 4096 AS allocated, nlink, dev, ino, mtime, string_split(path[2 :], '/') AS p FROM files
   UNION ALL SELECT path, 'Dir', 0, 0, 1, NULL, NULL, 0, string_split(path[2 :], '/') FROM dirs
 ),
@@ -221,25 +221,25 @@ def staged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGED_SQL = (
     ENTRIES_SQL
     + """,
-staged AS (
+staged AS MATERIALIZED (
   SELECT CASE WHEN kind = 'Dir' THEN try_cast(p[4][2 :] AS BIGINT) ELSE ((try_cast(p[5][2 :] AS BIGINT) * 10 + try_cast(string_split(p[6][2 :], '_')[1] AS BIGINT)) * 100000 + try_cast(string_split(p[6], '_')[2] AS BIGINT)) * 10000 + try_cast(string_split(p[6], '_')[3] AS BIGINT) END AS seq, path, p, kind, (CASE WHEN kind = 'Dir' THEN 4096 ELSE allocated END)::BIGINT AS allocated, apparent, mtime, 0 AS mtime_nanos, dev, ino, nlink,
     (CASE WHEN kind = 'Dir' THEN 5 ELSE 1 END)::BIGINT AS entry_count, CASE WHEN kind = 'Dir' THEN 'map' ELSE 'duplicates' END AS source
   FROM entries
   WHERE (len(p) = 4 AND regexp_extract(p[4], '^c([0-9]+)$', 1)::BIGINT % 7 = 0) OR (kind = 'File' AND regexp_extract(p[5], '^o([0-9]+)$', 1)::BIGINT % 50 = 0)
 ),
 above AS (SELECT DISTINCT seq FROM (SELECT seq, '/' || array_to_string(p[1 : i], '/') AS a FROM (SELECT seq, p, unnest(range(1, len(p))) AS i FROM staged)) JOIN (SELECT path AS a FROM staged) USING (a)),
-tops AS (SELECT s.*, NOT EXISTS (SELECT 1 FROM above WHERE above.seq = s.seq) AS top FROM staged s),
+tops AS (SELECT s.*, s.seq NOT IN (SELECT seq FROM above) AS top FROM staged s),
 groups AS (SELECT dev, ino, count(*) AS n, arg_min(nlink, seq) AS links, arg_min(allocated, seq) AS bytes, max(seq) AS last FROM tops WHERE top AND kind <> 'Dir' AND nlink > 1 AND ino IS NOT NULL GROUP BY dev, ino),
 expect AS (
   SELECT t.seq, (CASE WHEN NOT t.top THEN 0 WHEN t.kind <> 'Dir' AND t.nlink > 1 AND t.ino IS NOT NULL THEN CASE WHEN g.n >= g.links AND g.last = t.seq THEN g.bytes ELSE 0 END ELSE t.allocated END)::BIGINT AS expected
   FROM tops t LEFT JOIN groups g ON t.dev = g.dev AND t.ino = g.ino
 ),
-present AS (
+present AS MATERIALIZED (
   SELECT path, CASE WHEN seq % 17 = 3 THEN 'Symlink' ELSE kind END AS kind, CASE WHEN seq % 5 = 2 THEN apparent + 1 ELSE apparent END AS apparent, allocated, CASE WHEN seq % 7 = 4 THEN mtime + 60 ELSE mtime END AS mtime,
     mtime_nanos, dev, CASE WHEN seq % 19 = 5 THEN ino + 1 ELSE ino END AS ino, nlink, CASE WHEN seq % 4 = 1 THEN entry_count + 3 ELSE entry_count END AS entry_count
   FROM staged WHERE seq % 13 <> 6
 ),
-checked AS (
+checked AS MATERIALIZED (
   SELECT s.*, CASE
     WHEN c.path IS NULL THEN 'no longer exists'
     WHEN s.kind <> c.kind THEN 'kind changed from ' || s.kind || ' to ' || c.kind
