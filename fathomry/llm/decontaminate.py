@@ -49,12 +49,13 @@ class WuManber:
         self.length, self.patterns, self.block = length, patterns, min(2, length)
         self.most = length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[bytes, ...]]] = {}
+        # A bucket is a set: many windows that end alike cost a comparison no more than one does.
+        self.bucket: dict[tuple[bytes, ...], set[tuple[bytes, ...]]] = {}
         for pattern in patterns:
             for end in range(self.block, length + 1):
                 pair = pattern[end - self.block : end]
                 self.shift[pair] = min(self.shift.get(pair, self.most), length - end)
-            self.bucket.setdefault(pattern[-self.block :], []).append(pattern)
+            self.bucket.setdefault(pattern[-self.block :], set()).add(pattern)
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
         """(start, pattern) of every occurrence."""
@@ -70,9 +71,8 @@ class WuManber:
                 end += skip
                 continue
             found = tuple(words[end - length : end])
-            for pattern in self.bucket[found[-2:]]:
-                if pattern == found:
-                    yield end - length, pattern
+            if found in self.bucket[found[-2:]]:
+                yield end - length, found
             end += 1
 
 

@@ -4,7 +4,7 @@ Each language has a raw-content zstandard dictionary, slices of its training tex
 ``PIECE`` bytes, and every piece is compressed with every language's dictionary; the language whose sizes add up to the least
 wins. ``accepted`` is false where the runner-up comes within ``MARGIN`` of it: the margin is too narrow to trust.
 
-Fitted on a bounded sample: ``DOCS`` documents of each language, a slice of ``SLICE`` characters
+Fitted on a bounded sample: ``DOCS`` documents of each language (of the ``LANGUAGES`` most frequent), a slice of ``SLICE`` characters
 from each, whole in any script. A dictionary need not hold more of a text: what tells languages apart are letter sequences that
 occur all over it, and 200 places of 300 characters show them; a longer one slows every text down. The dictionaries are all that goes to the tasks: about 60 kB for a learned language in ASCII, 240 kB at most.
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from fathomry.llm.common import crc_mod, held_out, read, row_slices, tidy
 
 DOCS, SLICE = 200, 300
+#: Languages that are learned at most, the most frequent ones: as many dictionaries go to the tasks (240 kB each at most).
+LANGUAGES = 400
 PIECE = 1024
 LEVEL = 7
 MARGIN = 0.01
@@ -38,15 +40,16 @@ def train(docs: DataFrame, docs_each: int = DOCS, slice_chars: int = SLICE) -> d
     Of each language the rows with the smallest hashes of id and text are taken, equal slices once, from those below a bound set
     by its number of distinct rows: no group is gathered whole, neither a language nor an id with very many rows.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.03).alias("n")).collect()}
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.03).alias("n"))
+    counts = {r["lang"]: r["n"] for r in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return {}
     spread = 1 << 40
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread))
     bound = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(spread * min(1, 1.5 * docs_each / max(1, n)))))), F.col("lang"))
     start = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.length("text") - slice_chars, F.lit(1))).cast("int") + 1
-    drawn = known.where((draw < bound) & F.col("text").isNotNull()).select("lang", draw.alias("d"), "doc_id", F.lower(F.substring("text", start, F.lit(slice_chars))).alias("t")).distinct()
+    drawn = known.where(draw < bound).select("lang", draw.alias("d"), "doc_id", F.lower(F.substring("text", start, F.lit(slice_chars))).alias("t")).distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("d", "doc_id", "t"))
     rows = drawn.withColumn("p", place).where(F.col("p") <= docs_each).collect()
     out = {}

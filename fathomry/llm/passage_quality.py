@@ -10,7 +10,9 @@ Fitted on at most ``ROWS`` labelled documents that are not held out, at most ``F
 passage vectors, not their texts, are gathered. A model is small: under 50 kB goes to the tasks.
 
 Cases: null, empty and blank texts have no passage; their score is that of a bag without evidence, and 0 without usable
-labels; repeated rows each give a row; a null doc_id is scored but never learned from; other columns are not read.
+labels; repeated rows each give a row; a null doc_id is scored but never learned from; other columns are not read. A long
+text is scored in parts of whole passages, ``PIECE`` bytes together; only one passage larger than that (32 words without a
+blank in megabytes) is taken at once.
 """
 
 from __future__ import annotations
@@ -119,23 +121,72 @@ def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0]
 
 
+def borders(data: np.ndarray, at_once: int) -> np.ndarray:
+    """Where the passages of one text begin, found a stretch of bytes at a time."""
+    found, number, before = [], 0, False
+    for at in range(0, len(data), at_once):
+        kind = CLASS[data[at : at + at_once]]
+        inside = (kind != BLANK) & (kind != LINE)
+        start = inside.copy()
+        start[1:] &= ~inside[:-1]
+        start[0] &= not before
+        words = np.flatnonzero(start)
+        found.append(at + words[(np.arange(len(words)) + number) % PASSAGE == 0])
+        number, before = number + len(words), bool(inside[-1])
+    return np.concatenate(found)
+
+
+def passages_of(data: np.ndarray, at_once: int) -> Iterator[np.ndarray]:
+    """Passage vectors of one long text, some ``at_once`` bytes of passages at a time (one passage at least). Each time the
+    passage before comes along, as words are compared with those before them, and its vector is left out."""
+    edges = np.append(borders(data, at_once), len(data))
+    first, last = 0, len(edges) - 1
+    while first < last:
+        stop = max(first + 1, int(np.searchsorted(edges, edges[first] + at_once, "right")) - 1)
+        context = max(0, first - 1)
+        some = data[edges[context] : edges[stop]]
+        yield passages(some, np.array([0, len(some)]))[0][first - context :]
+        first = stop
+
+
 @dataclass
 class Model:
     mean: np.ndarray
     spread: np.ndarray
     weights: dict[str, np.ndarray]
 
+    def score_long(self, parts: Iterator[np.ndarray]) -> tuple[float, int, int | None]:
+        """Score, number of passages and the most attended one of a text whose passages come in parts: the softmax over all of
+        them is kept as its largest exponent, the sum and the weighted sum so far."""
+        w, n, top, best, total = self.weights, 0, -np.inf, None, 0.0
+        z = np.zeros(len(w["c"]))
+        for x in parts:
+            if not len(x):
+                continue
+            h, s = attended(w, (x - self.mean) / self.spread)[:2]
+            if s.max() > top:
+                best, old, top = n + int(s.argmax()), top, float(s.max())
+                z, total = z * np.exp(old - top), total * np.exp(old - top)
+            e = np.exp(s - top)
+            z, total, n = z + e @ h, total + e.sum(), n + len(x)
+        return float(1 / (1 + np.exp(-(z / (total or 1.0) @ w["c"] + w["d"][0])))), n, best
+
     def score(self, x: np.ndarray, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of the bags, and the passages' attention weights."""
         p, a, *_ = forward(self.weights, (x - self.mean) / self.spread, bags)
         return p, a
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray, bags: np.ndarray) -> tuple[np.ndarray, ...]:
+def attended(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Encoded passages, the exponents of their attention, and both gates."""
     h = np.tanh(x @ w["W"] + w["b"])
     t = np.tanh(h @ w["V"] + w["v"])
     g = 1 / (1 + np.exp(-(h @ w["U"] + w["u"])))
-    s = (t * g) @ w["a"]
+    return h, (t * g) @ w["a"], t, g
+
+
+def forward(w: dict[str, np.ndarray], x: np.ndarray, bags: np.ndarray) -> tuple[np.ndarray, ...]:
+    h, s, t, g = attended(w, x)
     a, z, owner = np.zeros(len(x)), np.zeros((len(bags), h.shape[1])), np.repeat(np.arange(len(bags)), bags)
     some = np.flatnonzero(bags)
     if len(some):
@@ -208,15 +259,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
     return fit(np.concatenate(vectors), np.array([len(v) for v in vectors]), np.array([r[2] for r in got], float))
 
 
+def scored(model: Model | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int | None]]:
+    """Scores, numbers of passages and most attended passages of some texts. One of more than ``PIECE`` bytes comes alone."""
+    data, offsets = arrow_bytes(column)
+    if len(column) == 1 and len(data) > PIECE:
+        if model is None:
+            return np.zeros(1), np.array([len(borders(data, PIECE))]), [0]
+        p, n, top = model.score_long(passages_of(data, PIECE))
+        return np.array([p]), np.array([n]), [top]
+    x, bags = passages(data, offsets)
+    p, a = model.score(x, bags) if model else (np.zeros(len(bags)), np.zeros(len(x)))
+    starts = np.cumsum(bags) - bags
+    return p, bags, [int(np.argmax(a[s : s + n])) if n else None for s, n in zip(starts, bags, strict=True)]
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score, n_passages, top_passage (the most attended, from 0) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 1, PIECE):
-            x, bags = passages(*arrow_bytes(batch.column(1)))
-            p, a = model.score(x, bags) if model else (np.zeros(len(bags)), np.zeros(len(x)))
-            starts = np.cumsum(bags) - bags
-            top = [int(np.argmax(a[s : s + n])) if n else None for s, n in zip(starts, bags, strict=True)]
+            p, bags, top = scored(model, batch.column(1))
             columns = [batch.column(0), pa.array(p, pa.float64()), pa.array(bags, pa.int64()), pa.array(top, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "n_passages", "top_passage"])
 
@@ -231,7 +293,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, place, PIECE):
-            p, _ = model.score(*passages(*arrow_bytes(batch.column(place))))
+            p = scored(model, batch.column(place))[0]
             yield batch.filter(pa.array(p >= threshold))
 
     return docs.mapInArrow(tidy(run), docs.schema)
