@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fathomry import settings as S
 from fathomry.functions import paths as P
 from fathomry.functions.formats import exact_size
-from fathomry.operators import buildtrees, dedup, dupfiles, export, filters, graph, ops, tree
+from fathomry.operators import buildtrees, dedup, dupfiles, export, filters, graph, ops, similar, tree
 from fathomry.schemas import CACHE
 from fathomry.sources import files
 from fathomry.sources.filesystem import scan, volumes
@@ -25,7 +25,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="fathomry", description=__doc__)
     p.add_argument("--settings", default="")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("volumes")
+    v = sub.add_parser("volumes")
+    v.add_argument("--json", action="store_true")
     s = sub.add_parser("scan")
     s.add_argument("paths", nargs="+")
     s.add_argument("--depth", type=int, default=2)
@@ -33,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--largest", type=int, default=0)
     s.add_argument("--apparent", action="store_true")
     s.add_argument("--exclude", action="append", default=[])
+    s.add_argument("--follow-symlinks", action="store_true")
+    s.add_argument("--cross-filesystems", action="store_true")
     s.add_argument("--json", action="store_true")
     s.add_argument("--csv", action="store_true")
     d = sub.add_parser("dev")
@@ -40,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--stale", type=int, default=0, help="only projects that many days inactive")
     d.add_argument("--type", action="append", default=[])
     d.add_argument("--depth", type=int, default=None)
+    d.add_argument("--json", action="store_true")
     u = sub.add_parser("dup")
     u.add_argument("paths", nargs="+")
     u.add_argument("--min-size", type=int, default=None)
@@ -47,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
     u.add_argument("--exclude", default="")
     u.add_argument("--cache", default="", help="folder of the hash cache")
     u.add_argument("--verify", action="store_true", help="compare byte by byte")
+    u.add_argument("--similar", type=int, default=None, metavar="DISTANCE", help="similar images too, within so many bits (--hashes)")
+    u.add_argument("--hashes", default="", help="table of images: path, dhash, phash, width, height")
     u.add_argument("--json", action="store_true")
     u.add_argument("--csv", default="", help="folder to write the groups to")
     x = sub.add_parser("delete")
@@ -58,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
     j = sub.add_parser("journal")
     j.add_argument("path")
     j.add_argument("--limit", type=int, default=50)
+    j.add_argument("--json", action="store_true")
     return p
 
 
@@ -90,11 +97,15 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
     say = lambda *x: print(*x, file=out)
     size = "agg_apparent" if getattr(args, "apparent", False) or settings.size_mode == "apparent" else "agg_allocated"
     if args.command == "volumes":
-        for v in tree.volume_use(volumes(spark)).orderBy("mount").collect():
+        rows = tree.volume_use(volumes(spark)).orderBy("mount").collect()
+        if args.json:
+            say(json.dumps([r.asDict() for r in rows], indent=2, ensure_ascii=False))
+            return 0
+        for v in rows:
             say(f"{v['mount']:<30} {v['fs']:<10} {exact_size(v['used']):>12} of {exact_size(v['total']):>12} {v['fraction']:>6.1%} {v['band']}")
     elif args.command == "scan":
         options = settings.scan_options()
-        found = tree.mark_hard_links(scan(spark, args.paths, options["exclude_paths"], [*options["exclude_globs"], *args.exclude], options["follow_symlinks"], options["cross_filesystems"]))
+        found = tree.mark_hard_links(scan(spark, args.paths, options["exclude_paths"], [*options["exclude_globs"], *args.exclude], options["follow_symlinks"] or args.follow_symlinks, options["cross_filesystems"] or args.cross_filesystems))
         rolled = tree.rolled_up(found).persist()
         for path in map(os.path.abspath, args.paths):
             if args.json:
@@ -126,6 +137,12 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         found = scan(spark, args.paths)
         result = buildtrees.analyze(found, rules, max_depth=None if args.depth is None else args.depth + min(len(os.path.abspath(p).strip("/").split("/")) for p in args.paths))
         projects = buildtrees.filter_projects(result["projects"], now, args.type, 0, args.stale)
+        if args.json:
+            out.write("[")
+            for k, r in enumerate(buildtrees.in_order(projects).toLocalIterator()):
+                out.write(",\n" * (k > 0) + json.dumps(r.asDict(), ensure_ascii=False))
+            say("]")
+            return 0
         for r in buildtrees.in_order(projects).collect():
             say(f"{exact_size(r['artifact_size']):>12}  {', '.join(r['types']):<24} {r['path']}")
         for r in buildtrees.totals(projects).collect():
@@ -136,16 +153,25 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         found = dupfiles.find(seen, known, args.verify)
         if args.cache:
             files.save_cache(dupfiles.renewed(known, found, [os.path.abspath(p) for p in args.paths], seen), args.cache)
-        none = spark.createDataFrame([], "root string, max_distance int, path string, size bigint, mtime bigint, width int, height int")
+        like = spark.createDataFrame([], "root string, max_distance int, path string, size bigint, mtime bigint, width int, height int")
+        if args.similar is not None:
+            if not args.hashes:
+                print("--similar needs --hashes: images are compared by given hashes", file=sys.stderr)
+                return 2
+            images = spark.read.parquet(args.hashes).join(seen.select("path", "size", "mtime"), "path")
+            groups = similar.similar_groups(images, args.similar)
+            like = groups.join(images, "path").select("root", "max_distance", "path", "size", "mtime", "width", "height")
         if args.csv:
-            export.write_duplicates_csv(found.groups, none, args.csv)
+            export.write_duplicates_csv(found.groups, like, args.csv)
         if args.json:
-            for part in export.duplicates_document(found.groups, none, found.errors, found.stats):
+            for part in export.duplicates_document(found.groups, like, found.errors, found.stats):
                 out.write(part)
             say()
             return 0
         for r in dedup.export_rows(found.groups).orderBy("group_id", "path").toLocalIterator():
             say(f"{r['group_id']:>5} {exact_size(r['size']):>12}  {r['path']}")
+        for r in like.orderBy("root", "path").toLocalIterator():
+            say(f"like {r['root']} ({r['max_distance']} bits) {exact_size(r['size']):>12}  {r['path']}")
         for r in dedup.total_wasted(found.groups).collect():
             say(f"{r['groups']} groups, {exact_size(r['total_wasted'])} wasted")
         for r in found.errors.orderBy("path").toLocalIterator():
@@ -175,7 +201,11 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         if args.journal:
             files.append_journal(ops.journal_rows(plan, now, f"plan-{args.method}" if args.yes else "plan"), args.journal)
     else:
-        for r in files.journal_tail(spark, args.path, args.limit).collect():
+        rows = files.journal_tail(spark, args.path, args.limit).collect()
+        if args.json:
+            say(json.dumps([r.asDict() for r in rows], indent=2, ensure_ascii=False))
+            return 0
+        for r in rows:
             say(f"{r['timestamp']} {r['operation']:<10} {r['result']:<7} {r['path']}" + (f" -> {r['destination']}" if r["destination"] else ""))
     return 0
 

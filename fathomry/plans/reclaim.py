@@ -13,6 +13,7 @@ from fathomry.operators.stored import StoredRollup
 from fathomry.plans.buildtrees import DEV_SQL, RULES
 from fathomry.sources import tables as S
 from fathomry.streaming import links, live
+from fathomry.streaming.projects import LiveProjects
 
 PROTECTED = ["/r/EUROPE"]
 
@@ -153,6 +154,20 @@ def events(spark: SparkSession, sf: str, place: str) -> DataFrame:
     return live.entry_stream(spark, in_files(S.table(spark, sf, "events"), "event_id", place), EVENT, "*.parquet", 1)
 
 
+def live_projects(spark: SparkSession, sf: str) -> LiveProjects:
+    """The entries of projects in two batches, kept up after each."""
+    place = scratch(spark)
+    rows = S.dev_entries(spark, sf)
+    kept = LiveProjects(spark, f"{place}/p", RULES)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(in_files(rows, "path", place, 2))
+    stream.writeStream.foreachBatch(kept.upkeep).option("checkpointLocation", f"{place}/c").trigger(availableNow=True).start().awaitTermination()
+    return kept
+
+
+def stream_project_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return live_projects(spark, sf).projects().select("path", "name", "artifact_size", "source_size", "last_source_mtime")
+
+
 def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
     place = scratch(spark)
     live.to_table(live.rollup_stream(events_as_entries(events(spark, sf, place))), f"{place}/t", f"{place}/c", "update").awaitTermination()
@@ -296,6 +311,7 @@ QUERIES = {
     "drawer_unstage": (drawer_unstage, f"{W} SELECT seq, path FROM staged WHERE path <> (SELECT min(path) FROM staged)"),
     "after_execution_tree": (after_execution_tree, HIT.format("source = 'map'") + " SELECT kind, count(*) AS entries, sum(allocated)::BIGINT AS allocated FROM entries WHERE path NOT IN (SELECT path FROM hit) GROUP BY kind"),
     "exec_plan_trash": (exec_plan_trash, f"{W} SELECT seq, 'move to trash: ' || CASE WHEN kind = 'Dir' THEN 'directory (' || entry_count || ' entries)' ELSE 'file' END AS plan FROM plan WHERE outcome = 'Planned'"),
+    "stream_project_sizes": (stream_project_sizes, f"WITH {DEV_SQL.replace('WHERE o_orderkey % 15 = 1', 'WHERE false')} SELECT path, name, artifact_size, source_size, last_source_mtime FROM prj"),
     "stream_projects": (stream_projects, f"WITH {DEV_SQL} SELECT dir, rule_id::INT AS rule_id FROM matched"),
     "stream_rollup": (stream_rollup, f"{EV} SELECT '/' || array_to_string(p[1 : i], '/') AS path, sum(apparent)::BIGINT AS agg_apparent, sum(allocated)::BIGINT AS agg_allocated, count(*) AS items FROM (SELECT *, unnest(range(1, len(p))) AS i FROM (SELECT *, string_split(path[2 :], '/') AS p FROM ev)) GROUP BY 1"),
     "stream_hardlink_dedup": (stream_hardlink_dedup, f"{EV} SELECT nlink > 1 AS linked, CASE WHEN nlink > 1 THEN count(DISTINCT ino) ELSE count(*) END AS files, count(DISTINCT ino) AS inodes FROM ev GROUP BY nlink > 1"),

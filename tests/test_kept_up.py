@@ -158,3 +158,64 @@ def test_quarantine_folders_and_their_guard(spark):
     assert sorted(map(tuple, ops.quarantine_folders(volumes, df).collect())) == [(f"/{q}", 0, 0), (f"/v/{q}", 3, 1024)]
     asked = spark.createDataFrame([(f"/v/{q}",), ("/v/x",), (f"/w/{q}",), (f"/z/{q}",), (f"/v/{q}/s",), ("/",)], "path string")
     assert {r["path"]: r["refused"] for r in ops.emptying(asked, df).collect()} == {f"/v/{q}": None, "/v/x": "not a quarantine directory", f"/w/{q}": "not a directory", f"/z/{q}": "no longer exists", f"/v/{q}/s": "not a quarantine directory", "/": "not a quarantine directory"}
+
+
+def test_projects_over_batches(spark, tmp_path):
+    """Markers before and after what they claim, an artifact before its lockfile, and a project that is withdrawn."""
+    from fathomry.operators import buildtrees
+    from fathomry.sources.rules import builtin
+    from fathomry.streaming.projects import ENTRY as LIVE
+    from fathomry.streaming.projects import LiveProjects
+
+    file = lambda path, n=512: (path, "File", n, n, 1, None, None, 100 + n)
+    folder = lambda path: (path, "Dir", 0, 4096, 1, None, None, 0)
+    batches = [
+        [folder("/w"), folder("/w/a"), folder("/w/a/target"), file("/w/a/target/x", 2000), file("/w/a/src.rs", 300), folder("/w/b"), file("/w/b/package.json")],
+        [file("/w/a/Cargo.toml"), folder("/w/b/node_modules"), file("/w/b/node_modules/m.js", 4000), file("/w/c.txt")],
+        [folder("/w/b/node_modules/in"), file("/w/b/node_modules/in/package.json"), file("/w/b/yarn.lock"), file("/w/a/more.rs", 700), folder("/w/d"), folder("/w/d/target")],
+        [file("/w/package.json"), file("/w/d/readme")],
+    ]
+    rules, kept = builtin(), LiveProjects(spark, f"{tmp_path}/p", builtin())
+    seen = []
+    key = lambda df: sorted(tuple(r) for r in df.select("path", "name", "artifact_size", "source_size", "last_source_mtime").collect())
+    for n, rows in enumerate(batches):
+        seen += rows
+        batch = spark.createDataFrame(rows, LIVE)
+        kept.upkeep(batch, n)
+        if n == 1:
+            kept.upkeep(batch, n)  # a batch that is repeated
+        want = buildtrees.analyze(spark.createDataFrame(seen, LIVE), rules)
+        assert key(kept.projects()) == key(want["projects"]), n
+        assert sorted(r["path"] for r in kept.artifacts().collect()) == sorted(r["path"] for r in want["artifacts"].collect())
+    told = {(r["batch"], r["path"], r["change"]) for r in kept.changes().collect()}
+    assert (0, "/w/b", "new") in told and (2, "/w/a", "changed") in told and (3, "/w", "new") in told
+
+
+def test_flags_of_the_command_line(spark, tmp_path):
+    import io
+    import json
+
+    top = tmp_path / "top"
+    (top / "p").mkdir(parents=True)
+    (top / "p/Cargo.toml").write_text("x")
+    (tmp_path / "away").mkdir()
+    (tmp_path / "away/f").write_text("abc")
+    os.symlink(tmp_path / "away", top / "link")
+    for i in range(3):
+        (top / f"i{i}.png").write_bytes(bytes([i]) * 50)
+    spark.createDataFrame([(f"{top}/i0.png", 7, 1, 10, 10), (f"{top}/i1.png", 5, 1, 20, 10), (f"{top}/i2.png", -1, 1, 10, 10)], "path string, dhash long, phash long, width int, height int").write.parquet(f"{tmp_path}/hashes")
+
+    def said(*argv):
+        out = io.StringIO()
+        assert cli.run(list(argv), spark, out) == 0
+        return out.getvalue()
+
+    assert all("mount" in v for v in json.loads(said("volumes", "--json")))
+    assert "away" not in said("scan", str(top), "--largest", "9") and f"{top}/link/f" in said("scan", str(top), "--largest", "9", "--follow-symlinks", "--cross-filesystems")
+    assert json.loads(said("dev", str(top), "--json"))[0]["path"] == f"{top}/p"
+    assert f"like {top}/i0.png (1 bits)" in said("dup", str(top), "--min-size", "1", "--similar", "2", "--hashes", f"{tmp_path}/hashes")
+    document = json.loads(said("dup", str(top), "--min-size", "1", "--similar", "2", "--hashes", f"{tmp_path}/hashes", "--json"))
+    assert "i1.png" in json.dumps(document) and "i2.png" not in json.dumps(document)
+    assert cli.run(["dup", str(top), "--similar", "2"], spark, io.StringIO()) == 2
+    files.append_journal(spark.createDataFrame([(9, "delete", "/f", None, 1, "ok", None)], files.JOURNAL), f"{tmp_path}/j")
+    assert json.loads(said("journal", f"{tmp_path}/j", "--json"))[0]["path"] == "/f"
