@@ -16,7 +16,7 @@ from fathomry.functions import paths as P
 from fathomry.functions.formats import exact_size
 from fathomry.operators import buildtrees, dedup, dupfiles, export, filters, graph, ops, similar, tree
 from fathomry.schemas import CACHE
-from fathomry.sources import files
+from fathomry.sources import files, git
 from fathomry.sources.filesystem import scan, volumes
 from fathomry.sources.rules import builtin
 
@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--type", action="append", default=[])
     d.add_argument("--depth", type=int, default=None)
     d.add_argument("--json", action="store_true")
+    d.add_argument("--no-git", action="store_true", help="don't ask Git for tracked files and last commits")
     u = sub.add_parser("dup")
     u.add_argument("paths", nargs="+")
     u.add_argument("--min-size", type=int, default=None)
@@ -135,8 +136,14 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
                 print(e, file=sys.stderr)
         now = int(time.time())
         found = scan(spark, args.paths)
-        result = buildtrees.analyze(found, rules, max_depth=None if args.depth is None else args.depth + min(len(os.path.abspath(p).strip("/").split("/")) for p in args.paths))
-        projects = buildtrees.filter_projects(result["projects"], now, args.type, 0, args.stale)
+        depth = None if args.depth is None else args.depth + min(len(os.path.abspath(p).strip("/").split("/")) for p in args.paths)
+        known = None if args.no_git else git.answers(git.repositories(found))
+        projects = buildtrees.analyze(found, rules, max_depth=depth, tracked=git.tracked(known) if known else None)["projects"]
+        if known:
+            projects = projects.drop("last_commit").join(git.commits(known, projects), "path", "left")
+            for r in known.where("error is not null").toLocalIterator():
+                print(f"{r['repo']}: {r['error']}", file=sys.stderr)
+        projects = buildtrees.filter_projects(projects, now, args.type, 0, args.stale)
         if args.json:
             out.write("[")
             for k, r in enumerate(buildtrees.in_order(projects).toLocalIterator()):
