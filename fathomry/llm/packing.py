@@ -36,7 +36,7 @@ TOKENIZER, END, LENGTH = "word_bpe_49k.json", 1, 2048
 #: Open windows of a partition, and partitions whose windows one task merges.
 WINDOWS, FAN = 8, 8
 #: Characters of a text that are cut at once, bytes of texts encoded together, runs and odd words remembered by a task.
-PART, TOGETHER, REMEMBERED = 1_000_000, 4_000_000, 400_000
+PART, TOGETHER, REMEMBERED = 1_000_000, 8_000_000, 600_000
 
 PIECE = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
@@ -54,7 +54,7 @@ class Words:
     def __init__(self, path: str):
         self.coder = Tokenizer.from_file(path)
         vocabulary = self.coder.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(self.coder.get_vocab().values()) + 1, bool)
+        self.ends = np.zeros(self.coder.get_vocab_size(with_added_tokens=True) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.forget()
 
