@@ -1,4 +1,4 @@
-"""Command line: volumes, scan, dev, dup, delete, journal. Nothing is ever deleted; ``delete`` prints and journals a plan."""
+"""Command line: volumes, scan, dev, dup, delete, diagnostics, journal. Nothing is ever deleted; ``delete`` prints and journals a plan."""
 
 from __future__ import annotations
 
@@ -62,6 +62,8 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--method", choices=["trash", "permanent"], default="trash")
     x.add_argument("--yes", action="store_true", help="confirm the plan; else it is a dry run")
     x.add_argument("--json", action="store_true")
+    g = sub.add_parser("diagnostics")
+    g.add_argument("paths", nargs="*", help="directories to count")
     j = sub.add_parser("journal")
     j.add_argument("path")
     j.add_argument("--limit", type=int, default=50)
@@ -183,6 +185,9 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
             say(f"{r['groups']} groups, {exact_size(r['total_wasted'])} wasted")
         for r in found.errors.orderBy("path").toLocalIterator():
             print(f"{r['path']}: {r['error']}", file=sys.stderr)
+    elif args.command == "diagnostics":
+        counters = tree.scan_counters(scan(spark, args.paths)).first().asDict() if args.paths else None
+        out.write(export.diagnostics(settings, counters, [("error", problem)] if problem else [], spark))
     elif args.command == "delete":
         now = int(time.time())
         staged = snapshot(spark, args.paths, now)

@@ -111,6 +111,16 @@ def total_wasted(groups: DataFrame) -> DataFrame:
     return group_totals(groups).agg(F.coalesce(F.sum("wasted"), F.lit(0)).alias("total_wasted"), F.count("*").alias("groups"))
 
 
+# The rules' labels. The explanations are what this library's rules do.
+KEEP_RULES = {
+    "oldest": ("Keep oldest", "Of each group the file modified first stays; the others are marked."),
+    "newest": ("Keep newest", "Of each group the file modified last stays; the others are marked."),
+    "shortest": ("Keep shortest path", "The file with the shortest path, often the first place it had, stays; the others are marked."),
+    "folder": ("Keep file in folder", "One file inside the folder stays; a group without any there is not touched."),
+    "resolution": ("Keep highest resolution", "The file with most pixels stays. Similar images are never marked: look at them yourself."),
+}
+
+
 def keep_rule(groups: DataFrame, rule: str, folder: str = "") -> DataFrame:
     """``marked``: to go, by the rule, in each identical group (size, hash); one file stays. Members are in order of path.
 

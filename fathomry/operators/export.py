@@ -5,15 +5,17 @@ from __future__ import annotations
 
 import json
 import math
+import platform
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
 from fathomry.functions.formats import csv_field
 from fathomry.operators.dedup import export_all
 from fathomry.operators.tree import preorder, summarize
+from fathomry.settings import Settings
 
 
 def json_parts(rolled: DataFrame, issues: DataFrame, root: str, max_depth: int, max_children: int, size: str = "agg_allocated") -> Iterator[str]:
@@ -106,3 +108,15 @@ def svg(arcs: DataFrame, side: int = 800, rings: int = 6) -> str:
         title = (a["path"] or f"{a['count']} smaller items").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
         paths.append(f'<path d="{d}" fill="hsl({a["branch"] * 47 % 360} 45% {55 + 4 * a["ring"]}%)"><title>{title} ({a["size"]} B)</title></path>')
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {side} {side}">{"".join(paths)}</svg>'
+
+
+def diagnostics(settings: Settings, counters: dict | None, log: list[tuple[str, str]], spark: SparkSession) -> str:
+    """What a report of a problem should hold: versions, the settings that matter, the last scan's counters and log lines."""
+    s = settings
+    lines = [
+        f"Spark {spark.version}, Python {platform.python_version()}, {platform.system()} {platform.machine()}",
+        f"Settings: rings={s.rings} size_mode={s.size_mode} units={s.units} follow_symlinks={s.follow_symlinks} cross_filesystems={s.cross_filesystems} exclusions={len(s.exclude_paths) + len(s.exclude_globs)}",
+    ]
+    if counters:
+        lines.append(f"Scan: {counters['files']} files, {counters['dirs']} dirs, {counters['errors']} errors")
+    return "\n".join([*lines, "Log:", *(f"[{level}] {text}" for level, text in log[-200:])]) + "\n"

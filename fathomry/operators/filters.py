@@ -67,6 +67,17 @@ def with_artifacts(projects: DataFrame) -> DataFrame:
     return projects.where(F.col("artifact_size") > 0)
 
 
+#: Rows that displays show at most; tables and exports hold all.
+SHOWN = {"groups": 5000, "issues": 5000, "hits": 5000, "errors": 500}
+
+
+def shown(rows: DataFrame, kind: str, *order: Column) -> tuple[DataFrame, bool]:
+    """The first rows of a display along ``order``, and whether there are more. Each task keeps as many as are shown."""
+    cap = SHOWN[kind]
+    first = rows.orderBy(*order).limit(cap + 1)
+    return first.limit(cap), first.count() > cap
+
+
 def search(entries: DataFrame, pattern: str, cap: int = 5000) -> tuple[DataFrame, DataFrame]:
     """Hits by name, at most ``cap`` in order of paths, and one row telling whether there were more."""
     found = entries.where(G.search(P.name("path"), pattern)).orderBy(P.parts("path")).limit(cap + 1)

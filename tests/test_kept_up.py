@@ -219,3 +219,36 @@ def test_flags_of_the_command_line(spark, tmp_path):
     assert cli.run(["dup", str(top), "--similar", "2"], spark, io.StringIO()) == 2
     files.append_journal(spark.createDataFrame([(9, "delete", "/f", None, 1, "ok", None)], files.JOURNAL), f"{tmp_path}/j")
     assert json.loads(said("journal", f"{tmp_path}/j", "--json"))[0]["path"] == "/f"
+
+
+def test_a_view_refuses_what_is_gone(spark, tmp_path):
+    from fathomry.operators.layout import View
+
+    rows = [("/r", "Dir"), ("/r/a", "Dir"), ("/r/a/b", "Dir"), ("/r/a/b/f", "File"), ("/r/ab", "Dir")]
+    df = spark.createDataFrame([(p, k, 5 * (k == "File"), 5 * (k == "File"), 1, None, None) for p, k in rows], ENTRY)
+    store = StoredRollup.create(tree.mark_hard_links(df), f"{tmp_path}/r")
+    view = View("/r", "/r/a/b/f")
+    assert view.zoomed(store.rows(), "/r/a") == View("/r/a", "/r/a/b/f") and view.zoomed(store.rows(), "/r/ab") == View("/r/ab")
+    assert View("/r", "/r/a").zoomed(store.rows(), "/r/a") == View("/r/a") and view.zoomed(store.rows(), "/r/a/b/f") == view == view.zoomed(store.rows(), "/r")
+    assert View("/r/a").up(store.rows(), "/r") == View("/r") and View("/r").up(store.rows(), "/r") == View("/r")
+    assert View("/r").revealing(store.rows(), "/r/a/b/f") == View("/r/a/b", "/r/a/b/f")
+    store.remove("/r/a/b")
+    assert view.zoomed(store.rows(), "/r/a/b") == view == view.revealing(store.rows(), "/r/a/b/f")
+
+
+def test_displays_and_diagnostics(spark, monkeypatch, tmp_path):
+    import io
+
+    from fathomry.operators import dedup
+
+    monkeypatch.setitem(filters.SHOWN, "errors", 3)
+    for n, more in ((2, False), (3, False), (4, True)):
+        rows, truncated = filters.shown(spark.range(n), "errors", F.desc("id"))
+        assert [r["id"] for r in rows.collect()] == list(range(n))[::-1][:3] and truncated is more
+    with pytest.raises(KeyError):
+        dedup.keep_rule(spark.createDataFrame([("/a", 1, "h", 1)], "path string, size long, hash string, mtime long"), "none")
+    assert set(dedup.KEEP_RULES) == {"oldest", "newest", "shortest", "folder", "resolution"}
+    (tmp_path / "d").mkdir()
+    out = io.StringIO()
+    assert cli.run(["diagnostics", str(tmp_path)], spark, out) == 0
+    assert "Scan: 0 files, 2 dirs, 0 errors" in out.getvalue() and out.getvalue().endswith("Log:\n")
