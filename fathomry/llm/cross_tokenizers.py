@@ -15,7 +15,7 @@ whose end is no cut is an error, not a wrong result.
 Cases: null and empty texts, and texts that don't come back from their tokens (U+2581, bytes that are no UTF-8), have
 zeros and an empty digest, and no share in the counts. Every row counts, repeated rows each; null ids are ids. Special
 tokens' strings are plain text. A long text goes through in segments, but for one chunk (no single space between words), which
-is encoded whole. An empty table has no rows.
+is encoded whole, with some 200 times its bytes of memory. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ class Chunks:
 
     def align(self, a: pa.Table, b: pa.Table, ends: np.ndarray, ok: np.ndarray) -> None:
         n, good = len(ends), np.flatnonzero(ok)
-        db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1500MB", "temp_directory": ""})
         try:
             for name, table in (("a", a), ("b", b), ("c", pa.table({"chunk": good, "hi": ends[good]}))):
                 db.register(f"{name}_in", table)
