@@ -1,7 +1,13 @@
 """What only large keys and large tables bring up."""
 
-from fathomry.plans import space
+from pathlib import Path
+
 from fathomry.functions.formats import exact_size
+from fathomry.operators import buildtrees, tree
+from fathomry.operators.graph import shared_folder, staged
+from fathomry.plans import space
+from fathomry.sources.rules import builtin
+from fathomry.streaming.projects import ENTRY
 
 KEYS = [7, 599_999, 740_024, 899_999, 8_999_999, 899_999_999]
 
@@ -13,3 +19,20 @@ def test_sizes_beyond_a_bigint(spark, tmp_path):
     assert {r[0]: r[1] for r in space.fmt_digits(spark, str(tmp_path)).collect()} == {k: f"{n[k]:,}" for k in KEYS}
     shown = {r[0]: r[1] for r in space.fmt_size_binary(spark, str(tmp_path)).collect()}
     assert shown == {k: exact_size(n[k]) for k in KEYS}
+
+
+def test_analysis_copies_no_table_and_sends_no_foreign_ancestors(spark, tmp_path):
+    rows = [(f"/w/p{i}/{'target' if i % 50 == 0 else 'x'}/{hash((i, j)) % 10**12}", "File", 1, 512, 1, None, None, 9) for i in range(400) for j in range(40)]
+    rows += [(f"/w/p{i}/Cargo.toml", "File", 1, 512, 1, None, None, 9) for i in range(400)]
+    rows += [(d, "Dir", 0, 4096, 1, None, None, 0) for d in {p for r in rows for p in (r[0].rsplit("/", 1)[0], r[0].rsplit("/", 2)[0] or "/w")} | {"/w"}]
+    entries = staged(spark.createDataFrame(rows, ENTRY))
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    there = set(folder.iterdir())
+    found = buildtrees.analyze(entries, builtin())
+    assert not [p for p in set(folder.iterdir()) - there if "nlink" in spark.read.parquet(str(p)).columns]  # the entries were copied before
+    assert {(r["path"], r["entries"], r["allocated"], r["project_path"]) for r in found["artifacts"].collect()} == {(f"/w/p{i}/target", 40, 40 * 512, f"/w/p{i}") for i in range(0, 400, 50)}
+    sums = {r["path"]: (r["artifact_size"], r["source_size"]) for r in found["projects"].collect()}
+    assert sums == {f"/w/p{i}": ((40 * 512, 512) if i % 50 == 0 else (0, 41 * 512)) for i in range(400)}
+    tops = spark.createDataFrame([("/w/p0/target",)], "path string")
+    plan = tree.directory_totals(entries, tops, own=False)
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString() and plan.first()["entries"] == 40
