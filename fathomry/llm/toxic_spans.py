@@ -35,6 +35,8 @@ ROWS = 6_000
 #: Chains without toxic words, or words like them, that are learned from at least (about; all if there are fewer).
 BACKGROUND = 6_000
 CHAIN = 48
+#: Chains at once in a round of the fit.
+BLOCK = 2_048
 ODDS, CHANCE = 12.0, 0.1
 MARKS = b".,;:!?\"'()[]{}<>*#%&$|-_"
 CACHE = 400_000
@@ -196,29 +198,37 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> Model | Non
     before, after = ids[np.maximum(index - 1, 0)], ids[np.minimum(index + 1, len(ids) - 1)]
     features = [*np.moveaxis(of[ids[index], :4], 2, 0), np.where(first[index], size, of[before, 4]), np.where(last[index], size, of[after, 5])]
     del of, before, after
-    want = y[index] * real
+    want = (y[index] * real).astype(np.int8)
     pairs = np.zeros((2, 2))
-    a, b, both = want[:, :-1].astype(int), want[:, 1:].astype(int), real[:, 1:]
+    a, b, both = want[:, :-1], want[:, 1:], real[:, 1:]
     for i in (0, 1):
         for j in (0, 1):
             pairs[i, j] = ((a == i) & (b == j) & both).sum()
+    del index, a, b, y, y_doc, first, last
     step = np.zeros((2, 2))
     w = np.zeros((6, size + 1))
     bias, penalty, total = -4.0, np.array([*FEATURES.values()])[:, None], real.sum()
     mean, var = np.zeros_like(w), np.zeros_like(w)
     bias_mv = [0.0, 0.0]
     for t in range(1, rounds + 1):
-        e = np.where(real, sum(w[i][f] for i, f in enumerate(features)) + bias, 0.0)
-        odds, fwd, bwd = marginals(e, real, step)
-        gap = np.where(real, 1 / (1 + np.exp(-odds)) - want, 0.0)
-        grad = np.stack([np.bincount(f.ravel(), gap.ravel(), size + 1) for f in features]) + penalty * w
+        # Chains are independent: what each block of them adds is summed, so that only a block's arrays are there at a time.
+        grad, moves, gaps = penalty * w, np.zeros(4), 0.0
+        for at in range(0, len(real), BLOCK):
+            own, there = [f[at : at + BLOCK] for f in features], real[at : at + BLOCK]
+            e = np.where(there, sum(w[i][f] for i, f in enumerate(own)) + bias, 0.0)
+            odds, fwd, bwd = marginals(e, there, step)
+            gap = np.where(there, 1 / (1 + np.exp(-odds)) - want[at : at + BLOCK], 0.0)
+            for i, f in enumerate(own):
+                grad[i] += np.bincount(f.ravel(), gap.ravel(), size + 1)
+            moves += expected_pairs(e, fwd, bwd, step)[:, both[at : at + BLOCK].T].sum(1)
+            gaps += gap.sum()
         grad[4:, size] = 0
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         w -= 0.3 * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-3)
         w[4:, size] = 0
-        step -= 0.5 * (expected_pairs(e, fwd, bwd, step)[:, both.T].sum(1).reshape(2, 2) - pairs) / max(1, both.sum()) ** 0.5 / 10
+        step -= 0.5 * (moves.reshape(2, 2) - pairs) / max(1, both.sum()) ** 0.5 / 10
         step = np.clip(step - step[0, 0], -6, 6)
-        g = gap.sum() / total**0.5
+        g = gaps / total**0.5
         bias_mv = [0.9 * bias_mv[0] + 0.1 * g, 0.99 * bias_mv[1] + 0.01 * g * g]
         bias -= 0.1 * (bias_mv[0] / (1 - 0.9**t)) / ((bias_mv[1] / (1 - 0.99**t)) ** 0.5 + 1e-3)
     model = Model([{part: float(w[role, n]) for part, n in own.items() if abs(w[role, n]) > 0.01} for role, own in enumerate(numbers)], float(bias), step, np.zeros(3))
