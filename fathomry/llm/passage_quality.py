@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
             packed = [x[a : a + n].tobytes() for a, n in zip(starts, bags, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "y", "x"])
 
-    got = sorted(((r["doc_id"], bytes(r["x"]), r["y"]) for r in found.mapInArrow(run, "doc_id long, y int, x binary").collect()), key=lambda r: r[:2])
+    got = sorted(((r["doc_id"], bytes(r["x"]), r["y"]) for r in found.mapInArrow(tidy(run), "doc_id long, y int, x binary").collect()), key=lambda r: r[:2])
     if not got:
         return None
     vectors = [np.frombuffer(r[1], np.float32).reshape(-1, WIDTH) for r in got]
