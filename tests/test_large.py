@@ -1,7 +1,11 @@
 """What only large keys and large tables bring up."""
 
+import os
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from fathomry.functions import paths as P
 from fathomry.functions.formats import exact_size
 from fathomry.operators import buildtrees, tree
 from fathomry.operators.graph import shared_folder, staged
@@ -36,3 +40,36 @@ def test_analysis_copies_no_table_and_sends_no_foreign_ancestors(spark, tmp_path
     tops = spark.createDataFrame([("/w/p0/target",)], "path string")
     plan = tree.directory_totals(entries, tops, own=False)
     assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString() and plan.first()["entries"] == 40
+
+
+def shuffle_files(spark) -> int:
+    places = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(name.startswith("shuffle_") for place in places for _, _, names in os.walk(place) for name in names)
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    out = staged(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count())
+    assert out.count() == 100
+    out = staged(out.repartition(7, "k"))
+    assert shuffle_files(spark) <= before
+    assert out.where("count = 50").count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_rules_of_any_name_copy_no_foreign_entries(spark):
+    rows = [("/w", "Dir"), ("/w/a", "Dir"), ("/w/a/env", "Dir"), ("/w/a/env/pyvenv.cfg", "File"), ("/w/a/other", "Dir"), ("/w/a/f", "File"), ("/w/pyvenv.cfg", "File")]
+    entries = spark.createDataFrame(rows, "path string, kind string")
+    named = buildtrees.of_interest(entries, builtin())
+    assert {r[0] for r in named.select("path").collect()} == {"/w", "/w/a/env", "/w/a/env/pyvenv.cfg", "/w/pyvenv.cfg"}
+    same = [sorted(map(tuple, buildtrees.claims(e, builtin()).collect())) for e in (entries, named)]
+    assert same[0] == same[1] and same[0]
+
+
+def test_odd_paths_are_cut_as_before(spark):
+    paths = ["/", "", "//", "/a/b/", "//a//b", "a/b", "/a/é/x.y"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(P.name("p"), P.parent("p"), P.depth("p"), P.prefixes("p", 1)).collect()
+    assert [tuple(r) for r in got] == [
+        ("/", None, 0, []), ("", None, 0, []), ("//", None, 0, []), ("b", "/a", 2, ["/a", "/a/b"]), ("b", "/a", 2, ["/a", "/a/b"]), ("b", "/a", 2, ["/a", "/a/b"]),
+        ("x.y", "/a/é", 3, ["/a", "/a/é", "/a/é/x.y"]),
+    ]
