@@ -11,7 +11,7 @@ from fathomry.operators import buildtrees, tree
 from fathomry.operators.graph import shared_folder, staged
 from fathomry.plans import space
 from fathomry.sources.rules import builtin
-from fathomry.streaming.projects import ENTRY
+from fathomry.streaming.projects import ENTRY, LiveProjects
 
 KEYS = [7, 599_999, 740_024, 899_999, 8_999_999, 899_999_999]
 
@@ -73,3 +73,16 @@ def test_odd_paths_are_cut_as_before(spark):
         ("/", None, 0, []), ("", None, 0, []), ("//", None, 0, []), ("b", "/a", 2, ["/a", "/a/b"]), ("b", "/a", 2, ["/a", "/a/b"]), ("b", "/a", 2, ["/a", "/a/b"]),
         ("x.y", "/a/é", 3, ["/a", "/a/é", "/a/é/x.y"]),
     ]
+
+
+def test_a_directory_and_its_marker_in_different_batches(spark, tmp_path):
+    entry = lambda path, kind, n: (path, kind, n, 512 * n, 1, None, None, n)
+    first = [entry("/w", "Dir", 0), entry("/w/a", "Dir", 0), entry("/w/a/env", "Dir", 0), entry("/w/a/f.txt", "File", 3)]
+    for at, batches in enumerate(([first, [entry("/w/a/env/pyvenv.cfg", "File", 2)]], [[entry("/w/a/env/pyvenv.cfg", "File", 2)], first])):
+        kept = LiveProjects(spark, f"file://{tmp_path}/{at}", builtin())
+        for n, rows in enumerate(batches):
+            kept.upkeep(spark.createDataFrame(rows, ENTRY), n)
+        assert [(r["path"], r["artifact_size"], r["source_size"]) for r in kept.projects().collect()] == [("/w/a", 1024, 1536)]
+    # Only what holds something of interest is looked at again, not all directories above.
+    named = buildtrees.of_interest(spark.createDataFrame([*first, entry("/w/a/env/pyvenv.cfg", "File", 2)], ENTRY), builtin())
+    assert {r["dir"] for r in buildtrees.holders(named, builtin()).collect()} == {"/w/a", "/w/a/env"}
