@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
 from fathomry.functions.formats import exact_size
-from fathomry.operators import buildtrees, tree
+from fathomry.operators import buildtrees, screen, tree
 from fathomry.operators.graph import shared_folder, staged
 from fathomry.plans import space
+from fathomry.sources import tables
 from fathomry.sources.rules import builtin
 from fathomry.streaming.projects import ENTRY, LiveProjects
 
@@ -86,3 +87,37 @@ def test_a_directory_and_its_marker_in_different_batches(spark, tmp_path):
     # Only what holds something of interest is looked at again, not all directories above.
     named = buildtrees.of_interest(spark.createDataFrame([*first, entry("/w/a/env/pyvenv.cfg", "File", 2)], ENTRY), builtin())
     assert {r["dir"] for r in buildtrees.holders(named, builtin()).collect()} == {"/w/a", "/w/a/env"}
+
+
+def test_an_analysis_leaves_only_what_its_results_read(spark):
+    entry = lambda path, kind, n: (path, kind, n, 512 * n, 1, None, None, n)
+    rows = [entry(d, "Dir", 0) for d in ("/w", "/w/a", "/w/a/target", "/w/a/src", "/w/a/src/x", "/w/a/src/x/y", "/w/a/src/x/y/z")]
+    rows += [entry("/w/a/Cargo.toml", "File", 1), entry("/w/a/target/o", "File", 2), entry("/w/a/src/x/y/z/m.rs", "File", 3), entry("/top", "File", 9)]
+    entries = staged(spark.createDataFrame(rows, ENTRY))
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    there = set(folder.iterdir())
+    found = buildtrees.analyze(entries, builtin())
+    assert len(set(folder.iterdir()) - there) <= 5  # artifacts, projects, sums of sources and two lists of the keys of joins
+    assert [(r["path"], r["artifact_size"], r["source_size"], r["last_source_mtime"]) for r in found["projects"].collect()] == [("/w/a", 1024, 4 * 512, 3)]
+    assert [(r["path"], r["project_path"]) for r in found["artifacts"].collect()] == [("/w/a/target", "/w/a")]
+
+
+def test_told_by_bitmaps_and_by_keys(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("if(id % 7 = 0, null, concat('k', id)) AS k")
+    wanted = spark.range(0, 4000, 3).selectExpr("concat('k', id) AS k").unionByName(spark.createDataFrame([(None,)], "k string"))
+    right = rows.join(wanted, "k", "left_semi").count()
+    for most, slack in ((screen.KEYS, 0), (10, 400)):
+        monkeypatch.setattr(screen, "KEYS", most)
+        out = screen.told(rows, {"k": wanted})
+        assert out.count() == 4000 and right <= out.where("__k").count() <= right + slack
+        assert out.where("__k").join(wanted, "k", "left_semi").count() == right and out.where("k is null and __k").isEmpty()
+
+
+def test_a_fixture_is_the_same_in_shares(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    for build in (tables.built_dev_entries, tables.built_entries):
+        whole = build(spark, sf)
+        parts = [build(spark, sf, (i, 3)) for i in range(3)]
+        assert all(p.count() < whole.count() * 0.8 for p in parts)
+        both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        assert both.count() == whole.count() and both.exceptAll(whole).isEmpty()
