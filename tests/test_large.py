@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomry.functions import paths as P
 from fathomry.functions.formats import exact_size
-from fathomry.operators import buildtrees, screen, tree
+from fathomry.operators import buildtrees, ops, screen, tree
 from fathomry.operators.graph import shared_folder, staged
 from fathomry.plans import space
 from fathomry.sources import tables
@@ -121,3 +121,14 @@ def test_a_fixture_is_the_same_in_shares(spark, monkeypatch):
         assert all(p.count() < whole.count() * 0.8 for p in parts)
         both = parts[0].unionByName(parts[1]).unionByName(parts[2])
         assert both.count() == whole.count() and both.exceptAll(whole).isEmpty()
+
+
+def test_paths_outside_the_drawer_are_not_shuffled(spark, monkeypatch):
+    paths = spark.createDataFrame([(p,) for p in ("/r", "/r/a", "/r/a/x", "/r/b", "/r/b/y", "/r/ab")], "path string")
+    items = spark.createDataFrame([("/r/a",), ("/r/b/y",), ("/r/a",)], "path string")
+    for most in (screen.KEYS, 1):
+        monkeypatch.setattr(screen, "KEYS", most)
+        out = ops.contains(items, paths)
+        got = {r["path"]: (r["staged"], r["covered"]) for r in out.collect()}
+        assert out.count() == 6 and got == {"/r": (False, False), "/r/a": (True, True), "/r/a/x": (False, True), "/r/b": (False, False), "/r/b/y": (True, True), "/r/ab": (False, False)}
+        assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()  # before, every path met the items found in one join
