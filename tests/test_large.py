@@ -132,3 +132,22 @@ def test_paths_outside_the_drawer_are_not_shuffled(spark, monkeypatch):
         got = {r["path"]: (r["staged"], r["covered"]) for r in out.collect()}
         assert out.count() == 6 and got == {"/r": (False, False), "/r/a": (True, True), "/r/a/x": (False, True), "/r/b": (False, False), "/r/b/y": (True, True), "/r/ab": (False, False)}
         assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()  # before, every path met the items found in one join
+
+
+def test_an_order_is_made_in_one_pass(spark, tmp_path):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(12).drop("l_orderkey")
+    at = lambda days, customer: orders.where("o_orderkey = 3").select(F.lit(3).cast("long").alias("o_orderkey"), F.lit(customer).cast("long").alias("o_custkey"), *[c for c in orders.columns[2:] if c != "o_orderdate"], F.expr(f"o_orderdate + interval {days} day").alias("o_orderdate"))
+    odd, places = f"{tmp_path}/odd", ["target", "node_modules", "build", "__pycache__", "src"]
+    at(0, 8).unionByName(at(0, 8)).unionByName(at(5, 8)).unionByName(at(0, 9)).write.parquet(f"{odd}/orders.parquet")
+    n = F.col("l_linenumber")
+    both = lines.unionByName(lines).unionByName(lines.withColumn("l_linenumber", n + 50).withColumn("l_partkey", F.lit(None).cast("long")))
+    both.withColumn("l_orderkey", F.lit(3).cast("long")).write.parquet(f"{odd}/lineitem.parquet")
+    made = tables.built_dev_entries(spark, odd)
+    assert "lambda" not in made._jdf.queryExecution().executedPlan().toString()  # before, each row was made through one
+    got = sorted((r["path"], r["kind"]) for r in made.collect())
+    want = [("/w", "Dir"), ("/w/c8", "Dir"), ("/w/c9", "Dir"), ("/w/c9/package.json", "File"), *[("/w/c8/o3/CMakeLists.txt", "File")] * 2, ("/w/c9/o3/CMakeLists.txt", "File")]
+    for home in ("/w/c8/o3", "/w/c9/o3"):
+        files = {(places[r["l_linenumber"] % 5], r["l_linenumber"], r["l_partkey"], r["l_suppkey"]) for r in lines.collect()}
+        want += [(home, "Dir"), *((f"{home}/{f}", "Dir") for f in {f[0] for f in files}), *((f"{home}/{f}/l{a}_{b}_{c}", "File") for f, a, b, c in files)]
+    assert lines.count() and got == sorted(want)
