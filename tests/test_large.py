@@ -134,6 +134,38 @@ def test_paths_outside_the_drawer_are_not_shuffled(spark, monkeypatch):
         assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()  # before, every path met the items found in one join
 
 
+def test_rules_texts_are_looked_up_after_the_shuffle(spark):
+    rows = [("/w/a", "Dir"), ("/w/a/Cargo.toml", "File"), ("/w/a/target", "Dir"), ("/w/b", "Dir"), ("/w/b/package.json", "File"), ("/w/b/node_modules", "Dir"), ("/w/b/yarn.lock", "File")]
+    rows += [("/w/d", "Dir"), ("/w/d/package.json", "File"), ("/w/d/node_modules", "Dir")]
+    named = buildtrees.of_interest(spark.createDataFrame(rows, "path string, kind string"), builtin())
+    assessed = buildtrees.risk_assess(staged(buildtrees.claims(named, builtin())), named, builtin())
+    below = assessed._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    texts = [r[buildtrees.REGENERATE] for r in builtin() if r[buildtrees.REGENERATE]]
+    assert texts and not [t for t in texts if t in below]  # before, every claim was shuffled with its rule's texts
+    assert {(r["path"], r["risk_rank"]) for r in buildtrees.resolve(assessed, builtin()).collect()} == {("/w/a/target", 0), ("/w/b/node_modules", 0), ("/w/d/node_modules", 1)}
+
+
+def test_starts_that_are_projects_look_no_further(spark, monkeypatch):
+    seen = []
+    real = buildtrees.among
+    monkeypatch.setattr(buildtrees, "among", lambda rows, wanted, key: seen.append(rows.columns) or seen.append({r[0] for r in rows.collect()}) or real(rows, wanted, key))
+    frame = lambda *paths: spark.createDataFrame([(p,) for p in paths], "dir string")
+    starts = frame("/w/a", "/w/a/x", "/w/b", "/w/b/y", "/w/c", "/", "/w/a/", None)
+    out = buildtrees.nearest(starts, "dir", frame("/w/a", "/w/b/y", "/"), frame("/w/b", "/w/b/z"))
+    assert {(r["dir"], r["project_path"]) for r in out.collect()} == {("/w/a", "/w/a"), ("/w/a/x", "/w/a"), ("/w/b", "/w/b"), ("/w/b/y", "/w/b/y"), ("/w/a/", "/w/a")}
+    assert not {"/w/a", "/w/b/y"} & seen[1]  # before, each start was sent to all its ancestors
+
+
+def test_totals_below_tops_take_one_shuffle(spark):
+    rows = [("/w", "Dir", 0, 4096, 1, None, None, 0), ("/w/a", "Dir", 0, 4096, 1, None, None, 0), ("/w/e", "Dir", 0, 4096, 1, None, None, 0)]
+    rows += [(f"/w/a/{n}", "File", 1, 512, 2, 1, 7, 0) for n in "xy"] + [("/w/a/.git", "Dir", 0, 4096, 1, None, None, 0)]
+    entries = spark.createDataFrame(rows, ENTRY)
+    out = tree.directory_totals(entries, spark.createDataFrame([("/w/a",), ("/w/e",), ("/none",)], "path string"), own=False)
+    assert {tuple(r) for r in out.collect()} == {("/w/a", 4608, 1, 3, True), ("/w/e", 0, 0, 0, False), ("/none", 0, 0, 0, False)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(top") == 2  # of links by file, and of all sums; before, plain sums and tops too
+
+
 def test_an_order_is_made_in_one_pass(spark, tmp_path):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(12).drop("l_orderkey")
