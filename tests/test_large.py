@@ -9,6 +9,7 @@ from fathomry.functions import paths as P
 from fathomry.functions.formats import exact_size
 from fathomry.operators import buildtrees, ops, screen, tree
 from fathomry.operators.graph import shared_folder, staged
+from fathomry.plans import buildtrees as dev
 from fathomry.plans import space
 from fathomry.sources import tables
 from fathomry.sources.rules import builtin
@@ -183,3 +184,9 @@ def test_an_order_is_made_in_one_pass(spark, tmp_path):
         files = {(places[r["l_linenumber"] % 5], r["l_linenumber"], r["l_partkey"], r["l_suppkey"]) for r in lines.collect()}
         want += [(home, "Dir"), *((f"{home}/{f}", "Dir") for f in {f[0] for f in files}), *((f"{home}/{f}/l{a}_{b}_{c}", "File") for f, a, b, c in files)]
     assert lines.count() and got == sorted(want)
+
+
+def test_claims_are_written_before_they_are_assessed(spark):
+    out = dev.claim_resolution(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "claims-" in plan and "matched-" not in plan  # before, claims were made and assessed in one job, with all shuffle files of both
