@@ -68,12 +68,21 @@ class LiveScan:
         self.state = state
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", interval: str | None = None) -> StreamingQuery:
-    """Write each batch, numbered, to a Parquet table; without an interval, what is there now and then stop."""
+def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", interval: str | None = None, few: bool = False) -> StreamingQuery:
+    """Write each batch, numbered, to a Parquet table; without an interval, what is there now and then stop. ``few``: in as few
+    files as its size asks for, and not one of each task, for a stream that reads the table by files."""
 
     def write(batch: DataFrame, number: int) -> None:
-        # A batch that is repeated after a failure replaces its own rows.
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        conf = batch.sparkSession.conf
+        # A stream's session doesn't adapt its plans, for its state must not be dealt anew; what is written of a batch may be.
+        adaptive = conf.get("spark.sql.adaptive.enabled")
+        conf.set("spark.sql.adaptive.enabled", "true" if few else adaptive)
+        try:
+            # A batch that is repeated after a failure replaces its own rows.
+            rows = batch.hint("rebalance") if few else batch
+            rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            conf.set("spark.sql.adaptive.enabled", adaptive)
 
     out = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, number: write(batch.drop("batch") if "batch" in batch.columns else batch, number)).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)).start()
